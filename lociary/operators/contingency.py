@@ -81,15 +81,15 @@ def fisher_exact(tables: DataFrame, keys: list[str]) -> DataFrame:
     t = tables.select(
         *keys,
         col("hits2").cast("bigint").alias("x"),
-        (col("hits1") + col("hits2")).cast("bigint").alias("K"),
-        col("total2").cast("bigint").alias("n"),
-        (col("total1") + col("total2")).cast("bigint").alias("N"),
+        (col("hits1") + col("hits2")).cast("bigint").alias("marked"),
+        col("total2").cast("bigint").alias("drawn"),
+        (col("total1") + col("total2")).cast("bigint").alias("size"),
     ).withColumns(
-        {"lo": F.greatest(F.lit(0), col("n") + col("K") - col("N")), "hi": F.least(col("n"), col("K"))}
+        {"lo": F.greatest(F.lit(0), col("drawn") + col("marked") - col("size")), "hi": F.least(col("drawn"), col("marked"))}
     )
     choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
     log_pmf = lambda k: (
-        choose(col("K"), k) + choose(col("N") - col("K"), col("n") - k) - choose(col("N"), col("n"))
+        choose(col("marked"), k) + choose(col("size") - col("marked"), col("drawn") - k) - choose(col("size"), col("drawn"))
     )
     block = F.floor(col("lo") / FISHER_BLOCK), F.floor(col("hi") / FISHER_BLOCK)
     support = (

@@ -8,62 +8,82 @@ Otherwise both sides are shuffled, and only the keys that would overfill a parti
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 BROADCAST_BYTES_CONF = "spark.lociary.broadcastMaxBytes"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+HOT_SAMPLE_CONF = "spark.lociary.hotKeySample"
+DEFAULT_HOT_SAMPLE = 0.01
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; make one up only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the session names for checkpoints; one is made up only where none is set."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lociary-checkpoint-"))
+    if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lociary-"))
+    return sc.getCheckpointDir()
+
+
+def _size_columns(df: DataFrame) -> list[Column]:
+    """Row count and true length of the text columns."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    lengths = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("bigint") for c in texts], F.lit(0))
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(lengths), F.lit(0)).alias("text")]
+
+
+def _bytes(df: DataFrame, rows: int, text: int) -> int:
+    fixed = sum(8 for f in df.schema.fields if not isinstance(f.dataType, T.StringType))
+    return rows * (fixed + 16) + text
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder, so later uses neither repeat nor change it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once into a table in the shared folder, so later uses neither repeat nor change it."""
+    return _settle_measured(df)[0]
+
+
+def _settle_measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """The stored table and its size, both from the one job that writes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, *_size_columns(df)).write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    return stored, _bytes(df, seen.get["rows"], seen.get["text"])
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Size of the table from its row count and the true length of its text columns."""
-    fixed = sum(8 for f in df.schema.fields if not isinstance(f.dataType, T.StringType))
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.octet_length(F.col(c))).alias(f"t{i}") for i, c in enumerate(texts)],
-    ).first()
-    return row["n"] * (fixed + 16) + sum(row[f"t{i}"] or 0 for i in range(len(texts)))
+    row = df.agg(*_size_columns(df)).first()
+    return _bytes(df, row["rows"], row["text"])
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    bound = int(df.sparkSession.conf.get(BROADCAST_BYTES_CONF, str(DEFAULT_BROADCAST_BYTES)))
-    return bound > 0 and measured_bytes(df) <= bound
+def broadcast_bound(spark: SparkSession) -> int:
+    return int(spark.conf.get(BROADCAST_BYTES_CONF, str(DEFAULT_BROADCAST_BYTES)))
 
 
 def hot_keys(rows: DataFrame, keys: list[str], partitions: int) -> DataFrame:
     """Keys holding more than one fair partition of the rows, with the number of slices each needs.
 
-    At most ``partitions`` keys can exceed ``total / partitions`` rows, and their slices add up to at
-    most ``2 * partitions``: the table is bounded whatever the data looks like.
+    Counted on a sample of the key columns: a miss costs balance, never a result. At most ``partitions``
+    keys can exceed ``total / partitions``, and their slices add up to at most ``2 * partitions``, so the
+    table is bounded whatever the data looks like.
     """
-    counts = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+    fraction = float(rows.sparkSession.conf.get(HOT_SAMPLE_CONF, str(DEFAULT_HOT_SAMPLE)))
+    keyed = rows.select(*keys).dropna()
+    sampled = keyed if fraction >= 1 else keyed.sample(fraction, seed=7)
+    counts = settle(sampled.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
     total = counts.agg(F.sum("__n")).first()[0] or 0
-    return counts.filter(F.col("__n") * partitions > total).select(
-        *keys, F.ceil(F.col("__n") * partitions / F.lit(max(total, 1))).cast("int").alias("__slices")
-    )
+    slices = F.least(F.lit(partitions), F.ceil(F.col("__n") * partitions / F.lit(max(total, 1)))).cast("int")
+    return settle(counts.filter(F.col("__n") * partitions > total).select(*keys, slices.alias("__slices")))
 
 
 def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str, residual=None) -> DataFrame:
     """Shuffle join in which the hot keys of ``rows`` are cut into slices and their table rows repeated."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = settle(hot_keys(rows, keys, partitions))
+    hot = hot_keys(rows, keys, partitions)
     # the task number keeps exact copies of a row apart; both parts repeat identically on a retry
     spread = F.xxhash64(*[F.col(c) for c in rows.columns]) + F.spark_partition_id()
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
@@ -112,8 +132,10 @@ def attach(
     ``stored`` says the table is already a file or a settled result, so measuring it repeats no work.
     ``residual`` is a further condition over columns named ``l.x`` and ``r.y``.
     """
-    if not stored:
-        table = settle(table)
-    if fits_broadcast(table):
+    if stored:
+        size = measured_bytes(table)
+    else:
+        table, size = _settle_measured(table)
+    if size <= broadcast_bound(rows.sparkSession):
         return _join(rows, F.broadcast(table), keys, how, residual)
     return salted_join(rows, table, keys, how, residual)

@@ -20,7 +20,7 @@ TRANSCRIPT_FIELDS = [
     "gene_symbol", "lof", "hgnc_id", "hgvsp", "transcript_id",
     "polyphen_prediction", "polyphen_score", "sift_prediction", "sift_score",
 ]
-INTERVAL_FILES = ["Promoter_UCSC", "DHSmerged_Ulirsch", "Roadmap_H3K27ac_Ulirsch", "CA_H3K27ac_Ulirsch"]
+INTERVAL_FILES = ["promoter", "dhs", "h3k27ac_tissue", "h3k27ac_cell"]
 
 
 def population_freqs(sites: DataFrame, build: str, index: dict[str, int]) -> DataFrame:

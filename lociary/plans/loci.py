@@ -82,9 +82,17 @@ def dentist_s(scored: DataFrame, keys: list[str] = LOCUS) -> tuple[DataFrame, Da
     """Outlier statistic of every variant against its locus lead. Returns (variants, leads)."""
     with_z = scored.withColumn("z", F.col("beta") / F.col("se"))
     leads = settle(lead_rows(with_z, ["z"], "score", "max_score", keys))
-    rows = attach(with_z, leads.select(*keys, "lead_z", "lead_variant", "lead_position"), keys, "inner", stored=True)
+    chosen = leads.select(*keys, "lead_z", F.col("lead_variant").alias("__lead"), F.col("lead_position").alias("__at"))
+    rows = attach(with_z, chosen, keys, "inner", stored=True)
     t = lead_consistency(F.col("z"), F.col("r"), F.col("lead_z"))
-    return rows.withColumn("t_dentist", t).withColumn("nlog10p_dentist", nlog10p_chi2(F.col("t_dentist"))), leads
+    is_lead = (F.col("variant") == F.col("__lead")) & (F.col("position") == F.col("__at"))
+    return (
+        rows.withColumn("t_dentist", t)
+        .withColumn("nlog10p_dentist", nlog10p_chi2(F.col("t_dentist")))
+        .withColumn("lead_variant", is_lead)
+        .drop("__lead", "__at"),
+        leads,
+    )
 
 
 def is_outlier(r2: Column, nlog10p: Column, r2_threshold: float = R2_THRESHOLD) -> Column:
@@ -164,7 +172,7 @@ def locus_prediction(summary: DataFrame, dropped: DataFrame) -> DataFrame:
             "count_bin": pick(count_bin, ["(-Inf,0]", "(0,10]", "(10,100]", "(100, Inf]"]),
         }
     )
-    return attach(labelled, dropped, ["trait_short", "lead_pip_variant"], "left_anti")
+    return attach(labelled, dropped, ["trait_short", "lead_pip_variant"], "left_anti", stored=True)
 
 
 def locus_overview(predicted: DataFrame) -> DataFrame:
@@ -282,7 +290,7 @@ def nonsyn_calibration(predicted: DataFrame, studies: DataFrame, strict: bool =
     """
     suffix = "08" if strict else ""
     kept = attach(
-        predicted.withColumn("study", F.col("trait")), studies.withColumnRenamed("study_accession", "study"), ["study"], "left"
+        predicted.withColumn("study", F.col("trait")), studies.withColumnRenamed("study_accession", "study"), ["study"], "left", stored=True
     ).filter("is_meta_analysis")
     usable = kept.withColumn("gamma", F.col("max_pip") == F.col(f"max_pip_nonsyn{suffix}")).filter(
         (F.col(f"n_nonsyn{suffix}") > 0) & (F.col("prediction") != "NA") & F.col("gamma").isNotNull()

@@ -24,7 +24,7 @@ def imputation_info(info: DataFrame, excluded: DataFrame, build_map: DataFrame,
     """
     name = file_name(F.col("filename"))
     part = lambda i: token(name, "_", i)
-    kept = attach(info, excluded, ["SNP"], "left_anti").withColumns(
+    kept = attach(info, excluded, ["SNP"], "left_anti", stored=True).withColumns(
         {
             "ancestry": part(0),
             "array": part(3),
@@ -32,7 +32,7 @@ def imputation_info(info: DataFrame, excluded: DataFrame, build_map: DataFrame,
         }
     )
     mapped = attach(
-        kept, build_map.select(F.col("original_variant").alias("SNP"), F.col("variant").alias("__mapped")), ["SNP"], "left"
+        kept, build_map.select(F.col("original_variant").alias("SNP"), F.col("variant").alias("__mapped")), ["SNP"], "left", stored=True
     )
     other_build = F.col("imputation") == "TopMed"
     rows = mapped.select(
@@ -45,7 +45,7 @@ def imputation_info(info: DataFrame, excluded: DataFrame, build_map: DataFrame,
     )
     site = ["contig", "position", "ref", "alt"]
     parsed = rows.filter(excluded_symbolic(F.col("variant"))).withColumns(variant_parts(F.col("variant")))
-    return attach(parsed, population, site, "inner")
+    return attach(parsed, population, site, "inner", stored=True)
 
 
 def panel_levels(info: DataFrame) -> DataFrame:

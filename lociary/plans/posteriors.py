@@ -90,6 +90,7 @@ def with_other_build(merged: DataFrame, build_map: DataFrame, build: str) -> Dat
         build_map.select("original_variant", F.col("variant").alias("__other")),
         ["original_variant"],
         "left",
+        stored=True,
     )
     new, old = (F.col("__other"), F.col("original_variant"))
     if build == "GRCh38":
@@ -326,7 +327,7 @@ def pip_pairs(delta: DataFrame, cut: float = 0.001) -> DataFrame:
 def with_merged_cs(rows: DataFrame, merged_sets: DataFrame) -> DataFrame:
     """Attach the merged set id to cohort rows by cohort, trait, region and variant."""
     keys = ["cohort", "trait", "region", "variant"]
-    return attach(rows, merged_sets.select(*keys, "csm_id"), keys, "left")
+    return attach(rows, merged_sets.select(*keys, "csm_id"), keys, "left", stored=True)
 
 
 def cs_merge_labels(leads: DataFrame, merged_sets: DataFrame, window: int) -> DataFrame:

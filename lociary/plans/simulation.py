@@ -127,14 +127,14 @@ def pip_quantile(complete: DataFrame) -> DataFrame:
     Rows without a posterior come last and get negative ranks, so they fall outside every q bin.
     """
     tie = [F.col(c) for c in ("pheno", "config", "contig", "position", "ref", "alt")]
-    ranked = rank_within(complete, ["id"], [F.desc_nulls_last("prob"), *tie], "__pos")
+    ranked = rank_within(complete, ["id"], [F.desc_nulls_last("prob"), *tie], "__place")
     known = ranked.groupBy("id").agg(F.count("prob").alias("__n"))
     out = attach(ranked, known, ["id"], "inner")
-    rank = F.when(F.col("prob").isNull(), F.col("__n") - 1 - F.col("__pos")).otherwise(F.col("__pos"))
+    rank = F.when(F.col("prob").isNull(), F.col("__n") - 1 - F.col("__place")).otherwise(F.col("__place"))
     return (
         out.withColumn("rank", rank)
         .withColumn("q", F.try_divide(F.col("rank").cast("double"), F.col("__n")))
-        .drop("__pos", "__n")
+        .drop("__place", "__n")
     )
 
 

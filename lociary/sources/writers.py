@@ -41,3 +41,7 @@ def ingest(
         df = df.repartition(partitions) if partitions else df
         out[name] = write_table(df, f"{target.rstrip('/')}/{name}", overwrite=overwrite)
     return out
+
+
+def write_json(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
+    df.write.mode("overwrite" if overwrite else "error").json(path)
