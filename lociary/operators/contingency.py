@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lociary.functions.stats import Z_975, log_factorial
+from lociary.operators.keyed import settle
 
 FISHER_BLOCK = 4096
 
@@ -29,44 +30,51 @@ def _uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def _binomial_draw(n: Column, p: Column, u: Column, v: Column) -> Column:
-    """Binomial draw from two uniforms: inversion while the variance is small (a bounded walk), the
-    normal limit beyond."""
-    q = F.least(p, 1 - p)
-    mean, spread = n * q, F.sqrt(n * q * (1 - q))
-    steps = F.greatest(F.lit(1), F.least(n, F.ceil(mean + 10 * spread + 10)).cast("int"))
+def _binomial_cdf(n: Column, q: Column) -> Column:
+    """Cumulative probabilities 0, 1, 2, ... of a binomial with small variance and q <= 1/2, up to where
+    they reach 1; at most about 120 of them."""
+    last = F.least(n, F.ceil(n * q + 50 + 10 * F.sqrt(n * q))).cast("int")
     start = F.exp(n * F.ln(1 - q))
 
-    def walk(state: Column, i: Column) -> Column:
+    def step(state: Column, i: Column) -> Column:
         pmf = state["pmf"] * (n - i + 1) / i * q / (1 - q)
         return F.struct(
             pmf.alias("pmf"),
-            (state["cdf"] + pmf).alias("cdf"),
-            F.when(u > state["cdf"], i).otherwise(state["k"]).alias("k"),
+            (state["sum"] + pmf).alias("sum"),
+            F.concat(state["cdf"], F.array(state["sum"] + pmf)).alias("cdf"),
         )
 
-    zero = F.struct(start.alias("pmf"), start.alias("cdf"), F.lit(0).alias("k"))
-    walked = F.aggregate(F.sequence(F.lit(1), steps), zero, walk)["k"].cast("double")
-    normal = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
-    limit = F.least(n, F.greatest(F.lit(0.0), F.round(mean + spread * normal)))
-    small = F.when(spread < 5, walked).otherwise(limit)
-    return F.when(p <= 0.5, small).otherwise(n - small)
+    zero = F.struct(start.alias("pmf"), start.alias("sum"), F.array(start).alias("cdf"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), zero, step)["cdf"]
 
 
 def bootstrap_risk_ratio(tables: DataFrame, keys: list[str], replicates: int = 5000, seed: int = 1) -> DataFrame:
     """95 % percentile interval of the risk ratio over parametric bootstrap replicates.
 
-    Draws depend only on seed, keys and replicate number, so a repeated task repeats them.
+    Binomial draws use inversion while the variance is small and the normal limit beyond. They depend
+    only on seed, keys and replicate number, so a repeated task repeats them.
     """
-    drawn = tables.filter((F.col("total1") > 0) & (F.col("total2") > 0)).withColumn(
-        "__b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    )
+    prepared = tables.filter((F.col("total1") > 0) & (F.col("total2") > 0))
+    for side in ("1", "2"):
+        n, p = F.col(f"total{side}").cast("double"), F.col(f"hits{side}") / F.col(f"total{side}")
+        q = F.least(p, 1 - p)
+        small = n * q * (1 - q) < 25
+        prepared = prepared.withColumns(
+            {f"__p{side}": p, f"__n{side}": n, f"__q{side}": q, f"__cdf{side}": F.when(small, _binomial_cdf(n, q))}
+        )
+    # stored, so that the cumulative tables are not rebuilt for every replicate
+    prepared = settle(prepared.select(*keys, *[f"__{c}{s}" for s in "12" for c in ("p", "n", "q", "cdf")]))
+    drawn = prepared.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     names = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
     for side in ("1", "2"):
-        n = F.col(f"total{side}").cast("double")
-        p = F.col(f"hits{side}") / n
+        p, n, q, cdf = [F.col(f"__{c}{side}") for c in ("p", "n", "q", "cdf")]
         u, v = [_uniform(F.lit(seed), F.lit(side), F.lit(w), F.col("__b"), *names) for w in ("u", "v")]
-        drawn = drawn.withColumn(f"__x{side}", _binomial_draw(n, p, u, v) / n)
+        drawn = drawn.withColumns({"__u": u, "__v": v})
+        inverted = F.size(F.filter(cdf, lambda c: c < F.col("__u"))).cast("double")
+        normal = F.sqrt(-2 * F.ln("__u")) * F.cos(2 * math.pi * F.col("__v"))
+        limit = F.round(n * q + F.sqrt(n * q * (1 - q)) * normal)
+        x = F.greatest(F.lit(0.0), F.least(n, F.when(cdf.isNotNull(), inverted).otherwise(limit)))
+        drawn = drawn.withColumn(f"__x{side}", F.when(p <= 0.5, x).otherwise(n - x) / n)
     return drawn.groupBy(*keys).agg(
         F.percentile(F.try_divide("__x2", "__x1"), F.array(F.lit(0.025), F.lit(0.975))).alias("__q")
     ).select(*keys, F.get("__q", F.lit(0)).alias("rr_lower"), F.get("__q", F.lit(1)).alias("rr_upper"))

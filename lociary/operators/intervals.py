@@ -27,50 +27,43 @@ def points_in_intervals(
     return attach(rows, binned, keys + ["__bin"], "inner", residual=inside).drop("__bin")
 
 
-def merge_intervals(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Union of overlapping or touching half-open intervals per key, as disjoint ``start``/``end`` rows.
+def coverage_segments(intervals: DataFrame, files: list[str]) -> DataFrame:
+    """Disjoint half-open segments per contig with one 0/1 column per file: is it covered there?
 
-    Coverage changes are summed per position first, so many equal or nested intervals cost one row.
+    Coverage changes are summed per position first, so many equal or nested intervals cost one row; a
+    running sum over all changes of a contig then gives each file's depth between two change points.
     """
-    changes = (
-        intervals.select(*keys, F.col("start").alias("at"), F.lit(1).cast("bigint").alias("change"))
-        .unionByName(intervals.select(*keys, F.col("end").alias("at"), F.lit(-1).cast("bigint").alias("change")))
-        .groupBy(*keys, "at")
-        .agg(F.sum("change").alias("change"))
-        .filter(F.col("change") != 0)
+    edges = F.array(
+        F.struct(F.col("start").alias("at"), F.lit(1).cast("bigint").alias("change")),
+        F.struct(F.col("end").alias("at"), F.lit(-1).cast("bigint").alias("change")),
     )
-    depth = running_totals(changes, keys, [F.col("at")], {"depth": "change"})
-    opened = depth.filter((F.col("depth") > 0) & (F.col("depth") == F.col("change")))
-    closed = depth.filter(F.col("depth") == 0)
-    # openings and closings alternate, so the i-th opening belongs to the i-th closing of a key
-    edges = settle(
-        opened.select(*keys, F.col("at").alias("start"), F.lit(None).cast("bigint").alias("end"), F.lit(1).alias("open"))
-        .unionByName(closed.select(*keys, F.lit(None).cast("bigint").alias("start"), F.col("at").alias("end"), F.lit(0).alias("open")))
-        .withColumn("at", F.coalesce("start", "end"))
+    changes = (
+        intervals.filter(F.col("end") > F.col("start"))
+        .select("contig", "file", F.explode(edges).alias("e"))
+        .groupBy("contig", F.col("e.at").alias("at"))
+        .agg(
+            F.lit(1).cast("bigint").alias("one"),
+            *[F.sum(F.when(F.col("file") == f, F.col("e.change")).otherwise(0)).alias(f"d_{f}") for f in files],
+        )
     )
-    numbered = running_totals(edges, keys, [F.col("at")], {"nth": "open"})
-    return (
-        numbered.groupBy(*keys, "nth")
-        .agg(F.max("start").alias("start"), F.max("end").alias("end"))
-        .drop("nth")
+    depth = settle(
+        running_totals(changes, ["contig"], [F.col("at")], {"nth": "one", **{f"depth_{f}": f"d_{f}" for f in files}})
     )
+    following = depth.select("contig", (F.col("nth") - 1).alias("nth"), F.col("at").alias("end"))
+    covered = [(F.col(f"depth_{f}") > 0).cast("int").alias(f) for f in files]
+    segments = depth.join(following, ["contig", "nth"]).select("contig", F.col("at").alias("start"), "end", *covered)
+    return segments.filter(F.greatest(*[F.col(f) for f in files]) > 0) if len(files) > 1 else segments.filter(F.col(files[0]) > 0)
 
 
-def interval_flags(
-    points: DataFrame, intervals: DataFrame, files: list[str], width: int = 10_000
-) -> DataFrame:
+def interval_flags(points: DataFrame, intervals: DataFrame, files: list[str], width: int = 10_000) -> DataFrame:
     """One 0/1 column per interval file: does ``start < position <= end`` hold for any of its rows?
 
     Intervals carry ``file, contig, start, end`` (0-based half-open), points ``contig, position`` (1-based).
-    The intervals of a file are made disjoint first: a point then meets at most one of them, so the join
-    multiplies nothing and its bins number at most genome / width plus the interval count.
+    All files are cut into one list of disjoint segments first: a point meets at most one, so a single
+    join multiplies nothing, and its bins number at most genome / width plus the segment count.
     """
-    disjoint = settle(merge_intervals(intervals, ["file", "contig"]))
-    out = points.withColumn("__bin", F.floor((F.col("position") - 1) / width))
+    binned = explode_bins(coverage_segments(intervals, files), "start", "end", width)
+    rows = points.withColumn("__bin", F.floor((F.col("position") - 1) / width))
     inside = (F.col("r.start") < F.col("l.position")) & (F.col("l.position") <= F.col("r.end"))
-    for name in files:
-        one = disjoint.filter(F.col("file") == name).drop("file")
-        binned = explode_bins(one, "start", "end", width).withColumn("__hit", F.lit(1))
-        hits = attach(out, binned, ["contig", "__bin"], "left", residual=inside)
-        out = hits.withColumn(name, F.coalesce("__hit", F.lit(0))).drop("start", "end", "__hit")
-    return out.drop("__bin")
+    hits = attach(rows, binned, ["contig", "__bin"], "left", residual=inside)
+    return hits.withColumns({f: F.coalesce(f, F.lit(0)) for f in files}).drop("start", "end", "__bin")

@@ -243,11 +243,11 @@ SQL["transcripts"] = " UNION ALL ".join(
 # effects of customers read as variants, two cohorts x two ancestries and the pooled estimate
 SQL["cohort_effects"] = """
 SELECT c_custkey AS key, 'snp' || CAST(c_custkey AS STRING) AS variant,
-  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal / 1e4 END AS NATION_1_america_beta,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal / 1.1e4 END AS NATION_1_america_beta,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 1e-1 + (c_nationkey + 1) / 100e0 END AS NATION_1_america_sebeta,
-  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal / 2e4 - 1e-1 END AS NATION_1_asia_beta,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal / 2.1e4 - 1e-1 END AS NATION_1_asia_beta,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 2e-1 + (c_nationkey + 1) / 90e0 END AS NATION_1_asia_sebeta,
-  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 2e-1 - c_acctbal / 3e4 END AS NATION_7_asia_beta,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 2e-1 - c_acctbal / 3.1e4 END AS NATION_7_asia_beta,
   CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 3e-1 + (c_nationkey + 1) / 80e0 END AS NATION_7_asia_sebeta,
   c_acctbal / 5e4 AS all_inv_var_meta_beta, 5e-2 + (c_nationkey + 1) / 500e0 AS all_inv_var_meta_sebeta,
   c_acctbal / 6e4 AS all_meta_beta, 6e-2 AS all_meta_sebeta

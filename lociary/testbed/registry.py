@@ -43,16 +43,43 @@ def big(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint") for c in ints})
 
 
-# --- shared chains -------------------------------------------------------------------------------
+# --- stages: outputs of one step that later steps read from storage --------------------------------
 
+_STAGED: dict[tuple[str, str, str], list[str]] = {}
 
+
+def stage(build: Callable) -> Callable:
+    """Compute a step once per application and store it; ``.compute`` runs the step itself, unstored."""
+
+    def read(spark: SparkSession, d: str):
+        key = (spark.sparkContext.applicationId, d, build.__name__)
+        if key not in _STAGED:
+            out = build(spark, d)
+            parts = out if isinstance(out, tuple) else (out,)
+            folder = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+            paths = [f"{folder}/{build.__name__}-{i}" for i in range(len(parts))]
+            for part, path in zip(parts, paths):
+                part.write.parquet(path)
+            _STAGED[key] = paths
+        stored = tuple(spark.read.parquet(p) for p in _STAGED[key])
+        return stored if len(stored) > 1 else stored[0]
+
+    read.compute = build
+    return read
+
+
+@stage
 def variants(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows, leads = loci.dentist_s(loci.abf_pip(domain(spark, d, "sumstats")))
     return rows.withColumns({"cs": F.col("prob") > 0.1, "cs_99": F.col("prob") > 0.01}), leads
 
 
+@stage
 def with_ext(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows, leads = variants(spark, d)
+    return external(spark, d, *variants(spark, d))
+
+
+def external(spark: SparkSession, d: str, rows: DataFrame, leads: DataFrame) -> tuple[DataFrame, DataFrame]:
     gwas, eqtl = domain(spark, d, "ext_gwas"), domain(spark, d, "ext_eqtl")
     rows = loci.with_external_pips(rows, gwas, eqtl, stored=True)
     named = leads.withColumn("variant", F.col("lead_variant"))
@@ -61,31 +88,38 @@ def with_ext(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows, renamed.drop("variant")
 
 
+@stage
 def summary(spark: SparkSession, d: str) -> DataFrame:
-    return loci.locus_summary(*with_ext(spark, d))
+    # the flagship runs its whole chain from the summary statistics, not from stages
+    return loci.locus_summary(*external(spark, d, *variants.compute(spark, d)))
 
 
+@stage
 def predicted(spark: SparkSession, d: str) -> DataFrame:
     return loci.locus_prediction(summary(spark, d), domain(spark, d, "dropped_loci"))
 
 
+@stage
 def sim_variants(spark: SparkSession, d: str) -> DataFrame:
     return simulation.parse_study(domain(spark, d, "sim_abf"))
 
 
+@stage
 def sim_regions(spark: SparkSession, d: str) -> DataFrame:
     return simulation.region_summary(sim_variants(spark, d))
 
 
-def sim_causal(spark: SparkSession, d: str, regions: DataFrame | None = None) -> DataFrame:
-    effects_ = simulation.parse_effects(domain(spark, d, "true_effects"))
-    return simulation.true_causal_in_region(effects_, sim_regions(spark, d) if regions is None else regions)
+@stage
+def sim_causal(spark: SparkSession, d: str) -> DataFrame:
+    return simulation.true_causal_in_region(simulation.parse_effects(domain(spark, d, "true_effects")), sim_regions(spark, d))
 
 
+@stage
 def sim_complete(spark: SparkSession, d: str) -> DataFrame:
     return simulation.variants_complete(sim_variants(spark, d), sim_causal(spark, d))
 
 
+@stage
 def sim_metrics(spark: SparkSession, d: str) -> DataFrame:
     # the sort moves whole rows, so only what the metrics need enters it
     slim = sim_complete(spark, d).select(
@@ -94,22 +128,30 @@ def sim_metrics(spark: SparkSession, d: str) -> DataFrame:
     return simulation.calibration_bins(settle(simulation.pip_quantile(slim)))
 
 
+@stage
 def sim_frac(spark: SparkSession, d: str) -> DataFrame:
     # ranks are not used by the bins, so the completed variants serve directly
-    regions = settle(sim_regions(spark, d))
-    complete = simulation.variants_complete(sim_variants(spark, d), sim_causal(spark, d, regions))
-    return simulation.dentist_bins(complete, regions)
+    return simulation.dentist_bins(sim_complete(spark, d), sim_regions(spark, d))
 
 
+@stage
 def sim_locus(spark: SparkSession, d: str) -> DataFrame:
     return simulation.locus_prediction(simulation.locus_metrics(sim_frac(spark, d)))
 
 
+@stage
+def sim_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return simulation.prob001(sim_complete(spark, d), sim_regions(spark, d))
+
+
+@stage
+def sim_leads(spark: SparkSession, d: str) -> DataFrame:
+    return simulation.lead_samples(sim_complete(spark, d), sim_regions(spark, d))
+
+
+@stage
 def sim_sweep(spark: SparkSession, d: str) -> DataFrame:
-    regions = settle(sim_regions(spark, d))
-    complete = simulation.variants_complete(sim_variants(spark, d), sim_causal(spark, d, regions))
-    predicted_ = simulation.locus_prediction(simulation.locus_metrics(simulation.dentist_bins(complete, regions)))
-    return simulation.calibration_by_threshold(simulation.prob001(complete, regions), predicted_)
+    return simulation.calibration_by_threshold(sim_candidates(spark, d), sim_locus(spark, d))
 
 
 def post_cohort(spark: SparkSession, d: str, number: int) -> DataFrame:
@@ -120,21 +162,27 @@ def post_cohort(spark: SparkSession, d: str, number: int) -> DataFrame:
     )
 
 
+@stage
 def post_all(spark: SparkSession, d: str) -> DataFrame:
     third = post_cohort(spark, d, 2)
     earlier = third.withColumn("cohort", F.lit("earlier"))
     return posteriors.all_cohorts([post_cohort(spark, d, 0), post_cohort(spark, d, 1), third], earlier, ["Asthma", "HF"])
 
 
+@stage
 def pip_wide(spark: SparkSession, d: str) -> DataFrame:
     return posteriors.max_pip_across_cohorts(domain(spark, d, "posteriors"), bridge.COHORTS)
 
 
+@stage
 def delta(spark: SparkSession, d: str) -> DataFrame:
-    rows, leads = with_ext(spark, d)
-    classes = loci.locus_prediction(loci.locus_summary(rows, leads), domain(spark, d, "dropped_loci"))
-    rows = rows.drop("variant_b37")
-    return posteriors.pip_delta(rows, classes, pip_wide(spark, d), bridge.TRAIT_RENAMES)
+    rows = with_ext(spark, d)[0].drop("variant_b37")
+    return posteriors.pip_delta(rows, predicted(spark, d), pip_wide(spark, d), bridge.TRAIT_RENAMES)
+
+
+@stage
+def merged_lead_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return posteriors.lead_cs_size(named_posteriors(spark, d), delta_leads(delta(spark, d)))
 
 
 def delta_leads(rows: DataFrame) -> DataFrame:
@@ -145,6 +193,7 @@ def named_posteriors(spark: SparkSession, d: str) -> DataFrame:
     return domain(spark, d, "posteriors").withColumn("trait", recode(F.col("trait"), bridge.TRAIT_RENAMES))
 
 
+@stage
 def panel_rows(spark: SparkSession, d: str) -> DataFrame:
     return panels.imputation_info(
         *[domain(spark, d, n) for n in ("panel_info", "panel_excluded", "panel_build_map", "population_maf")]
@@ -178,7 +227,7 @@ def bed(spark: SparkSession, d: str) -> DataFrame:
     "sim_regions",
 )
 def _(spark, d):
-    return big(r6(sim_regions(spark, d), "lead_z"))
+    return big(r6(sim_regions.compute(spark, d), "lead_z"))
 
 
 @query(
@@ -197,7 +246,7 @@ def _(spark, d):
     "sim_causal",
 )
 def _(spark, d):
-    return big(sim_causal(spark, d))
+    return big(sim_causal.compute(spark, d))
 
 
 @query(
@@ -208,7 +257,7 @@ def _(spark, d):
 )
 def _(spark, d):
     return big(
-        sim_complete(spark, d).select(
+        sim_complete.compute(spark, d).select(
             *simulation.STUDY_VARIANT, "region", "variant", "prob", "gamma", "gamma_from_region", "pheno_group", "config_group", "id"
         )
     )
@@ -238,7 +287,7 @@ def _(spark, d):
     "sim_metrics",
 )
 def _(spark, d):
-    return big(r6(sim_metrics(spark, d), "mean_prob", "mean_prob_sd"))
+    return big(r6(sim_metrics.compute(spark, d), "mean_prob", "mean_prob_sd"))
 
 
 @query(
@@ -248,7 +297,7 @@ def _(spark, d):
     "sim_in_regions",
 )
 def _(spark, d):
-    return big(simulation.lead_samples(sim_complete(spark, d), sim_regions(spark, d)))
+    return big(sim_leads.compute(spark, d))
 
 
 @query(
@@ -258,7 +307,7 @@ def _(spark, d):
     "sim_in_regions",
 )
 def _(spark, d):
-    return big(r6(simulation.prob001(sim_complete(spark, d), sim_regions(spark, d)), "t_dentist"))
+    return big(r6(sim_candidates.compute(spark, d), "t_dentist"))
 
 
 @query(
@@ -270,7 +319,7 @@ def _(spark, d):
     "sim_frac",
 )
 def _(spark, d):
-    return big(r6(sim_frac(spark, d), "weighted_n_by_dentist"))
+    return big(r6(sim_frac.compute(spark, d), "weighted_n_by_dentist"))
 
 
 _CAL = wilson("prob_true_bins", "prob_bins")
@@ -308,7 +357,7 @@ _FDR = ["mean_prob", "mean_prob_sd", "calibration_lower", "calibration_upper", "
     "sim_metrics",
 )
 def _(spark, d):
-    metrics = settle(sim_metrics(spark, d))
+    metrics = sim_metrics(spark, d)
     return big(r6(simulation.fdr_recall(simulation.with_second_build(metrics, metrics)), *_FDR))
 
 
@@ -319,7 +368,7 @@ def _(spark, d):
     "sim_locus",
 )
 def _(spark, d):
-    return big(sim_locus(spark, d).drop("prediction"))
+    return big(sim_locus.compute(spark, d).drop("prediction"))
 
 
 @query(
@@ -328,7 +377,7 @@ def _(spark, d):
     "sim_locus",
 )
 def _(spark, d):
-    return big(sim_locus(spark, d).select("pheno", "config", "region", "count", "prediction"))
+    return big(sim_locus.compute(spark, d).select("pheno", "config", "region", "count", "prediction"))
 
 
 _SWEEP = ["mean_prob", "calibration_lower", "calibration_upper", "fdr", "fdr_lower", "fdr_upper"]
@@ -341,7 +390,7 @@ _SWEEP = ["mean_prob", "calibration_lower", "calibration_upper", "fdr", "fdr_low
     "sim_sweep",
 )
 def _(spark, d):
-    return r6(sim_sweep(spark, d), *_SWEEP)
+    return r6(sim_sweep.compute(spark, d), *_SWEEP)
 
 
 @query(
@@ -417,7 +466,7 @@ _SIM_RATIO = f"""SELECT pheno::BIGINT AS pheno, config::BIGINT AS config, region
 
 @query("sim_sample_size_ratio", _SIM_RATIO, "sim_in_regions")
 def _(spark, d):
-    leads = simulation.lead_samples(sim_complete(spark, d), sim_regions(spark, d))
+    leads = sim_leads(spark, d)
     return big(simulation.sample_size_ratio(leads, _SIM_CONFIGS))
 
 
@@ -429,7 +478,7 @@ def _(spark, d):
     "sim_in_regions",
 )
 def _(spark, d):
-    leads = simulation.lead_samples(sim_complete(spark, d), sim_regions(spark, d))
+    leads = sim_leads(spark, d)
     ratios = settle(simulation.sample_size_ratio(leads, _SIM_CONFIGS))
     return r6(simulation.sample_size_ratio_summary(ratios), "q1", "median", "mean", "q3", "share_below_1")
 
@@ -451,7 +500,7 @@ def _(spark, d):
 )
 def _(spark, d):
     columns = ["lead_z", "t_dentist", "nlog10p_dentist"]
-    return r6(variants(spark, d)[0].select("trait", "region", "variant", *columns), *columns)
+    return r6(variants.compute(spark, d)[0].select("trait", "region", "variant", *columns), *columns)
 
 
 _SUMMARY = ["trait", "region", "lead_pip_variant", "n_total", "n_r2", "n_dentist_outlier", "fraction", "n_nonsyn", "cs_nonsyn", "cs_99_nonsyn"]
@@ -462,7 +511,7 @@ _ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in _SUMMARY6)
 
 @query("locus_summary", f"SELECT {', '.join(_SUMMARY)}, {_ROUNDED} FROM summary", "summary")
 def _(spark, d):
-    return r6(summary(spark, d).select(*_SUMMARY, *_SUMMARY6), *_SUMMARY6)
+    return r6(summary.compute(spark, d).select(*_SUMMARY, *_SUMMARY6), *_SUMMARY6)
 
 
 @query(
@@ -471,7 +520,7 @@ def _(spark, d):
     "predicted",
 )
 def _(spark, d):
-    return predicted(spark, d).select(
+    return predicted.compute(spark, d).select(
         "trait", "trait_short", "region", "lead_pip_variant", "prediction", "max_pip_bin", "count_bin"
     )
 
@@ -518,9 +567,7 @@ _TABLES22 = """SELECT evidence, type, sum(CASE WHEN prediction = 'SL' THEN count
     sum(CASE WHEN prediction = 'NSL' THEN count + count2 ELSE 0 END) AS total2 FROM validation GROUP BY evidence, type"""
 
 
-@query(
-    "validation_risk_ratio",
-    f"""WITH t AS ({_TABLES22}),
+_RISK = f"""WITH t AS ({_TABLES22}),
        support AS (SELECT *, unnest(range(CAST(greatest(0, total2 - (total1 + total2 - hits1 - hits2)) AS BIGINT), CAST(least(total2, hits1 + hits2) + 1 AS BIGINT))) AS k FROM t),
        pmf AS (SELECT *,
            lgamma(K1 + 1) - lgamma(k + 1) - lgamma(K1 - k + 1) + lgamma(N0 - K1 + 1) - lgamma(total2 - k + 1) - lgamma(N0 - K1 - total2 + k + 1)
@@ -533,13 +580,19 @@ _TABLES22 = """SELECT evidence, type, sum(CASE WHEN prediction = 'SL' THEN count
          CAST(total2 AS BIGINT) AS total2, round(pvalue, 6) AS pvalue,
          round((hits2::DOUBLE / nullif(total2, 0)) / nullif(hits1::DOUBLE / nullif(total1, 0), 0), 6) AS rr,
          CASE WHEN pvalue <= 0.0001 THEN '****' WHEN pvalue <= 0.001 THEN '***' WHEN pvalue <= 0.01 THEN '**' WHEN pvalue <= 0.05 THEN '*' ELSE 'ns' END AS stars
-       FROM t JOIN p USING (evidence, type) WHERE pvalue < 0.05""",
-    "validation",
-)
+       FROM t JOIN p USING (evidence, type)"""
+
+
+@query("validation_risk_ratio", f"SELECT * FROM (\n{_RISK}\n) WHERE pvalue < 0.05", "validation")
 def _(spark, d):
     return r6(loci.validation_risk_ratio(predicted(spark, d)), "pvalue", "rr")
 
 
+@query("validation_risk_ratio_all", _RISK, "validation")
+def _(spark, d):
+    return r6(loci.validation_risk_ratio(predicted(spark, d), p_cut=2.0), "pvalue", "rr")
+
+
 @query("validation_risk_ratio_interval")
 def _(spark, d):
     return loci.validation_risk_ratio_interval(predicted(spark, d))
@@ -697,7 +750,7 @@ def _(spark, d):
     "post_all",
 )
 def _(spark, d):
-    return big(r6(post_all(spark, d), "pip"))
+    return big(r6(post_all.compute(spark, d), "pip"))
 
 
 @query(
@@ -719,7 +772,7 @@ def _(spark, d):
     "pip_wide",
 )
 def _(spark, d):
-    return pip_wide(spark, d)
+    return pip_wide.compute(spark, d)
 
 
 @query(
@@ -733,7 +786,7 @@ def _(spark, d):
 
 @query("lead_cs_size", "SELECT trait, cohort, variant, cs_size FROM lead_sizes", "lead_sizes")
 def _(spark, d):
-    return posteriors.lead_cs_size(named_posteriors(spark, d), delta_leads(delta(spark, d)))
+    return merged_lead_sizes.compute(spark, d)
 
 
 @query(
@@ -748,9 +801,7 @@ def _(spark, d):
     "lead_sizes",
 )
 def _(spark, d):
-    rows = settle(delta(spark, d))
-    sizes = posteriors.lead_cs_size(named_posteriors(spark, d), delta_leads(rows))
-    compared = posteriors.cs_size_comparison(posteriors.cs_size_rows(rows, sizes))
+    compared = posteriors.cs_size_comparison(posteriors.cs_size_rows(delta(spark, d), merged_lead_sizes(spark, d)))
     return r6(compared, "mean", "median")
 
 
@@ -774,7 +825,7 @@ def _(spark, d):
     "delta",
 )
 def _(spark, d):
-    rows = delta(spark, d).select(
+    rows = delta.compute(spark, d).select(
         "trait", "region", "variant", "variant_b37", "prediction", "prob", "max_pip", "delta", "ratio",
         "prob_bin", "max_pip_bin", "max_pip_gwas", "max_pip_eqtl",
     )
@@ -892,12 +943,12 @@ def _(spark, d):
     "cs_merge_labels",
     """WITH lead AS (SELECT DISTINCT CASE split_part(trait, '_', 1) WHEN 'A' THEN 'alpha' ELSE split_part(trait, '_', 1) END AS trait, lead_variant FROM leads),
        own AS (SELECT trait, variant AS lead_variant, min(csm_id) AS lead_csm_id FROM csm GROUP BY ALL),
-       spans AS (SELECT l.trait, lead_variant, split_part(lead_variant, ':', 1) AS contig, split_part(lead_variant, ':', 2)::BIGINT AS at, coalesce(lead_csm_id, 1) AS lead_csm_id
+       spans AS (SELECT l.trait, lead_variant, split_part(lead_variant, ':', 1) AS contig, split_part(lead_variant, ':', 2)::BIGINT AS lead_at, coalesce(lead_csm_id, 1) AS lead_csm_id
                  FROM lead l LEFT JOIN own USING (trait, lead_variant))
        SELECT s.trait, s.lead_variant, c.cohort, c.variant, c.csm_id::BIGINT AS csm_id, s.lead_csm_id::BIGINT AS lead_csm_id,
-         abs(split_part(c.variant, ':', 2)::BIGINT - at) AS distance, c.csm_id = s.lead_csm_id AS highlighted
+         abs(split_part(c.variant, ':', 2)::BIGINT - lead_at) AS distance, c.csm_id = s.lead_csm_id AS highlighted
        FROM spans s JOIN csm c ON c.trait = s.trait AND split_part(c.variant, ':', 1) = s.contig
-         AND split_part(c.variant, ':', 2)::BIGINT >= (at - 50000) * 0.99::DOUBLE AND split_part(c.variant, ':', 2)::BIGINT <= (at + 50000) * 1.01::DOUBLE""",
+         AND split_part(c.variant, ':', 2)::BIGINT >= (lead_at - 50000) * 0.99::DOUBLE AND split_part(c.variant, ':', 2)::BIGINT <= (lead_at + 50000) * 1.01::DOUBLE""",
     "leads",
     "csm",
 )
@@ -921,13 +972,13 @@ def _pairs(spark, d):
     "cohort_z_pairs",
     """SELECT pair_id, cohort, ancestry, round(coalesce(b1, 8), 6) AS variant1_beta, round(se1, 6) AS variant1_sebeta,
          round(coalesce(b2, 8), 6) AS variant2_beta, round(se2, 6) AS variant2_sebeta, n, n_case, n_control, round(neff, 6) AS neff, missingness,
-         round(CASE WHEN b1 IS NULL THEN 0 ELSE b1 / se1 END, 6) AS variant1_z, round(CASE WHEN b2 IS NULL THEN 0 ELSE b2 / se2 END, 6) AS variant2_z,
+         round(CASE WHEN b1 IS NULL THEN 0 ELSE b1 / se1 END, 8) AS variant1_z, round(CASE WHEN b2 IS NULL THEN 0 ELSE b2 / se2 END, 8) AS variant2_z,
          CASE WHEN missingness <> 'Both exist' OR cohort = 'Meta' THEN cohort ELSE '' END AS label FROM z_pairs""",
     "z_pairs",
 )
 def _(spark, d):
-    columns = [f"variant{s}_{c}" for s in (1, 2) for c in ("beta", "sebeta", "z")]
-    return r6(_pairs(spark, d), *columns, "neff")
+    rows = _pairs(spark, d).withColumns({c: F.round(c, 8) for c in ("variant1_z", "variant2_z")})
+    return r6(rows, *[f"variant{s}_{c}" for s in (1, 2) for c in ("beta", "sebeta")], "neff")
 
 
 @query(
@@ -962,7 +1013,7 @@ def _(spark, d):
     "info",
 )
 def _(spark, d):
-    return panel_rows(spark, d).select(
+    return panel_rows.compute(spark, d).select(
         "variant", "variant_b38", "freq", "rsq", "ancestry", "array", "imputation", "label", "min_maf", "max_maf"
     )
 
@@ -983,7 +1034,7 @@ def _mode_name(mode: str) -> str:
 for _mode in ("", "gnomad_min", "gnomad_max_min"):
 
     def _collections(spark, d, mode=_mode):
-        return panels.panel_collections(settle(panel_rows(spark, d)), mode).drop("labels")
+        return panels.panel_collections(panel_rows(spark, d), mode).drop("labels")
 
     query(
         _mode_name(_mode),
@@ -1006,7 +1057,7 @@ _TOP = f"""WITH c AS ({collections('gnomad_min', panels.MAF_THRESHOLDS, panels.R
     "info",
 )
 def _(spark, d):
-    return big(panels.panel_top(panels.panel_collections(settle(panel_rows(spark, d)), "gnomad_min")))
+    return big(panels.panel_top(panels.panel_collections(panel_rows(spark, d), "gnomad_min")))
 
 
 @query(
@@ -1016,7 +1067,7 @@ def _(spark, d):
     "info",
 )
 def _(spark, d):
-    return panels.panel_top_members(panels.panel_collections(settle(panel_rows(spark, d)), "gnomad_min"))
+    return panels.panel_top_members(panels.panel_collections(panel_rows(spark, d), "gnomad_min"))
 
 
 @query(
@@ -1028,7 +1079,7 @@ def _(spark, d):
     "info",
 )
 def _(spark, d):
-    info = settle(panel_rows(spark, d))
+    info = panel_rows(spark, d)
     every = info.agg(F.count_distinct("label")).first()[0]
     sets = panels.panel_collections(info, "gnomad_min", panels.SHARED_MAF, panels.SHARED_RSQ)
     return panels.panel_shared_fraction(sets, every)
@@ -1155,9 +1206,7 @@ def _(spark, d):
     "with_ext",
 )
 def _(spark, d):
-    rows, leads = with_ext(spark, d)
-    classes = loci.locus_prediction(loci.locus_summary(rows, leads), domain(spark, d, "dropped_loci"))
-    return r6(reports.report_predictions(classes, domain(spark, d, "sumstats")), "max_pip", "max_pip_nonsyn")
+    return r6(reports.report_predictions(predicted(spark, d), domain(spark, d, "sumstats")), "max_pip", "max_pip_nonsyn")
 
 
 @query(
