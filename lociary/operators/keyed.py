@@ -55,7 +55,12 @@ def _settle_measured(df: DataFrame) -> tuple[DataFrame, int]:
     return stored, _bytes(df, seen.get["rows"], seen.get["text"])
 
 
-def measured_bytes(df: DataFrame) -> int:
+def measured_bytes(df: DataFrame, bound: int | None = None) -> int:
+    """Size of a stored table. With a bound, the text is read only if the row count alone is within it."""
+    if bound is not None:
+        by_rows = _bytes(df, df.count(), 0)  # answered from file footers for a stored table
+        if by_rows > bound:
+            return by_rows
     row = df.agg(*_size_columns(df)).first()
     return _bytes(df, row["rows"], row["text"])
 
@@ -132,10 +137,11 @@ def attach(
     ``stored`` says the table is already a file or a settled result, so measuring it repeats no work.
     ``residual`` is a further condition over columns named ``l.x`` and ``r.y``.
     """
+    bound = broadcast_bound(rows.sparkSession)
     if stored:
-        size = measured_bytes(table)
+        size = measured_bytes(table, bound)
     else:
         table, size = _settle_measured(table)
-    if size <= broadcast_bound(rows.sparkSession):
+    if bound > 0 and size <= bound:
         return _join(rows, F.broadcast(table), keys, how, residual)
     return salted_join(rows, table, keys, how, residual)

@@ -86,7 +86,6 @@ def exact_quantiles(
     key = group or ["__all"]
     if not group:
         ranked = ranked.withColumn("__all", F.lit(0))
-    ranked = settle(ranked)
     sizes = ranked.groupBy(*key).agg((F.max("__rank") + 1).alias("__n"))
     rows = attach(ranked, sizes, key, "inner")
     at = {name: F.lit(p) * (F.col("__n") - 1) for name, p in probabilities.items()}

@@ -356,7 +356,7 @@ CTES["worst"] = (
 SELECT s.*, coalesce(b.most_severe, 'intergenic_variant') AS most_severe, coalesce(b.protein_coding, false) AS protein_coding,
   b.gene_symbol AS gene_most_severe, b.lof, b.hgnc_id, b.hgvsp, b.transcript_id, b.polyphen_prediction, b.polyphen_score,
   b.sift_prediction, b.sift_score
-FROM (SELECT DISTINCT * FROM sites) s
+FROM sites s
 LEFT JOIN (
   SELECT * EXCLUDE (rk, rn), (SELECT term FROM (VALUES {_SEVERITY}) o(term, place) WHERE place = best) AS most_severe
   FROM (

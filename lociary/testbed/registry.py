@@ -200,6 +200,7 @@ def panel_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@stage
 def packed_sites(spark: SparkSession, d: str) -> DataFrame:
     """Sites with their three transcripts as one array, built inside the row."""
     def transcript(i: int):
@@ -737,11 +738,12 @@ def _(spark, d):
 
 @query(
     "merge_posteriors",
-    "SELECT trait, variant, variant_b37, cohort, round(pip, 6) AS pip, region, cs_id::BIGINT AS cs_id FROM post_merged WHERE cohort = 'one'",
+    "SELECT trait, variant, variant_b37, cohort, round(pip, 6) AS pip, region, cs_id::BIGINT AS cs_id FROM post_merged",
     "post_merged",
 )
 def _(spark, d):
-    return big(r6(post_cohort(spark, d, 0), "pip"))
+    merged = [post_cohort(spark, d, i) for i in range(3)]
+    return big(r6(merged[0].unionByName(merged[1]).unionByName(merged[2]), "pip"))
 
 
 @query(
@@ -1105,23 +1107,23 @@ def _category_sql() -> str:
 
 @query(
     "annotate_consequence",
-    f"""SELECT DISTINCT {_KEY}, most_severe, consequence_category, {_CLASS} AS consequence
+    f"""SELECT {_KEY}, most_severe, consequence_category, {_CLASS} AS consequence
         FROM (SELECT *, {_category_sql()} AS consequence_category FROM marked)""",
     "marked",
 )
 def _(spark, d):
     sites = annotation.worst_consequence(packed_sites(spark, d))
     out = annotation.annotate_consequence(sites, bed(spark, d))
-    return big(out.select(*_KEYS, "most_severe", "consequence_category", "consequence").distinct())
+    return big(out.select(*_KEYS, "most_severe", "consequence_category", "consequence"))
 
 
 _WORST = ["most_severe", "protein_coding", "gene_most_severe", "lof", "hgnc_id", "hgvsp", "transcript_id",
           "polyphen_prediction", "polyphen_score", "sift_prediction", "sift_score"]
 
 
-@query("worst_consequence", f"SELECT DISTINCT {_KEY}, {', '.join(_WORST)} FROM worst", "worst")
+@query("worst_consequence", f"SELECT {_KEY}, {', '.join(_WORST)} FROM worst", "worst")
 def _(spark, d):
-    return big(annotation.worst_consequence(packed_sites(spark, d)).select(*_KEYS, *_WORST).distinct())
+    return big(annotation.worst_consequence(packed_sites(spark, d)).select(*_KEYS, *_WORST))
 
 
 _POPS = annotation.POPULATIONS["GRCh38"]
@@ -1145,14 +1147,14 @@ def _(spark, d):
 
 @query(
     "bed_annotations",
-    f"SELECT DISTINCT {_KEY}, contig, promoter::BIGINT AS promoter, dhs::BIGINT AS dhs, h3k27ac_tissue::BIGINT AS h3k27ac_tissue, h3k27ac_cell::BIGINT AS h3k27ac_cell FROM marked",
+    f"SELECT {_KEY}, contig, promoter::BIGINT AS promoter, dhs::BIGINT AS dhs, h3k27ac_tissue::BIGINT AS h3k27ac_tissue, h3k27ac_cell::BIGINT AS h3k27ac_cell FROM marked",
     "marked",
 )
 def _(spark, d):
     from lociary.operators.intervals import interval_flags
 
     flags = interval_flags(domain(spark, d, "sites"), bed(spark, d), annotation.INTERVAL_FILES)
-    return big(flags.select(*_KEYS, "contig", *annotation.INTERVAL_FILES).distinct())
+    return big(flags.select(*_KEYS, "contig", *annotation.INTERVAL_FILES))
 
 
 # --- reports -----------------------------------------------------------------------------------------
