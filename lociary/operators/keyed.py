@@ -7,6 +7,8 @@ Otherwise both sides are shuffled, and only the keys that would overfill a parti
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -19,13 +21,25 @@ HOT_SAMPLE_CONF = "spark.lociary.hotKeySample"
 DEFAULT_HOT_SAMPLE = 0.01
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the session names for checkpoints; one is made up only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lociary-"))
-    return sc.getCheckpointDir()
+    """The folder ``spark.checkpoint.dir`` names, which all executors must share.
+
+    Only a session whose master is ``local`` may leave it unset: driver and executors are then one
+    process, and the tables go below the system's temporary folder. Elsewhere an unset folder is an error.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="lociary-")
+        atexit.register(shutil.rmtree, _local_folders[application], ignore_errors=True)
+    return _local_folders[application]
 
 
 def _size_columns(df: DataFrame) -> list[Column]:
