@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lociary.llm import jaccard_join
+from lociary.llm import byte_bpe, host_reputation, jaccard_join
+from lociary.llm.host_reputation import Rule
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules that hold before the reputation.
+URL_RULES = [
+    Rule("allow", "org/"),
+    Rule("block", "example.org/es/"),
+    Rule("block", "example.org/en/1"),
+    Rule("allow", "com/fr/"),
+    Rule("block", "com/de/"),
+]
+
+
+def op2_url_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document a page shows is the number its path names; that document's quality label is the page's outcome."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = F.try_element_at(F.split(host_reputation.path_of(F.col("url")), r"\D+"), F.lit(2)).try_cast("long")
+    outcomes = pages.select("page_id", shown.alias("doc_id")).join(
+        _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good")), "doc_id"
+    )
+    return host_reputation.filter_urls(pages, outcomes, URL_RULES)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.token_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_url_host_reputation": op2_url_host_reputation,
+    "op5_byte_bpe": op5_byte_bpe,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
