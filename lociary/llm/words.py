@@ -17,19 +17,23 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BLOCK = 1 << 20
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: All ASCII bytes that are neither letters nor digits, for words without punctuation.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(buf: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of every word, and the number of words of each text."""
     if not len(buf):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets) - 1, np.int64)
-    solid = ~SPACE[buf]
+    solid = ~between[buf]
     inner = offsets[(offsets > 0) & (offsets < len(buf))]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     first[inner] = solid[inner]
     last = solid
     last[:-1] &= ~solid[1:]
-    cut = ~SPACE[buf[inner - 1]]
+    cut = ~between[buf[inner - 1]]
     last[inner - 1] = cut
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
