@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lociary.llm import byte_bpe, host_reputation, jaccard_join
+from lociary.llm import byte_bpe, host_reputation, jaccard_join, language_id, toxicity
 from lociary.llm.host_reputation import Rule
 
 
@@ -33,18 +33,28 @@ def op2_url_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.filter_urls(pages, outcomes, URL_RULES)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return byte_bpe.token_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_url_host_reputation": op2_url_host_reputation,
+    "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_toxicity_cnn": op7_toxicity_cnn,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
