@@ -15,8 +15,8 @@ Work flow, in which only hashes and integers move, never texts:
    a repeated token in its prefix is written with its tokens and its prefixes.
 3. Texts with equal sets are one class. Links are sought between classes: first to one leader per prefix
    token, then, in the tokens whose classes are not yet all in one component, between every two classes of
-   different components. That finds all components exactly without forming the pairs inside a group.
-   Every link is verified on the whole sets.
+   different components whose sizes still allow a link at the token's place. That finds all components exactly
+   without forming the pairs inside a group. Every link is verified on the whole sets.
 
 Sizes: a token that is found in more than ``WIDE`` texts of a chunk is sent once for the whole chunk, so a
 token of a third of all texts costs one entry per chunk. Chunks hold at most ``CHUNK_TOKENS`` tokens unless a
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lociary.llm.common import column_of, mix, ship, slices, store, text_bytes
 from lociary.llm.components import connected_components
@@ -51,7 +51,7 @@ TOKENS, HEADER = 0, 1
 ORDER_SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 PACKED = "slot long, chunk long, kind int, data binary"
-PROFILE = "doc_id long, n long, set_key long, tokens array<long>, prefix array<long>, prefix_2 array<long>, prefix_3 array<long>"
+PROFILE = "doc_id long, n long, set_key long, single long, rarity double, tokens array<long>, prefix array<long>, prefix_2 array<long>, prefix_3 array<long>"
 
 
 def _set_key(tokens: np.ndarray) -> np.uint64:
@@ -211,15 +211,19 @@ def _assemble(percent: int):
         bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
         first = np.zeros(len(ids), bool)
         first[np.unique(keys, return_index=True)[1]] = True
+        single, rarity = np.zeros(len(ids), np.int64), np.zeros(len(ids))
         arrays: list[list] = [[], [], [], []]
         for i, n in enumerate(sizes.tolist()):
             part = slice(bounds[i], bounds[i + 1])
             own = tokens[part]
-            found = _prefixes(own, frequency[part], n - len(own), percent, n) if first[i] and n else None
+            single[i] = n - len(own)
+            rarity[i] = (single[i] + np.sum(1 / np.sort(frequency[part]))) / max(n, 1)
+            found = _prefixes(own, frequency[part], int(single[i]), percent, n) if first[i] and n else None
             for column, value in zip(arrays, [None] * 4 if found is None else [own, *found]):
                 column.append(None if value is None else value.view(np.int64))
         return pa.table({
             "doc_id": pa.array(ids, pa.int64(), mask=null), "n": pa.array(sizes), "set_key": pa.array(keys.view(np.int64)),
+            "single": pa.array(single), "rarity": pa.array(rarity),
             **{name: pa.array(column, pa.list_(pa.int64())) for name, column in zip(["tokens", "prefix", "prefix_2", "prefix_3"], arrays)},
         })
 
@@ -236,51 +240,61 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return store(counted.groupBy("chunk").applyInArrow(_assemble(percent), PROFILE), "profiles")
 
 
-def _similar_sizes(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` of classes that pass the filters of the other orders and the exact test."""
-    left = sets.select(*[F.col(c).alias(f"{c}_u") for c in sets.columns]).withColumnRenamed("set_key_u", "u")
-    right = sets.select(*[F.col(c).alias(f"{c}_v") for c in sets.columns]).withColumnRenamed("set_key_v", "v")
+    used = ["set_key", "n", "tokens", "prefix_2", "prefix_3"]
+    left = sets.select(*[F.col(c).alias(f"{c}_u") for c in used]).withColumnRenamed("set_key_u", "u")
+    right = sets.select(*[F.col(c).alias(f"{c}_v") for c in used]).withColumnRenamed("set_key_v", "v")
     both = pairs.join(left, "u").join(right, "v")
     both = both.filter(F.arrays_overlap("prefix_2_u", "prefix_2_v") & F.arrays_overlap("prefix_3_u", "prefix_3_v"))
     shared = F.size(F.array_intersect("tokens_u", "tokens_v"))
     return both.filter(shared * 100 >= (F.col("n_u") + F.col("n_v") - shared) * percent).select("u", "v")
 
 
-def _labelled(rows: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Prefix rows of the tokens whose classes are in more than one component, with the component of each."""
-    labels = None if edges is None else store(connected_components(edges), "labels")
-    with_label = rows.withColumn("component", F.col("set_key")) if labels is None else (
-        rows.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
-        .withColumn("component", F.coalesce("component", "set_key"))
+def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """One row per prefix token of a class, with the largest partner for which the token is still in the prefix.
+
+    Two sets of sizes a and b that link share at least ``percent * (a + b) / (100 + percent)`` tokens, so their first
+    common token leaves at least so many tokens in each: of a token at place p, ``a - p``.
+    """
+    placed = sets.select("set_key", "n", "rarity", "single", F.posexplode("prefix").alias("place", "token"))
+    left = F.col("n") - F.col("single") - F.col("place")
+    return placed.select("token", "set_key", "n", "rarity", (F.floor(left * (100 + percent) / percent) - F.col("n")).alias("reach"))
+
+
+def _open_tokens(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the tokens whose classes are in several components, with their component and the token's leader.
+
+    The leader is the class whose tokens are the most common ones: in a group of near copies the one that the
+    others were made from. Rows that reach no class of their token are left out.
+    """
+    component = F.col("set_key")
+    if labels is not None:
+        rows = rows.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
+        component = F.coalesce("component", "set_key")
+    rows = rows.withColumn("component", component)
+    per_token = rows.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"),
+        F.min(F.struct("rarity", "set_key", "n", "reach", "component")).alias("lead"),
     )
-    spread = with_label.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("component", "set_key", "n")).alias("lead")
-    ).filter("low < high").select("token", "lead")
-    return store(with_label.join(spread, "token"), "open-tokens"), labels
+    spread = per_token.filter("low < high").select("token", "least", "lead")
+    return store(rows.join(spread, "token").filter("reach >= least"), "open-tokens")
 
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """Enough verified links ``(u, v)`` between classes to hold every component together; none that fails the test."""
-    rows = sets.select("set_key", "n", F.explode("prefix").alias("token"))
-    opened, _ = _labelled(rows, None)
-    to_lead = (F.col("component") != F.col("lead.component")) & _similar_sizes("n", "lead.n", percent)
-    lead = F.col("lead.set_key")
-    # first the leader that a class meets most often, then every leader of another component
-    met = opened.filter(to_lead).groupBy("set_key", lead.alias("v")).agg(F.count(F.lit(1)).alias("times"))
-    best = met.groupBy(F.col("set_key").alias("u")).agg(F.max(F.struct("times", "v")).alias("best")).select("u", "best.v")
-    edges = store(verified(best, sets, percent), "links")
-    opened, _ = _labelled(opened.select("set_key", "n", "token"), edges)
-    met = opened.filter(to_lead).select(F.col("set_key").alias("u"), lead.alias("v")).distinct()
-    edges = store(edges.unionAll(verified(met, sets, percent)), "links")
-    # what is left: every two classes of different components that share a prefix token
-    opened, _ = _labelled(opened.select("set_key", "n", "token"), edges)
-    a = opened.select("token", F.col("set_key").alias("u"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    b = opened.select("token", F.col("set_key").alias("v"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    rest = a.join(b, "token").filter(F.col("c_a") < F.col("c_b")).filter(_similar_sizes("n_a", "n_b", percent)).select("u", "v").distinct()
+    rows = prefix_rows(sets, percent)
+    opened = _open_tokens(rows, None)
+    # to the leader of each prefix token
+    reached = (F.col("set_key") != F.col("lead.set_key")) & (F.col("n") <= F.col("lead.reach")) & (F.col("lead.n") <= F.col("reach"))
+    met = opened.filter(reached).select(F.col("set_key").alias("u"), F.col("lead.set_key").alias("v")).distinct()
+    edges = store(verified(met, sets, percent), "links")
+    # what is left: every two classes of different components that reach each other by a prefix token
+    labels = store(connected_components(edges), "labels")
+    opened = _open_tokens(opened.select("token", "set_key", "n", "rarity", "reach"), labels)
+    a = opened.select("token", F.col("set_key").alias("u"), F.col("n").alias("n_a"), F.col("reach").alias("r_a"), F.col("component").alias("c_a"))
+    b = opened.select("token", F.col("set_key").alias("v"), F.col("n").alias("n_b"), F.col("reach").alias("r_b"), F.col("component").alias("c_b"))
+    rest = a.join(b, "token").filter("c_a < c_b and n_a <= r_b and n_b <= r_a").select("u", "v").distinct()
     return store(edges.unionAll(verified(rest, sets, percent)), "links")
 
 
