@@ -1,19 +1,52 @@
-"""The training-data pipeline: stages that each take and return ``documents``; the last returns token digests."""
+"""The training-data pipeline: stages that each take and return ``documents``; the last returns token digests.
+
+Every stage works on all rows its predecessor kept, is written as Parquet to the shared folder and read back as the
+next one's documents. Null texts pass the toxicity stage like any other text and end at the language stage,
+which keeps only texts of a learned language.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lociary.llm import byte_bpe, edit_match, jaccard_join, language_id, toxicity
 from lociary.llm.common import store
-from lociary.llm.jaccard_join import keep_one_of_each
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return keep_one_of_each(docs)
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those no learned language describes better than raw bytes, go."""
+    return language_id.keep_languages(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the smallest id stays."""
+    return jaccard_join.keep_one_of_each(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exactly or with few edits, go."""
+    return edit_match.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def digest_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of every document that is left."""
+    ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.token_digests(docs, ranks, public_tokenizers.PATTERN)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language ID", drop_unknown_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("byte-level BPE", digest_tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

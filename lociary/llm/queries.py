@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lociary.llm import byte_bpe, host_reputation, jaccard_join, language_id, toxicity
+from lociary.llm import byte_bpe, edit_match, host_reputation, jaccard_join, language_id, toxicity
 from lociary.llm.host_reputation import Rule
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_match.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: The rules that hold before the reputation.
 URL_RULES = [
     Rule("allow", "org/"),
@@ -51,6 +55,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_edit_decontamination": op1_edit_decontamination,
     "op2_url_host_reputation": op2_url_host_reputation,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
