@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lociary.llm import byte_bpe, edit_match, host_reputation, jaccard_join, language_id, toxicity
+from lociary.llm import (
+    byte_bpe, dom_content, edit_match, host_reputation, jaccard_join, language_id, token_counts, toxicity, vector_dedup,
+)
 from lociary.llm.host_reputation import Rule
 
 
@@ -27,13 +29,16 @@ URL_RULES = [
 ]
 
 
+def _shown(pages: DataFrame) -> DataFrame:
+    """``page_id, doc_id``: the document a page shows is the first number in its path."""
+    number = F.regexp_extract(host_reputation.path_of(F.col("url")), r"[0-9]+", 0).try_cast("long")
+    return pages.select("page_id", number.alias("doc_id")).filter(F.col("doc_id").isNotNull())
+
+
 def op2_url_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document a page shows is the number its path names; that document's quality label is the page's outcome."""
+    """The quality label of the document that a page shows is the page's outcome."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    shown = F.try_element_at(F.split(host_reputation.path_of(F.col("url")), r"\D+"), F.lit(2)).try_cast("long")
-    outcomes = pages.select("page_id", shown.alias("doc_id")).join(
-        _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good")), "doc_id"
-    )
+    outcomes = _shown(pages).join(_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good")), "doc_id")
     return host_reputation.filter_urls(pages, outcomes, URL_RULES)
 
 
@@ -46,24 +51,58 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_dom_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    model = dom_content.train(pages, _table(spark, sf_dir, "documents"), _shown(pages))
+    return dom_content.extract(pages, model)
+
+
 def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.read_pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), pieces)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_sign_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_edit_decontamination": op1_edit_decontamination,
     "op2_url_host_reputation": op2_url_host_reputation,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_dom_content": op6_dom_content,
     "op7_toxicity_cnn": op7_toxicity_cnn,
+    "op8_unigram_token_counts": op8_unigram_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_sign_hash_dedup": op10_sign_hash_dedup,
 }
 
 ORACLES = {
+    "op10_sign_hash_dedup": """
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM (
+                SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ) WHERE list_dot_product(e, e) > 0
+        ), links AS MATERIALIZED (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+            WHERE list_dot_product(x.e, y.e) >= 0.95 * x.norm * y.norm
+        ), reach(a, b) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+        ), degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+        FROM embeddings e JOIN component c USING (vec_id) LEFT JOIN degree d USING (vec_id)
+    """,
     "op9_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS MATERIALIZED (
             SELECT doc_id, list_filter(regexp_split_to_array(
