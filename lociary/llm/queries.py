@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lociary.llm import (
-    byte_bpe, dom_content, edit_match, host_reputation, jaccard_join, language_id, token_counts, toxicity, vector_dedup,
+    byte_bpe, dom_content, edit_match, host_reputation, jaccard_join, language_id, quote_links, token_counts, toxicity, vector_dedup,
 )
 from lociary.llm.host_reputation import Rule
 
@@ -42,6 +42,10 @@ def op2_url_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.filter_urls(pages, outcomes, URL_RULES)
 
 
+def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.reply_ordered(_table(spark, sf_dir, "conversations"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ def op10_sign_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_edit_decontamination": op1_edit_decontamination,
     "op2_url_host_reputation": op2_url_host_reputation,
+    "op3_quote_links": op3_quote_links,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_dom_content": op6_dom_content,
