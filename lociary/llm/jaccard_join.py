@@ -10,7 +10,7 @@ Work flow, in which only hashes and integers move, never texts:
 
 1. Each text becomes its sorted set of 64-bit shingle hashes (numpy, over batches of texts). Texts are packed
    into chunks; a chunk sends each range of hashes as one binary value, so that the document frequencies of
-   all tokens of all texts are counted exactly with about ten bytes per token.
+   all tokens of all texts are counted exactly with about nine bytes per token.
 2. The frequencies of the tokens that are found more than once return to their chunk. A text that still has
    a repeated token in its prefix is written with its tokens and its prefixes.
 3. Texts with equal sets are one class. Links are sought between classes: first to one leader per prefix
@@ -54,6 +54,10 @@ PACKED = "slot long, chunk long, kind int, data binary"
 PROFILE = "doc_id long, n long, set_key long, single long, rarity double, tokens array<long>, prefix array<long>, prefix_2 array<long>, prefix_3 array<long>"
 
 
+def _bits(ranges: int) -> int:
+    return ranges.bit_length() - 1
+
+
 def _set_key(tokens: np.ndarray) -> np.uint64:
     """One 64-bit hash of a whole set."""
     spread = mix(tokens + np.uint64(0x9E3779B97F4A7C15))
@@ -97,14 +101,14 @@ def _close_chunk(chunk: int, ranges: int, ids: list, sets: list[np.ndarray]) ->
     keep = ~wide
     keep[fresh] = True
     tokens, owner = tokens[keep], owner[keep]
-    shift = np.uint64(64 - int(ranges).bit_length() + 1)
-    bucket = (tokens >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(tokens), np.int64)
+    bucket = (tokens >> np.uint64(64 - _bits(ranges))).astype(np.int64)
     bounds = np.searchsorted(bucket, np.arange(ranges + 1))
     slots, blobs = [], []
     for b in np.flatnonzero(np.diff(bounds)).tolist():
         part = slice(bounds[b], bounds[b + 1])
         slots.append(b)
-        blobs.append(tokens[part].tobytes() + owner[part].tobytes())
+        low = np.ascontiguousarray(tokens[part]).view(np.uint8).reshape(-1, 8)[:, :7]  # the range tells the highest byte
+        blobs.append(low.tobytes() + owner[part].tobytes())
     kinds = [TOKENS] * len(slots) + [HEADER]
     slots.append(ranges + chunk)
     blobs.append(header)
@@ -133,15 +137,23 @@ def _chunks(width: int, ranges: int):
     return run
 
 
-def _count(table: pa.Table) -> pa.Table:
+def _counts(ranges: int):
+    def run(table: pa.Table) -> pa.Table:
+        if column_of(table, "kind")[0].as_py() == HEADER:
+            return table.select(["chunk", "kind", "data"])
+        return _count(table, column_of(table, "slot")[0].as_py() >> _bits(ranges) - 8)
+
+    return run
+
+
+def _count(table: pa.Table, highest: int) -> pa.Table:
     """Frequencies of the tokens of one range; the entries of repeated tokens go back to their chunks."""
-    kinds = column_of(table, "kind").to_pylist()
-    if kinds[0] == HEADER:
-        return table.select(["chunk", "kind", "data"])
     blobs = [b.as_py() for b in column_of(table, "data")]
-    lengths = np.array([len(b) // 10 for b in blobs])
-    tokens = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, lengths)])
-    owner = np.concatenate([np.frombuffer(b, np.uint16, n, 8 * n) for b, n in zip(blobs, lengths)])
+    lengths = np.array([len(b) // 9 for b in blobs])
+    parts = np.full((int(lengths.sum()), 8), highest, np.uint8)
+    parts[:, :7] = np.concatenate([np.frombuffer(b, np.uint8, 7 * n) for b, n in zip(blobs, lengths)]).reshape(-1, 7)
+    tokens = parts.view(np.uint64).ravel()
+    owner = np.concatenate([np.frombuffer(b[7 * n :], np.uint16) for b, n in zip(blobs, lengths)])
     del blobs
     weight = np.where(owner == WIDE_MARK, WIDE + 1, 1)
     order = np.argsort(tokens)
@@ -234,9 +246,9 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per document its set size and set key and, where a partner is possible, its repeated tokens and prefixes."""
     spark = docs.sparkSession
     ship(spark)
-    ranges = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    ranges = max(256, 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(width, ranges), PACKED)
-    counted = packed.groupBy("slot").applyInArrow(_count, "chunk long, kind int, data binary")
+    counted = packed.groupBy("slot").applyInArrow(_counts(ranges), "chunk long, kind int, data binary")
     return store(counted.groupBy("chunk").applyInArrow(_assemble(percent), PROFILE), "profiles")
 
 
