@@ -67,10 +67,16 @@ def annotation_class(
     )
 
 
+# fixed values: pooled simulation settings, first and last of each band
+CONFIG_BANDS = {1317: (13, 17), 1822: (18, 22), 2327: (23, 27), 2832: (28, 32), 3337: (33, 37), 3842: (38, 42)}
+
+
 def config_group(config: Column) -> Column:
-    """Simulation settings 13..42 pooled in bands of five (1317, 1822, ...); others stand alone."""
-    band = F.floor((config - 13) / 5).cast("int")
-    return F.when(config.between(13, 42), (13 + 5 * band) * 100 + 17 + 5 * band).otherwise(config)
+    """Simulation settings of a band are pooled under its number; others stand alone."""
+    pooled = config
+    for number, (first, last) in CONFIG_BANDS.items():
+        pooled = F.when(config.between(first, last), number).otherwise(pooled)
+    return pooled
 
 
 def array_label(group: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, functions as F
 # fixed values: analysis thresholds
 R2_THRESHOLD = 0.6
 OUTLIER_NLOG10P = 4.0
-MIN_MAX_PIP = 0.1
 PRIOR_VARIANCE = 0.04
 CHI2_GENOME_WIDE = 29.716785  # chi-square (1 df) at p = 5e-8
 Z_975 = 1.959963984540054
@@ -41,8 +40,12 @@ def binomial_interval(successes: Column, trials: Column) -> tuple[Column, Column
 
 
 def nlog10p_chi2(chi2: Column) -> Column:
-    """-log10 upper tail of chi-square with one degree of freedom, in log space (no underflow)."""
-    x = F.sqrt(chi2 / 2)
+    """-log10 upper tail of chi-square with one degree of freedom, in log space (no underflow).
+
+    Below zero, where rounded correlations beyond +-1 lead, the tail is 1 and the result 0.
+    """
+    x = F.sqrt(F.greatest(chi2, F.lit(0.0)) / 2)
+    x = F.when(chi2.isNotNull(), x)
     t = 1 / (1 + x / 2)
     poly = F.lit(ERFC_COEFFICIENTS[-1])
     for c in reversed(ERFC_COEFFICIENTS[:-1]):
@@ -91,6 +94,14 @@ def lead_consistency(z: Column, r: Column, lead_z: Column) -> Column:
     return F.try_divide(gap * gap, 1 - r * r)
 
 
+def lead_consistency_unsigned(chi2: Column, r2: Column, lead_chi2: Column) -> Column:
+    """The same statistic from chi-square values and squared correlations alone, without signs: the gap is
+    between the absolute z and what the correlation predicts of it. Equal to the signed form where z and the
+    correlation with the lead agree in sign, smaller elsewhere; NULL at r2 = 1."""
+    gap = F.sqrt(chi2) - F.sqrt(r2 * lead_chi2)
+    return F.try_divide(gap * gap, 1 - r2)
+
+
 def effective_samples(cases: Column, total: Column) -> Column:
     """N phi (1 - phi) with phi the case fraction."""
     phi = _ratio(cases, total)

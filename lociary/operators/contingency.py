@@ -6,14 +6,13 @@ row) and ``hits2, total2``.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lociary.functions.stats import Z_975, log_factorial
 from lociary.operators.keyed import settle
 
 FISHER_BLOCK = 4096
+DRAW_BLOCK = 256
 
 
 def risk_ratio_columns() -> dict[str, Column]:
@@ -27,57 +26,71 @@ def risk_ratio_columns() -> dict[str, Column]:
 
 
 def _uniform(*parts: Column) -> Column:
-    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-
+    """A number in (0, 1) from the first 13 hexadecimal digits of the md5 of the parts joined by ``|``."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
-def _binomial_cdf(n: Column, q: Column) -> Column:
-    """Cumulative probabilities 0, 1, 2, ... of a binomial with small variance and q <= 1/2, up to where
-    they reach 1; at most about 120 of them."""
-    last = F.least(n, F.ceil(n * q + 50 + 10 * F.sqrt(n * q))).cast("int")
-    start = F.exp(n * F.ln(1 - q))
 
-    def step(state: Column, i: Column) -> Column:
-        pmf = state["pmf"] * (n - i + 1) / i * q / (1 - q)
-        return F.struct(
-            pmf.alias("pmf"),
-            (state["sum"] + pmf).alias("sum"),
-            F.concat(state["cdf"], F.array(state["sum"] + pmf)).alias("cdf"),
-        )
+def _binomial_draws(sides: DataFrame, keys: list[str], uniforms: DataFrame) -> DataFrame:
+    """The smallest k whose cumulative probability reaches each draw's ``u``, for any ``n`` and ``p``.
 
-    zero = F.struct(start.alias("pmf"), start.alias("sum"), F.array(start).alias("cdf"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), zero, step)["cdf"]
+    ``sides (keys, side, n, p)``, ``uniforms (keys, side, b, u)``. The whole support 0 .. n is laid out in blocks of
+    ``DRAW_BLOCK`` probabilities, so no array grows with n; a draw finds its block by the cumulative sums of the
+    blocks and its place by those inside.
+    """
+    n, p = F.col("n"), F.col("p")
+    last = F.floor(n / DRAW_BLOCK)
+    blocks = sides.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition(*keys, "side", "block")
+    k = F.transform(F.sequence(F.col("block") * DRAW_BLOCK, F.least(n, (F.col("block") + 1) * DRAW_BLOCK - 1)), lambda i: i.cast("bigint"))
+    log_pmf = lambda i: log_factorial(n) - log_factorial(i) - log_factorial(n - i) + i * F.ln(p) + (n - i) * F.ln(1 - p)
+    blocks = blocks.withColumn("pmf", F.transform(k, lambda i: F.exp(log_pmf(i))))
+    adds = lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + x))
+    blocks = settle(
+        blocks.withColumn("cdf", F.aggregate("pmf", F.array().cast("array<double>"), adds)).withColumn("mass", F.element_at("cdf", -1)).drop("pmf")
+    )
+    same = Window.partitionBy(*keys, "side")
+    before = F.coalesce(F.sum("mass").over(same.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    bounds = blocks.select(*keys, "side", "block", "mass", before.alias("before")).withColumn("total", F.sum("mass").over(same))
+    ends = F.col("before") + F.col("mass")
+    bounds = bounds.withColumn("upto", F.when(F.col("before") + F.col("mass") >= F.max(ends).over(same), F.lit(2.0) * F.col("total")).otherwise(ends))
+    on = keys + ["side"]
+    placed = uniforms.join(bounds, on).filter((F.col("u") * F.col("total") > F.col("before")) & (F.col("u") * F.col("total") <= F.col("upto")))
+    placed = placed.groupBy(*on, "b").agg(F.min(F.struct("block", "before", "total", "u")).alias("at")).select(*on, "b", "at.*")
+    found = placed.join(blocks.select(*on, "block", "cdf"), on + ["block"])
+    inside = F.size(F.filter("cdf", lambda c: F.col("before") + c < F.col("u") * F.col("total")))
+    x = F.col("block") * DRAW_BLOCK + F.least(inside, F.size("cdf") - 1)
+    return found.select(*on, "b", x.cast("double").alias("x"))
 
 
 def bootstrap_risk_ratio(tables: DataFrame, keys: list[str], replicates: int = 5000, seed: int = 1) -> DataFrame:
     """95 % percentile interval of the risk ratio over parametric bootstrap replicates.
 
-    Binomial draws use inversion while the variance is small and the normal limit beyond. They depend
-    only on seed, keys and replicate number, so a repeated task repeats them.
+    Every draw inverts the exact binomial distribution, whatever its size. Draws depend only on seed, keys and
+    replicate number, so a repeated task repeats them. NULL keys are written as empty text and stay apart from others
+    only by the remaining keys.
     """
-    prepared = tables.filter((F.col("total1") > 0) & (F.col("total2") > 0))
-    for side in ("1", "2"):
-        n, p = F.col(f"total{side}").cast("double"), F.col(f"hits{side}") / F.col(f"total{side}")
-        q = F.least(p, 1 - p)
-        small = n * q * (1 - q) < 25
-        prepared = prepared.withColumns(
-            {f"__p{side}": p, f"__n{side}": n, f"__q{side}": q, f"__cdf{side}": F.when(small, _binomial_cdf(n, q))}
-        )
-    # stored, so that the cumulative tables are not rebuilt for every replicate
-    prepared = settle(prepared.select(*keys, *[f"__{c}{s}" for s in "12" for c in ("p", "n", "q", "cdf")]))
-    drawn = prepared.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    names = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    for side in ("1", "2"):
-        p, n, q, cdf = [F.col(f"__{c}{side}") for c in ("p", "n", "q", "cdf")]
-        u, v = [_uniform(F.lit(seed), F.lit(side), F.lit(w), F.col("__b"), *names) for w in ("u", "v")]
-        drawn = drawn.withColumns({"__u": u, "__v": v})
-        inverted = F.size(F.filter(cdf, lambda c: c < F.col("__u"))).cast("double")
-        normal = F.sqrt(-2 * F.ln("__u")) * F.cos(2 * math.pi * F.col("__v"))
-        limit = F.round(n * q + F.sqrt(n * q * (1 - q)) * normal)
-        x = F.greatest(F.lit(0.0), F.least(n, F.when(cdf.isNotNull(), inverted).otherwise(limit)))
-        drawn = drawn.withColumn(f"__x{side}", F.when(p <= 0.5, x).otherwise(n - x) / n)
-    return drawn.groupBy(*keys).agg(
-        F.percentile(F.try_divide("__x2", "__x1"), F.array(F.lit(0.025), F.lit(0.975))).alias("__q")
-    ).select(*keys, F.get("__q", F.lit(0)).alias("rr_lower"), F.get("__q", F.lit(1)).alias("rr_upper"))
+    known = tables.filter((F.col("total1") > 0) & (F.col("total2") > 0))
+    names = [f"__key{i}" for i in range(len(keys))]
+    known = known.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(n) for k, n in zip(keys, names)], *keys, "hits1", "total1", "hits2", "total2")
+    known = settle(known)
+    sides = known.select(
+        *names,
+        F.explode(F.array(*[
+            F.struct(F.lit(s).alias("side"), F.col(f"hits{s}").cast("bigint").alias("hits"), F.col(f"total{s}").cast("bigint").alias("n")) for s in "12"
+        ])).alias("s"),
+    ).select(*names, "s.*").withColumn("p", F.col("hits") / F.col("n"))
+    inner = sides.filter("hits > 0 and hits < n")
+    replicate = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
+    uniforms = inner.select(*names, "side", replicate.alias("b")).withColumn("u", _uniform(F.lit(seed), F.col("side"), F.col("b"), *[F.col(n) for n in names]))
+    drawn = _binomial_draws(inner, names, uniforms)
+    certain = sides.filter("hits = 0 or hits = n").select(*names, "side", replicate.alias("b"), F.col("hits").cast("double").alias("x"))
+    shares = drawn.unionByName(certain).join(sides.select(*names, "side", "n"), names + ["side"]).withColumn("share", F.col("x") / F.col("n"))
+    ratio = F.try_divide(F.max(F.when(F.col("side") == "2", F.col("share"))), F.max(F.when(F.col("side") == "1", F.col("share"))))
+    per_draw = shares.groupBy(*names, "b").agg(ratio.alias("rr"))
+    ends = per_draw.groupBy(*names).agg(F.percentile("rr", F.array(F.lit(0.025), F.lit(0.975))).alias("__q"))
+    return known.select(*names, *keys).join(ends, names).select(
+        *keys, F.get("__q", F.lit(0)).alias("rr_lower"), F.get("__q", F.lit(1)).alias("rr_upper")
+    )
 
 
 def fisher_exact(tables: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,5 +128,7 @@ def fisher_exact(tables: DataFrame, keys: list[str]) -> DataFrame:
         )
         .withColumn("__pmf", log_pmf(col("k")))
     )
-    counted = F.when(col("__pmf") <= col("__observed") + 1e-7, F.exp("__pmf"))
+    # log-factorials near 1e9 are spaced wider than a fixed tolerance, so it follows their size
+    tolerance = F.greatest(F.lit(1e-7), log_factorial(col("size")) * 1e-14)
+    counted = F.when(col("__pmf") <= col("__observed") + tolerance, F.exp("__pmf"))
     return support.groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(counted)).alias("pvalue"))

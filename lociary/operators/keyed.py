@@ -83,7 +83,7 @@ def broadcast_bound(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_BYTES_CONF, str(DEFAULT_BROADCAST_BYTES)))
 
 
-def hot_keys(rows: DataFrame, keys: list[str], partitions: int) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: list[str], partitions: int, nulls_match: bool = False) -> DataFrame:
     """Keys holding more than one fair partition of the rows, with the number of slices each needs.
 
     Counted on a sample of the key columns: a miss costs balance, never a result. At most ``partitions``
@@ -91,7 +91,7 @@ def hot_keys(rows: DataFrame, keys: list[str], partitions: int) -> DataFrame:
     table is bounded whatever the data looks like.
     """
     fraction = float(rows.sparkSession.conf.get(HOT_SAMPLE_CONF, str(DEFAULT_HOT_SAMPLE)))
-    keyed = rows.select(*keys).dropna()
+    keyed = rows.select(*keys) if nulls_match else rows.select(*keys).dropna()
     sampled = keyed if fraction >= 1 else keyed.sample(fraction, seed=7)
     counts = settle(sampled.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
     total = counts.agg(F.sum("__n")).first()[0] or 0
@@ -99,15 +99,15 @@ def hot_keys(rows: DataFrame, keys: list[str], partitions: int) -> DataFrame:
     return settle(counts.filter(F.col("__n") * partitions > total).select(*keys, slices.alias("__slices")))
 
 
-def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str, residual=None) -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str, residual=None, nulls_match: bool = False) -> DataFrame:
     """Shuffle join in which the hot keys of ``rows`` are cut into slices and their table rows repeated."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_keys(rows, keys, partitions)
+    hot = F.broadcast(hot_keys(rows, keys, partitions, nulls_match))
     # the task number keeps exact copies of a row apart; both parts repeat identically on a retry
     spread = F.xxhash64(*[F.col(c) for c in rows.columns]) + F.spark_partition_id()
-    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    any_null = F.lit(False) if nulls_match else reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     left = (
-        rows.join(F.broadcast(hot), keys, "left")
+        _join(rows, hot, keys, "left", None, nulls_match)
         .withColumn(
             "__salt",
             F.when(any_null, F.pmod(spread, F.lit(partitions)))  # matches nothing, so spread it freely
@@ -117,19 +117,22 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str, re
         .drop("__slices")
     )
     right = (
-        table.join(F.broadcast(hot), keys, "left")
+        _join(table, hot, keys, "left", None, nulls_match)
         .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__slices"), F.lit(1)) - 1)))
         .withColumn("__salt", F.col("__salt").cast("bigint"))
         .drop("__slices")
     )
-    return _join(left, right, keys + ["__salt"], how, residual).drop("__salt")
+    return _join(left, right, keys + ["__salt"], how, residual, nulls_match).drop("__salt")
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str, residual) -> DataFrame:
-    if residual is None:
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str, residual, nulls_match: bool = False) -> DataFrame:
+    if residual is None and not nulls_match:
         return left.join(right, keys, how)
     l, r = left.alias("l"), right.alias("r")
-    condition = reduce(lambda a, b: a & b, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]) & residual
+    equal = (lambda k: F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))) if nulls_match else (lambda k: F.col(f"l.{k}") == F.col(f"r.{k}"))
+    condition = reduce(lambda a, b: a & b, [equal(k) for k in keys])
+    if residual is not None:
+        condition = condition & residual
     joined = l.join(r, condition, how)
     if how in ("left_semi", "left_anti"):
         return joined
@@ -145,11 +148,13 @@ def attach(
     *,
     stored: bool = False,
     residual=None,
+    nulls_match: bool = False,
 ) -> DataFrame:
     """Join ``table`` onto ``rows`` by ``keys`` (inner, left, left_semi or left_anti).
 
     ``stored`` says the table is already a file or a settled result, so measuring it repeats no work.
-    ``residual`` is a further condition over columns named ``l.x`` and ``r.y``.
+    ``residual`` is a further condition over columns named ``l.x`` and ``r.y``. ``nulls_match`` makes a NULL
+    key a key like any other, as in a grouping.
     """
     bound = broadcast_bound(rows.sparkSession)
     if stored:
@@ -157,5 +162,5 @@ def attach(
     else:
         table, size = _settle_measured(table)
     if bound > 0 and size <= bound:
-        return _join(rows, F.broadcast(table), keys, how, residual)
-    return salted_join(rows, table, keys, how, residual)
+        return _join(rows, F.broadcast(table), keys, how, residual, nulls_match)
+    return salted_join(rows, table, keys, how, residual, nulls_match)

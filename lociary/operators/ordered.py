@@ -30,7 +30,7 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str)
     )
     blocks = blocks.withColumn("__offset", F.coalesce(F.sum("__n").over(_before(group)), F.lit(0))).drop("__n")
     return (
-        attach(rows, blocks, group + ["__block"], "inner")
+        attach(rows, blocks, group + ["__block"], "inner", nulls_match=True)
         .withColumn(name, F.col("__offset") + F.col("__pos") - F.col("__first"))
         .drop("__offset", "__first", "__pos", "__block")
     )
@@ -44,7 +44,7 @@ def running_totals(df: DataFrame, group: list[str], order: list[Column], totals:
         blocks = blocks.withColumn(f"__{k}_before", F.coalesce(F.sum(f"__{k}").over(_before(group)), F.lit(0)))
     blocks = blocks.drop(*[f"__{k}" for k in totals])
     within = Window.partitionBy(*group, "__block").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = attach(rows, blocks, group + ["__block"], "inner")
+    out = attach(rows, blocks, group + ["__block"], "inner", nulls_match=True)
     for k, v in totals.items():
         out = out.withColumn(k, F.col(f"__{k}_before") + F.sum(v).over(within))
     return out.drop("__pos", "__block", *[f"__{k}_before" for k in totals])
@@ -70,7 +70,7 @@ def top_fractions(
         .groupBy(*group)
         .agg(F.min("__cell").alias("__cut"), F.first("__size").alias("__size"))
     )
-    top = attach(df, cut, group, "inner").filter(cell >= F.col("__cut")).drop("__cut")
+    top = attach(df, cut, group, "inner", nulls_match=True).filter(cell >= F.col("__cut")).drop("__cut")
     ranked = rank_within(top, group, [F.desc(score), *tie], "__down")
     quantile = (F.col("__size") - F.col("__down")) / F.col("__size")
     kept = F.filter(F.array(*[F.lit(f) for f in fractions]), lambda f: quantile > f)
@@ -82,17 +82,21 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles per group by position in a distributed sort, not by gathering
     the values. ``probabilities`` maps output column -> probability; NULL values are left out."""
-    ranked = rank_within(df.select(*group, value).filter(F.col(value).isNotNull()), group, [F.col(value)], "__rank")
     key = group or ["__all"]
+    values = df.select(*group, value).filter(F.col(value).isNotNull())
     if not group:
-        ranked = ranked.withColumn("__all", F.lit(0))
-    sizes = ranked.groupBy(*key).agg((F.max("__rank") + 1).alias("__n"))
-    rows = attach(ranked, sizes, key, "inner")
+        values = values.withColumn("__all", F.lit(0))
+    # one row per different value, so neither copies of a value nor most rows take part in the sort
+    counted = values.groupBy(*key, value).agg(F.count(F.lit(1)).alias("__copies"))
+    ranked = running_totals(counted, key, [F.col(value)], {"__upto": "__copies"})
+    sizes = ranked.groupBy(*key).agg(F.max("__upto").alias("__n"))
+    rows = attach(ranked, sizes, key, "inner", nulls_match=True)
     at = {name: F.lit(p) * (F.col("__n") - 1) for name, p in probabilities.items()}
+    holds = lambda place: (place < F.col("__upto")) & (place >= F.col("__upto") - F.col("__copies"))
     wanted = F.lit(False)
     for position in at.values():
-        wanted = wanted | F.col("__rank").isin(F.floor(position), F.ceil(position))
-    picked = lambda position: F.max(F.when(F.col("__rank") == position, F.col(value)))
+        wanted = wanted | holds(F.floor(position)) | holds(F.ceil(position))
+    picked = lambda place: F.max(F.when(holds(place), F.col(value)))
     share = lambda position: F.max(position - F.floor(position))
     out = rows.filter(wanted).groupBy(*key).agg(
         *[

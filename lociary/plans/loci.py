@@ -39,7 +39,7 @@ def abf_pip(variants: DataFrame, prior: float = PRIOR_VARIANCE, keys: list[str]
     the few bins of a locus are then rescaled to its largest.
     """
     scored = variants.withColumn(
-        "lbf", log_bayes_factor(F.col("beta") / F.col("se"), F.col("se") * F.col("se"), prior)
+        "lbf", log_bayes_factor(F.try_divide("beta", "se"), F.col("se") * F.col("se"), prior)
     ).withColumn("score", F.round("lbf", 9))
     lbf_bin = F.floor(F.col("lbf") / LBF_BIN)
     bins = scored.groupBy(*keys, lbf_bin.alias("__bin")).agg(
@@ -58,7 +58,7 @@ def abf_pip(variants: DataFrame, prior: float = PRIOR_VARIANCE, keys: list[str]
         )
     )
     return (
-        attach(scored, stats, keys, "inner")
+        attach(scored, stats, keys, "inner", nulls_match=True)
         .withColumn("prob", F.exp(F.col("lbf") - F.col("__top")) / F.col("__total"))
         .drop("__top", "__total")
     )
@@ -80,10 +80,10 @@ def lead_rows(
 
 def dentist_s(scored: DataFrame, keys: list[str] = LOCUS) -> tuple[DataFrame, DataFrame]:
     """Outlier statistic of every variant against its locus lead. Returns (variants, leads)."""
-    with_z = scored.withColumn("z", F.col("beta") / F.col("se"))
+    with_z = scored.withColumn("z", F.try_divide("beta", "se"))
     leads = settle(lead_rows(with_z, ["z"], "score", "max_score", keys))
     chosen = leads.select(*keys, "lead_z", F.col("lead_variant").alias("__lead"), F.col("lead_position").alias("__at"))
-    rows = attach(with_z, chosen, keys, "inner", stored=True)
+    rows = attach(with_z, chosen, keys, "inner", stored=True, nulls_match=True)
     t = lead_consistency(F.col("z"), F.col("r"), F.col("lead_z"))
     is_lead = (F.col("variant") == F.col("__lead")) & (F.col("position") == F.col("__at"))
     return (
@@ -361,7 +361,7 @@ def sample_size_ratio_density(predicted: DataFrame, width: float = 0.5) -> DataF
 
 def region_variants(variants: DataFrame) -> DataFrame:
     """Plot columns of variants: chi-square, r2, credible-set recode, outlier flag."""
-    z = F.col("beta") / F.col("se")
+    z = F.try_divide("beta", "se")
     r2 = F.col("r") * F.col("r")
     return variants.withColumns(
         {
@@ -400,7 +400,7 @@ def manhattan_points(sumstats: DataFrame, p_cut: float = 1e-3) -> DataFrame:
     The number counts all variants, so the rows are range-sorted rather than windowed as one group.
     """
     order = [F.col("contig_number"), F.col("position"), F.col("variant"), F.col("p")]
-    ranked = rank_within(sumstats, [], order, "__idx")
+    ranked = rank_within(sumstats.select("contig_number", "position", "variant", "p"), [], order, "__idx")
     return ranked.filter(F.col("p") < p_cut).select(
         "contig_number", "position", "variant", "p",
         (F.col("__idx") + 1).alias("idx"),

@@ -27,8 +27,8 @@ def parse_study(abf: DataFrame) -> DataFrame:
     """``x.phenoN.configM`` and the variant text as typed columns."""
     return abf.withColumns(
         {
-            "pheno": F.substring(token(F.col("trait"), ".", 1), 6, 20).cast("int"),
-            "config": F.substring(token(F.col("trait"), ".", 2), 7, 20).cast("int"),
+            "pheno": F.regexp_extract(token(F.col("trait"), ".", 1), "^.{5}(.*)$", 1).cast("int"),
+            "config": F.regexp_extract(token(F.col("trait"), ".", 2), "^.{6}(.*)$", 1).cast("int"),
             **variant_parts(F.col("variant")),
         }
     )
@@ -45,7 +45,7 @@ def region_summary(variants: DataFrame) -> DataFrame:
             F.coalesce(F.bool_or("gamma"), F.lit(False)).alias("gamma"),
             F.max("prob").alias("max_prob"),
             F.max("nlog10p_dentist").alias("max_nlog10p_dentist"),
-            F.max(F.when(F.col("lead_variant"), F.col("beta") / F.col("se"))).alias("lead_z"),
+            F.max(F.when(F.col("lead_variant"), F.try_divide("beta", "se"))).alias("lead_z"),
             F.count_if("cs").alias("n_cs"),
             F.count_if("cs_99").alias("n_cs_99"),
         )
@@ -90,7 +90,7 @@ def region_cs_members(variants: DataFrame) -> DataFrame:
 def parse_effects(effects: DataFrame) -> DataFrame:
     """True effects with their source path ``.../phenoN.beta...`` as pheno and variant columns."""
     name = token(F.substring_index(F.col("source"), "/", -1), ".", 0)
-    return effects.select(F.substring(name, 6, 20).cast("int").alias("pheno"), *[
+    return effects.select(F.regexp_extract(name, "^.{5}(.*)$", 1).cast("int").alias("pheno"), *[
         c.alias(n) for n, c in variant_parts(F.col("variant")).items()
     ])
 
@@ -197,7 +197,7 @@ def prob001(ranked: DataFrame, regions: DataFrame, cut: float = 0.01) -> DataFra
 
 def dentist_bins(ranked: DataFrame, regions: DataFrame) -> DataFrame:
     """Non-lead variants per region and r2 / largest posterior / outlier-statistic bin."""
-    expected = F.col("r") * F.col("lead_z") - F.col("beta") / F.col("se")
+    expected = F.col("r") * F.col("lead_z") - F.try_divide("beta", "se")
     rows = _in_causal_regions(ranked.filter(~F.col("lead_variant")), regions).withColumns(
         {
             "r2_bin": uniform_bin(F.col("r") * F.col("r"), 0.0, 1.0, 10, R2_BIN),

@@ -247,10 +247,14 @@ JOIN (SELECT 0.01::DOUBLE + i * 0.01::DOUBLE AS th FROM range(0, 100) g(i)) y ON
 GROUP BY prediction, th""",
 )
 CTES["sim_truth"] = (
-    ("sim_locus",),
+    ("sim_frac",),
     """
-SELECT count, unnest(['abf_success', 'abf_success_cs', 'abf_success_cs_99']) AS truth,
-  unnest([abf_success, abf_success_cs, abf_success_cs_99]) AS success FROM sim_locus""",
+SELECT CAST(outliers AS BIGINT) AS count, unnest(['abf_success', 'abf_success_cs', 'abf_success_cs_99']) AS truth,
+  unnest([s0, s1, s2]) AS success
+FROM (
+  SELECT sum(CASE WHEN nlog10p_dentist_bin >= 8 THEN n ELSE 0 END) AS outliers,
+    bool_or(abf_success) AS s0, bool_or(abf_success_cs) AS s1, bool_or(abf_success_cs_99) AS s2
+  FROM sim_frac WHERE max_prob_bin >= 9 AND r2_bin >= 6 AND nlog10p_dentist_bin IS NOT NULL GROUP BY pheno, config, region)""",
 )
 
 # --- posteriors ----------------------------------------------------------------------------------

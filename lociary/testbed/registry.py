@@ -139,6 +139,12 @@ def sim_locus(spark: SparkSession, d: str) -> DataFrame:
     return simulation.locus_prediction(simulation.locus_metrics(sim_frac(spark, d)))
 
 
+@stage
+def sim_confident_locus(spark: SparkSession, d: str) -> DataFrame:
+    """Only regions whose largest posterior reaches 0.9: those the outlier statistic is judged on."""
+    return simulation.locus_metrics(sim_frac(spark, d), 0.9)
+
+
 @stage
 def sim_candidates(spark: SparkSession, d: str) -> DataFrame:
     return simulation.prob001(sim_complete(spark, d), sim_regions(spark, d))
@@ -410,7 +416,7 @@ def _(spark, d):
     "sim_truth",
 )
 def _(spark, d):
-    return r6(simulation.outlier_roc(sim_locus(spark, d)), "roc_auc")
+    return r6(simulation.outlier_roc(sim_confident_locus(spark, d)), "roc_auc")
 
 
 @query(
@@ -425,7 +431,7 @@ def _(spark, d):
     "sim_truth",
 )
 def _(spark, d):
-    return simulation.outlier_roc_curve(sim_locus(spark, d))
+    return simulation.outlier_roc_curve(sim_confident_locus(spark, d))
 
 
 @query(
@@ -437,7 +443,7 @@ def _(spark, d):
     "sim_truth",
 )
 def _(spark, d):
-    return simulation.outlier_confusion(sim_locus(spark, d))
+    return simulation.outlier_confusion(sim_confident_locus(spark, d))
 
 
 @query(
@@ -823,7 +829,7 @@ def _(spark, d):
 @query(
     "pip_delta",
     """SELECT trait, region, variant, variant_b37, prediction, round(prob, 6) AS prob, max_pip, round(delta, 6) AS delta,
-         round(least(ratio, 1e6), 2) AS ratio, prob_bin::BIGINT AS prob_bin, max_pip_bin::BIGINT AS max_pip_bin, max_pip_gwas, max_pip_eqtl FROM delta""",
+         round(log10(nullif(ratio, 0)), 6) AS log_ratio, prob_bin::BIGINT AS prob_bin, max_pip_bin::BIGINT AS max_pip_bin, max_pip_gwas, max_pip_eqtl FROM delta""",
     "delta",
 )
 def _(spark, d):
@@ -831,7 +837,8 @@ def _(spark, d):
         "trait", "region", "variant", "variant_b37", "prediction", "prob", "max_pip", "delta", "ratio",
         "prob_bin", "max_pip_bin", "max_pip_gwas", "max_pip_eqtl",
     )
-    return big(r6(rows.withColumn("ratio", F.round(F.least("ratio", F.lit(1e6)), 2)), "prob", "delta"))
+    rows = rows.withColumn("log_ratio", F.round(F.log10("ratio"), 6)).drop("ratio")
+    return big(r6(rows, "prob", "delta"))
 
 
 _POP = """pop AS (

@@ -49,7 +49,30 @@ def test_attach_empty_table(spark, join_path):
 
 
 def test_shared_folder_is_read_from_the_session(spark):
-    assert keyed.shared_folder(spark) == spark.sparkContext.getCheckpointDir()
+    assert keyed.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        keyed.shared_folder(Session())
+
+
+def test_null_keys_can_match(spark, join_path):
+    left = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "k string, v int")
+    right = spark.createDataFrame([("a", 10), (None, 20)], "k string, w int")
+    got = keyed.attach(left, right, ["k"], "inner", nulls_match=True)
+    assert rows(got, "v", "w") == [(1, 10), (2, 20), (3, 20)]
+    assert rows(keyed.attach(left, right, ["k"], "inner"), "v", "w") == [(1, 10)]
 
 
 def test_rank_within_one_huge_group(spark, join_path):
