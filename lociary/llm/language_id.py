@@ -116,6 +116,8 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]) if texts else np.zeros(1, np.int64)
         counted.append(np.unique(byte_keys(buf, offsets), return_counts=True))
     model = Model(languages, np.zeros((256, len(languages))), [], [], [], [])
+    if not languages:
+        return model
     lower_keys, lower_costs = None, None
     for order in range(ORDER + 1):
         mask = np.uint32((1 << (8 * (order + 1))) - 1 if order < 3 else 0xFFFFFFFF)
