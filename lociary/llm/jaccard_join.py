@@ -46,12 +46,13 @@ CHUNK_TOKENS = 1 << 18
 CHUNK_TEXTS = 8192
 WIDE = 8
 WIDE_MARK = 65535
+COMMON = 65535  # the orders do not tell apart tokens found more often
 
 TOKENS, HEADER = 0, 1
 ORDER_SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 PACKED = "slot long, chunk long, kind int, data binary"
-PROFILE = "doc_id long, n long, set_key long, single long, rarity double, tokens array<long>, prefix array<long>, prefix_2 array<long>, prefix_3 array<long>"
+PROFILE = "doc_id long, place long, n long, set_key long, single long, rarity double, tokens array<long>, prefix array<long>, prefix_2 array<long>, prefix_3 array<long>"
 
 
 def _bits(ranges: int) -> int:
@@ -160,8 +161,8 @@ def _count(table: pa.Table, highest: int) -> pa.Table:
     ordered = tokens[order]
     fresh = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     total = np.add.reduceat(weight[order], fresh)
-    frequency = np.empty(len(tokens), np.uint32)
-    frequency[order] = np.repeat(total, np.diff(np.append(fresh, len(tokens))))
+    frequency = np.empty(len(tokens), np.uint16)
+    frequency[order] = np.repeat(np.minimum(total, COMMON), np.diff(np.append(fresh, len(tokens))))
     chunks, out, at = [], [], 0
     for chunk, n in zip(column_of(table, "chunk").to_pylist(), lengths.tolist()):
         part = slice(at, at + n)
@@ -202,7 +203,7 @@ def _prefixes(tokens: np.ndarray, frequency: np.ndarray, single: int, percent: i
 
 def _assemble(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        header, blobs = None, []
+        header, blobs, chunk = None, [], column_of(table, "chunk")[0].as_py()
         for kind, data in zip(column_of(table, "kind").to_pylist(), column_of(table, "data")):
             if kind == HEADER:
                 header = _unpack(data.as_py())
@@ -212,10 +213,10 @@ def _assemble(percent: int):
         null = np.frombuffer(header["null"], bool)
         sizes = np.frombuffer(header["sizes"], np.int64)
         keys = np.frombuffer(header["keys"], np.uint64)
-        lengths = [len(b) // 14 for b in blobs]
+        lengths = [len(b) // 12 for b in blobs]
         tokens = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, lengths)]) if blobs else np.zeros(0, np.uint64)
         owner = np.concatenate([np.frombuffer(b, np.uint16, n, 8 * n) for b, n in zip(blobs, lengths)]) if blobs else np.zeros(0, np.uint16)
-        frequency = np.concatenate([np.frombuffer(b, np.uint32, n, 10 * n) for b, n in zip(blobs, lengths)]) if blobs else np.zeros(0, np.uint32)
+        frequency = np.concatenate([np.frombuffer(b, np.uint16, n, 10 * n) for b, n in zip(blobs, lengths)]) if blobs else np.zeros(0, np.uint16)
         wide_tokens, wide_owner = np.frombuffer(header["wide_tokens"], np.uint64), np.frombuffer(header["wide_owner"], np.uint16)
         tokens, owner, frequency = _expand(tokens, owner, frequency, wide_tokens, wide_owner)
         order = np.argsort(owner, kind="stable")
@@ -234,7 +235,7 @@ def _assemble(percent: int):
             for column, value in zip(arrays, [None] * 4 if found is None else [own, *found]):
                 column.append(None if value is None else value.view(np.int64))
         return pa.table({
-            "doc_id": pa.array(ids, pa.int64(), mask=null), "n": pa.array(sizes), "set_key": pa.array(keys.view(np.int64)),
+            "doc_id": pa.array(ids, pa.int64(), mask=null), "place": pa.array((chunk << 16) + np.arange(len(ids))), "n": pa.array(sizes), "set_key": pa.array(keys.view(np.int64)),
             "single": pa.array(single), "rarity": pa.array(rarity),
             **{name: pa.array(column, pa.list_(pa.int64())) for name, column in zip(["tokens", "prefix", "prefix_2", "prefix_3"], arrays)},
         })
@@ -254,9 +255,11 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` of classes that pass the filters of the other orders and the exact test."""
-    used = ["set_key", "n", "tokens", "prefix_2", "prefix_3"]
-    left = sets.select(*[F.col(c).alias(f"{c}_u") for c in used]).withColumnRenamed("set_key_u", "u")
-    right = sets.select(*[F.col(c).alias(f"{c}_v") for c in used]).withColumnRenamed("set_key_v", "v")
+    pairs = store(pairs, "pairs")
+    ends = pairs.select(F.col("u").alias("set_key")).unionAll(pairs.select("v")).distinct()
+    used = attach(sets, ends, ["set_key"], "left_semi").select("set_key", "n", "tokens", "prefix_2", "prefix_3")
+    left = used.select(*[F.col(c).alias(f"{c}_u") for c in used.columns]).withColumnRenamed("set_key_u", "u")
+    right = used.select(*[F.col(c).alias(f"{c}_v") for c in used.columns]).withColumnRenamed("set_key_v", "v")
     both = pairs.join(left, "u").join(right, "v")
     both = both.filter(F.arrays_overlap("prefix_2_u", "prefix_2_v") & F.arrays_overlap("prefix_3_u", "prefix_3_v"))
     shared = F.size(F.array_intersect("tokens_u", "tokens_v"))
@@ -320,9 +323,10 @@ def jaccard_components(docs: DataFrame, *, width: int = WIDTH, percent: int = PE
     null where no member has an id. An empty table gives an empty table.
     """
     profile = profiles(docs, width, percent)
-    sets = store(
-        profile.filter(F.col("tokens").isNotNull()).drop("doc_id").dropDuplicates(["set_key"]).repartition("set_key"), "sets"
-    )
+    # of the copies of a set in different chunks the first stands for all; only places move to tell which
+    partnered = profile.filter(F.col("tokens").isNotNull())
+    first = partnered.groupBy("set_key").agg(F.min("place").alias("place"))
+    sets = attach(partnered.drop("doc_id"), first, ["set_key", "place"], "left_semi")
     labels = connected_components(class_links(sets, percent))
     plain = profile.select("doc_id", "n", "set_key")
     classes = plain.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
