@@ -59,8 +59,8 @@ CONTENT_WORDS = frozenset("article articlebody body content entry main post pros
 
 FEATURES = ["bias", "furniture", "article", "heading", "list", "table", "prose", "container", "furniture word", "content word", "text", "length", "links", "ends", "root"]
 #: Where the weights are drawn to: what the sample shows nothing of keeps these.
-PRIOR = np.array([0.0, -3.0, 30.0, 0.0, -0.5, -0.5, 1.5, 0.0, -3.0, 1.0, 0.0, 0.3, -2.0, 0.5, 0.0])
-PRIOR_PAIRS = np.array([[1.0, -1.5], [-0.5, 1.0]])  # parent by child
+PRIOR = np.array([0.0, -6.0, 30.0, 2.0, -0.5, -0.5, 1.0, -0.5, -5.0, 2.0, 0.0, 0.2, -2.0, 0.3, 0.0])
+PRIOR_PAIRS = np.array([[1.5, -4.5], [0.0, 1.0]])  # parent by child
 PULL = 0.02
 KNOWN = 60.0
 
