@@ -22,23 +22,24 @@ def critical_n(rows: DataFrame) -> DataFrame:
 
 
 def marginal_assoc(rows: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Regression through the origin of y on x per key, from six map-side sums.
+    """Regression through the origin of y on x per key, from map-side aggregates.
 
     ``s2`` uses the population variance of the residuals, mean removed.
     """
     cx, cy = F.col(x), F.col(y)
+    both = cx.isNotNull() & cy.isNotNull()
     sums = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(cx).alias("sx"), F.sum(cy).alias("sy"),
-        F.sum(cx * cx).alias("sxx"), F.sum(cx * cy).alias("sxy"), F.sum(cy * cy).alias("syy"),
+        F.sum(cx * cx).alias("sxx"), F.sum(cx * cy).alias("sxy"),
+        # around the means as they run, so large values do not cancel
+        F.var_pop(F.when(both, cx)).alias("vx"), F.var_pop(F.when(both, cy)).alias("vy"), F.covar_pop(cx, cy).alias("cov"),
     )
     b = F.col("beta")
-    mean = (F.col("sy") - b * F.col("sx")) / F.col("n")
-    square = (F.col("syy") - 2 * b * F.col("sxy") + b * b * F.col("sxx")) / F.col("n")
+    spread = F.col("vy") - 2 * b * F.col("cov") + b * b * F.col("vx")
     return (
         sums.withColumn("beta", F.try_divide("sxy", "sxx"))
-        .withColumn("sigma2", square - mean * mean)
+        .withColumn("sigma2", F.when(spread.isNotNull(), F.greatest(spread, F.lit(0.0))))
         .withColumn("s2", F.try_divide("sigma2", "sxx"))
         .withColumn("z", F.try_divide(b, F.sqrt("s2")))
-        .drop("sx", "sy", "sxx", "sxy", "syy")
+        .drop("sxx", "sxy", "vx", "vy", "cov")
     )

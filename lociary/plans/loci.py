@@ -18,6 +18,7 @@ from lociary.functions.stats import (
     binomial_interval,
     effective_samples,
     lead_consistency,
+    lead_consistency_unsigned,
     log_bayes_factor,
     nlog10p_chi2,
     significance_stars,
@@ -78,14 +79,19 @@ def lead_rows(
     )
 
 
-def dentist_s(scored: DataFrame, keys: list[str] = LOCUS) -> tuple[DataFrame, DataFrame]:
-    """Outlier statistic of every variant against its locus lead. Returns (variants, leads)."""
+def dentist_s(scored: DataFrame, keys: list[str] = LOCUS, signed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Outlier statistic of every variant against its locus lead. Returns (variants, leads).
+
+    ``signed=False`` takes chi-square values and squared correlations only. Variants of a locus without a lead, where
+    every standard error is zero or missing, stay with a NULL statistic.
+    """
     with_z = scored.withColumn("z", F.try_divide("beta", "se"))
     leads = settle(lead_rows(with_z, ["z"], "score", "max_score", keys))
     chosen = leads.select(*keys, "lead_z", F.col("lead_variant").alias("__lead"), F.col("lead_position").alias("__at"))
-    rows = attach(with_z, chosen, keys, "inner", stored=True, nulls_match=True)
-    t = lead_consistency(F.col("z"), F.col("r"), F.col("lead_z"))
-    is_lead = (F.col("variant") == F.col("__lead")) & (F.col("position") == F.col("__at"))
+    rows = attach(with_z, chosen, keys, "left", stored=True, nulls_match=True)
+    z, r, lead_z = F.col("z"), F.col("r"), F.col("lead_z")
+    t = lead_consistency(z, r, lead_z) if signed else lead_consistency_unsigned(z * z, r * r, lead_z * lead_z)
+    is_lead = F.coalesce((F.col("variant") == F.col("__lead")) & (F.col("position") == F.col("__at")), F.lit(False))
     return (
         rows.withColumn("t_dentist", t)
         .withColumn("nlog10p_dentist", nlog10p_chi2(F.col("t_dentist")))
@@ -375,14 +381,15 @@ def region_variants(variants: DataFrame) -> DataFrame:
 
 def ld_span(variants: DataFrame, correlations: dict[str, str], keys: list[str] = LOCUS) -> DataFrame:
     """Positions spanned by variants with r2 above the threshold, per locus and correlation column."""
-    rows = F.array(
-        *[F.struct(F.lit(name).alias("ld_to"), F.col(c).alias("r")) for name, c in correlations.items()]
+    linked = {name: F.when(F.col(c) * F.col(c) > R2_THRESHOLD, F.col("position")) for name, c in correlations.items()}
+    ends = variants.groupBy(*keys).agg(
+        *[F.struct(F.min(at).alias("min_position"), F.max(at).alias("max_position")).alias(f"__{name}") for name, at in linked.items()]
     )
+    rows = F.array(*[F.struct(F.lit(name).alias("ld_to"), F.col(f"__{name}").alias("ends")) for name in linked])
     return (
-        variants.select(*keys, "position", F.explode(rows).alias("x"))
-        .filter(F.col("x.r") * F.col("x.r") > R2_THRESHOLD)
-        .groupBy(*keys, F.col("x.ld_to").alias("ld_to"))
-        .agg(F.min("position").alias("min_position"), F.max("position").alias("max_position"))
+        ends.select(*keys, F.explode(rows).alias("x"))
+        .select(*keys, "x.ld_to", "x.ends.*")
+        .filter(F.col("min_position").isNotNull())
         .withColumn("span", F.col("max_position") - F.col("min_position"))
     )
 

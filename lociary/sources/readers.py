@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lociary.functions.text import file_name
 
@@ -18,13 +18,22 @@ def read_tsv(
 ) -> DataFrame:
     """Tab-separated text by explicit schema; ``source`` keeps the file path as a column.
 
-    Columns are matched by position. Pass ``null_value=None`` for files in which the text "NA" is a
+    In a file with a header the columns are found by name, in any order; a missing one is an error, and so is
+    a further file whose header differs. Without a header they are matched by position. Pass ``null_value=None`` for files in which the text "NA" is a
     value (locus classes). Spark picks the codec by extension: block-gzipped files must be named ``.gz``,
     and as gzip cannot be split, stage large ones once with :func:`lociary.sources.writers.write_table`.
     """
-    options = {"sep": "\t", "header": str(header).lower(), "enforceSchema": "true"}
+    options = {"sep": "\t", "header": str(header).lower(), "enforceSchema": str(not header).lower()}
     if null_value is not None:
         options["nullValue"] = null_value
+    if header:
+        found = spark.read.options(**options).csv(paths)
+        wanted = T.StructType.fromDDL(schema)
+        missing = [f.name for f in wanted if f.name not in found.columns]
+        if missing:
+            raise ValueError(f"no column {', '.join(missing)} in {paths}")
+        df = found.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted], *(["_metadata"] if source else []))
+        return df.withColumn(source, F.col("_metadata.file_path")).drop("_metadata") if source else df
     df = spark.read.options(**options).schema(schema).csv(paths)
     return df.withColumn(source, F.col("_metadata.file_path")) if source else df
 

@@ -58,6 +58,14 @@ FROM (
 ) d
 """
 
+# values outside the narrow ranges: signed and rounded correlations, no standard error, no region
+SQL["sumstats_hard"] = f"""
+SELECT trait, CASE WHEN position % 97 = 0 THEN NULL ELSE region END AS region, variant, position,
+  beta, CASE WHEN position % 89 = 0 THEN 0e0 ELSE se END AS se,
+  CASE WHEN position % 83 = 0 THEN 1e0 WHEN position % 79 = 0 THEN -10001e-4 ELSE (2e0 * r - 1e0) * 11e-1 END AS r
+FROM ({SQL["sumstats"]}) s
+"""
+
 SQL["ext_gwas"] = f"""
 SELECT variant, max(round(power(u, 3), 9)) AS max_pip FROM ({_LINE}) c WHERE l_linestatus = 'F' GROUP BY variant
 """

@@ -421,7 +421,7 @@ def compose(final: str, *needs: str) -> str:
     final = final.strip()
     if not ordered:
         return final
-    ctes = ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in ordered)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1].strip()})" for n in ordered)
     # a final text with its own CTEs continues the list
     rest = ", " + final[len("WITH ") :] if final.startswith("WITH ") else final
     return f"WITH {ctes}\n{rest}"

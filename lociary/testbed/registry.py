@@ -12,7 +12,7 @@ from lociary.functions.stats import critical_sample_size_ratio_form
 from lociary.functions.text import recode
 from lociary.operators.keyed import settle, shared_folder
 from lociary.plans import annotation, cohorts, effects, loci, panels, posteriors, reports, simulation
-from lociary.sources import writers
+from lociary.sources import readers, writers
 from lociary.testbed import bridge
 from lociary.testbed.bridge import domain
 from lociary.testbed.oracle import POST_TRAITS, collections, compose, sql_list, wilson
@@ -510,6 +510,43 @@ def _(spark, d):
     return r6(variants.compute(spark, d)[0].select("trait", "region", "variant", *columns), *columns)
 
 
+_HARD = """scored_hard AS MATERIALIZED (
+  SELECT *, exp(lbf - top) / sum(exp(lbf - top)) OVER (PARTITION BY trait, region) AS prob FROM (
+    SELECT *, round(lbf, 9) AS score, max(lbf) OVER (PARTITION BY trait, region) AS top FROM (
+      SELECT *, beta / nullif(se, 0) AS z,
+        0.5 * (ln(nullif(1 - 0.04 / (0.04 + se * se), 0)) + 0.04 / (0.04 + se * se) * (beta / nullif(se, 0)) * (beta / nullif(se, 0))) AS lbf FROM sumstats_hard))),
+leads_hard AS MATERIALIZED (SELECT trait, region, z AS lead_z FROM (
+  SELECT *, row_number() OVER (PARTITION BY trait, region ORDER BY score DESC NULLS LAST, position, variant, z) AS rn FROM scored_hard)
+  WHERE rn = 1 AND score IS NOT NULL)"""
+_TAIL = """(x * x - ln(1 / (1 + x / 2)) - (-1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806
+  + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))) / ln(10::DOUBLE)"""
+
+
+def _hard_dentist(t: str) -> str:
+    return f"""WITH {_HARD} SELECT trait, region, variant, round(t_dentist, 6) AS t_dentist, round({_TAIL}, 6) AS nlog10p_dentist
+      FROM (SELECT *, 1 / (1 + x / 2) AS t FROM (SELECT *, sqrt(CASE WHEN t_dentist < 0 THEN 0 ELSE t_dentist END / 2) AS x FROM (
+        SELECT s.trait, s.region, s.variant, {t} AS t_dentist FROM scored_hard s LEFT JOIN leads_hard l
+        ON l.trait IS NOT DISTINCT FROM s.trait AND l.region IS NOT DISTINCT FROM s.region)))"""
+
+
+@query("abf_pip_hard", f"WITH {_HARD} SELECT trait, region, variant, round(lbf, 6) AS lbf, round(prob, 6) AS prob FROM scored_hard", "sumstats_hard")
+def _(spark, d):
+    rows = loci.abf_pip(domain(spark, d, "sumstats_hard"))
+    return r6(rows.select("trait", "region", "variant", "lbf", "prob"), "lbf", "prob")
+
+
+@query("dentist_s_hard", _hard_dentist("(z - r * lead_z) * (z - r * lead_z) / nullif(1 - r * r, 0)"), "sumstats_hard")
+def _(spark, d):
+    rows = loci.dentist_s(loci.abf_pip(domain(spark, d, "sumstats_hard")))[0]
+    return r6(rows.select("trait", "region", "variant", "t_dentist", "nlog10p_dentist"), "t_dentist", "nlog10p_dentist")
+
+
+@query("dentist_s_unsigned", _hard_dentist("power(sqrt(z * z) - sqrt(r * r * lead_z * lead_z), 2) / nullif(1 - r * r, 0)"), "sumstats_hard")
+def _(spark, d):
+    rows = loci.dentist_s(loci.abf_pip(domain(spark, d, "sumstats_hard")), signed=False)[0]
+    return r6(rows.select("trait", "region", "variant", "t_dentist", "nlog10p_dentist"), "t_dentist", "nlog10p_dentist")
+
+
 _SUMMARY = ["trait", "region", "lead_pip_variant", "n_total", "n_r2", "n_dentist_outlier", "fraction", "n_nonsyn", "cs_nonsyn", "cs_99_nonsyn"]
 _SUMMARY6 = ["max_pip", "max_pip_nonsyn", "lead_max_pip_gwas", "cs_max_pip_gwas", "cs_99_max_pip_gwas",
              "lead_max_pip_eqtl", "cs_max_pip_eqtl", "cs_99_max_pip_eqtl", "min_neff_r2", "max_neff_r2"]
@@ -1200,7 +1237,7 @@ def _(spark, d):
     t = bridge.tables(spark, d, ("orders", "lineitem"))
     studies = t["orders"].select(F.col("o_orderkey").alias("study_accession"), "o_totalprice")
     flags = t["orders"].select(F.col("o_orderkey").alias("study_accession"), (F.col("o_orderstatus") != "P").alias("is_meta_analysis"))
-    done = t["lineitem"].select(F.col("l_orderkey").alias("study_accession"))
+    done = t["lineitem"].select(F.col("l_orderkey").alias("study_accession")).distinct()
     return reports.report_studies(studies, flags, done)
 
 
@@ -1244,6 +1281,50 @@ def _(spark, d):
     return count("lines", "l_partkey").unionByName(count("orders", "o_custkey"))
 
 
+@query("source_tsv", "SELECT o_orderkey, o_custkey, o_orderstatus, true AS has_path FROM orders")
+def _(spark, d):
+    """Written in one order of columns, read by name in another, with the path of each row's file."""
+    target = f"{shared_folder(spark)}/tsv-{uuid.uuid4().hex}"
+    writers.write_tsv(bridge.tables(spark, d, ("orders",))["orders"].select("o_orderstatus", "o_orderkey", "o_custkey"), target)
+    rows = readers.read_tsv(spark, target, "o_orderkey bigint, o_custkey bigint, o_orderstatus string", source="path")
+    return rows.withColumn("has_path", F.col("path").contains("/tsv-")).drop("path")
+
+
+@query(
+    "source_region",
+    """SELECT trait, region, variant, position, round(beta, 9) AS beta FROM sumstats
+       WHERE trait = (SELECT min(trait) FROM sumstats) AND region = (SELECT min(region) FROM sumstats)""",
+    "sumstats",
+)
+def _(spark, d):
+    """One locus out of the table clustered by locus."""
+    rows = domain(spark, d, "sumstats")
+    target = f"{shared_folder(spark)}/locus-{uuid.uuid4().hex}"
+    writers.write_by_locus(rows, target)
+    wanted = rows.agg(F.min("trait").alias("trait"), F.min("region").alias("region")).first()
+    found = readers.read_region(spark, target, wanted["trait"], wanted["region"])
+    return found.select("trait", "region", "variant", "position", F.round("beta", 9).alias("beta"))
+
+
+@query(
+    "source_bed",
+    """SELECT 'r' || l_returnflag AS file, contig, position - 1 AS start, position AS "end" FROM (
+         SELECT trait, contig, position, substr(trait, 1, 1) AS l_returnflag FROM sumstats)""",
+    "sumstats",
+)
+def _(spark, d):
+    """Interval files of three names, written and read back with one scan."""
+    rows = domain(spark, d, "sumstats").select(
+        F.substring("trait", 1, 1).alias("flag"), "contig", (F.col("position") - 1).alias("start"), F.col("position").alias("end")
+    )
+    target = f"{shared_folder(spark)}/bed-{uuid.uuid4().hex}"
+    # one folder per name, read back under the name of the folder as the files' stem
+    for flag in ("A", "N", "R"):
+        rows.filter(F.col("flag") == flag).drop("flag").write.options(sep="\t", header="false").csv(f"{target}/r{flag}.bed")
+    found = readers.read_tsv(spark, f"{target}/*.bed", "contig string, start bigint, end bigint", header=False, source="path")
+    return found.select(F.regexp_extract("path", r"/([^/]+)\.bed/[^/]+$", 1).alias("file"), "contig", "start", "end")
+
+
 # --- effects -----------------------------------------------------------------------------------------
 
 _ROOT = """(-b - sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a)"""

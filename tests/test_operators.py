@@ -194,3 +194,18 @@ def test_bootstrap_interval_is_repeatable_and_brackets_the_ratio(spark):
     for (k, lo, hi), (rr, se) in zip(first, ((2.25, math.sqrt(1 / 20 - 1 / 100 + 1 / 45 - 1 / 100)), (1.2, math.sqrt(7 / 3 / 10000 + 64 / 36 / 10000)))):
         assert lo < rr < hi
         assert math.log(hi / lo) == pytest.approx(2 * 1.96 * se, rel=0.15)
+
+
+@pytest.mark.parametrize("n, hits", [(3, 1), (700, 350), (5000, 7), (5000, 4990)])
+def test_binomial_draws_invert_the_exact_distribution(spark, n, hits):
+    p = hits / n
+    uniforms = [(k + 0.5) / 97 for k in range(97)] + [1e-9, 1 - 1e-9]
+    sides = spark.createDataFrame([("a", "1", n, p)], "k string, side string, n long, p double")
+    draws = spark.createDataFrame([("a", "1", b, u) for b, u in enumerate(uniforms)], "k string, side string, b int, u double")
+    got = {r["b"]: r["x"] for r in contingency._binomial_draws(sides, ["k"], draws).collect()}
+    cumulative, total = [], 0.0
+    for i in range(n + 1):
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p))
+        cumulative.append(total)
+    for b, u in enumerate(uniforms):
+        assert got[b] == next((i for i, c in enumerate(cumulative) if c >= u * total), n)
