@@ -91,7 +91,49 @@ QUERIES = {
     "op10_sign_hash_dedup": op10_sign_hash_dedup,
 }
 
+def _posterior_sql(name: str, groups: str, key: str) -> str:
+    """One level of the reputation: the weight of the level from its moments, then the posterior of each group."""
+    return f"""
+        {name}_sums AS (SELECT count(*) AS g, sum(n) AS total, sum(n * m * (1 - m)) AS inside, sum(n * power(good / n - m, 2)) AS between_
+            FROM {groups} WHERE n > 0),
+        {name}_r AS (SELECT g, total, inside, (between_ - inside / total * g) / nullif(inside / total * (total - g), 0) AS r FROM {name}_sums),
+        {name}_k AS (SELECT CASE WHEN g = 0 OR total <= g OR inside = 0 OR NOT r > 0 THEN 1000.0::DOUBLE
+            ELSE round(least(greatest(1 / r - 1, 1), 1000), 6) END AS k FROM {name}_r),
+        {name}_post AS (SELECT {key}, a, b, a / (a + b) AS mean FROM (
+            SELECT {key}, k * m + good AS a, k * (1 - m) + n - good AS b FROM {groups}, {name}_k))"""
+
+
+#: The two-label suffixes of the operator do not occur in the given tables and are left out here.
+_OP2_SQL = f"""
+        WITH p AS MATERIALIZED (
+            SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        seen AS (SELECT page_id, count(*) AS n, sum(quality) AS good FROM p JOIN labels l
+            ON l.doc_id = TRY_CAST(nullif(regexp_extract(path, '[0-9]+'), '') AS BIGINT) WHERE quality IS NOT NULL GROUP BY page_id),
+        hosts AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good,
+                list_extract(string_split(host, '.'), -1) AS suffix, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain
+            FROM p LEFT JOIN seen USING (page_id) GROUP BY host),
+        suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM hosts) AS m FROM hosts GROUP BY suffix),
+        {_posterior_sql("s", "suffixes", "suffix")},
+        domains AS (SELECT domain, sum(n) AS n, sum(good) AS good, any_value(q.mean) AS m FROM hosts JOIN s_post q USING (suffix) GROUP BY domain, suffix),
+        {_posterior_sql("d", "domains", "domain")},
+        leaves AS (SELECT host, n, good, q.mean AS m FROM hosts JOIN d_post q USING (domain)),
+        {_posterior_sql("h", "leaves", "host")},
+        judged AS (SELECT p.*, round(mean - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 9) AS bound,
+                CASE WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/en/1') THEN 'example.org/en/1'
+                     WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/es/') THEN 'example.org/es/'
+                     WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
+                     WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
+                     WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/' END AS rule
+            FROM p JOIN h_post USING (host))
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN bound < 0.6 THEN 'block' ELSE 'allow' END AS verdict, bound FROM judged
+    """
+
 ORACLES = {
+    "op2_url_host_reputation": _OP2_SQL,
     "op10_sign_hash_dedup": """
         WITH RECURSIVE v AS MATERIALIZED (
             SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM (

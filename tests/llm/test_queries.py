@@ -32,7 +32,7 @@ def test_one_row_per_row_of_the_table(spark, name):
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "labels", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     cursor = con.execute(queries.ORACLES[name])
     df = queries.QUERIES[name](spark, DATA)
