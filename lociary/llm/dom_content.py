@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as html_library
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -86,10 +87,19 @@ def parse(html: str) -> Tree:
     """Blocks and their texts. Character references are decoded, white space in a block is one space."""
     tree = Tree()
     open_tags: list[tuple[str, int]] = [("html", 0)]  # every open element with its block
+    still_open: Counter[str] = Counter()  # of each tag, so that deep pages are not searched in vain
     parts: list[str] = []
-    in_link = 0
     at, size = 0, len(html)
 
+    def opens(tag: str, node: int) -> None:
+        open_tags.append((tag, node))
+        still_open[tag] += 1
+
+    def closes(place: int) -> None:
+        for tag, _ in open_tags[place:]:
+            still_open[tag] -= 1
+        del open_tags[place:]
+
     def close_run() -> None:
         if parts:
             text = " ".join(html_library.unescape("".join(parts)).split())
@@ -99,7 +109,7 @@ def parse(html: str) -> Tree:
 
     def add(text: str) -> None:
         parts.append(text)
-        if in_link:
+        if still_open["a"]:
             tree.links[open_tags[-1][1]] += len(text.strip())
 
     while at < size:
@@ -127,55 +137,52 @@ def parse(html: str) -> Tree:
                 else:
                     parts.append(" " if tag == "br" else "")
             elif tag in INLINE:
-                in_link += tag == "a"
-                open_tags.append((tag, open_tags[-1][1]))
+                opens(tag, open_tags[-1][1])
             elif tag in ("html", "body"):
-                if tag == "body" and not any(t == "body" for t, _ in open_tags):
+                if tag == "body" and not still_open["body"]:
                     close_run()
-                    _open(tree, open_tags, tag, token["attributes"])
+                    opens(tag, _node(tree, open_tags[-1][1], tag, token["attributes"]))
             else:
                 close_run()
-                if tag in CLOSES:
-                    _close_to(open_tags, CLOSES[tag], LIMITS)
-                else:
-                    _close_to(open_tags, ("p",), LIMITS)
-                in_link = sum(t == "a" for t, _ in open_tags)
-                _open(tree, open_tags, tag, token["attributes"])
+                ended = CLOSES.get(tag, ("p",))
+                if any(still_open[t] for t in ended):
+                    place = _implied_end(open_tags, ended)
+                    if place:
+                        closes(place)
+                opens(tag, _node(tree, open_tags[-1][1], tag, token["attributes"]))
         elif tag in INLINE:
             for k in range(len(open_tags) - 1, 0, -1):
                 if open_tags[k][0] == tag:
-                    in_link -= tag == "a"
+                    still_open[tag] -= 1
                     del open_tags[k]
                     break
                 if open_tags[k][0] not in INLINE:
                     break
         elif tag not in RAW and tag not in VOID and tag not in ("html", "body"):
-            if any(t == tag for t, _ in open_tags[1:]):
+            if still_open[tag]:
                 close_run()
-                while open_tags.pop()[0] != tag:
-                    pass
-                in_link = sum(t == "a" for t, _ in open_tags)
+                closes(next(k for k in range(len(open_tags) - 1, 0, -1) if open_tags[k][0] == tag))
     close_run()
     return tree
 
 
-def _open(tree: Tree, open_tags: list, tag: str, attributes: str) -> None:
-    tree.parent.append(open_tags[-1][1])
+def _node(tree: Tree, parent: int, tag: str, attributes: str) -> int:
+    tree.parent.append(parent)
     tree.tag.append(tag)
     tree.words.append(_class_words(attributes) if attributes else 0)
     tree.links.append(0)
-    open_tags.append((tag, len(tree.tag) - 1))
+    return len(tree.tag) - 1
 
 
-def _close_to(open_tags: list, tags: tuple[str, ...], limits: frozenset) -> None:
-    """Close the innermost open element of these tags, not reaching over a list, a table or a furniture element."""
+def _implied_end(open_tags: list, ended: tuple[str, ...]) -> int:
+    """Place of the innermost open element of these tags, not reaching over a list, a table or a furniture element; else 0."""
     for k in range(len(open_tags) - 1, 0, -1):
         tag = open_tags[k][0]
-        if tag in tags:
-            del open_tags[k:]
-            return
-        if tag in limits and not (tag in LIST and tag in tags) or tag in FURNITURE or tag in ARTICLE:
-            return
+        if tag in ended:
+            return k
+        if tag in LIMITS or tag in FURNITURE or tag in ARTICLE:
+            break
+    return 0
 
 
 def features(tree: Tree) -> np.ndarray:
