@@ -154,6 +154,26 @@ def test_quotes_link_and_order(spark):
     assert quote_links.reply_ordered(table.limit(0)).count() == 0
 
 
+def test_short_quotes_link(spark):
+    rows = [
+        (1, 0, "Thanks!"), (1, 1, "好的。"), (1, 2, "Yes. I will see to it."), (1, 3, "Well then."), (1, 4, "> Thanks!\na"), (1, 5, "> 好的。\nb"), (1, 6, "> Yes.\nc"),
+        (1, 7, "> Changed words here. Yes.\nd"), (1, 8, "> I will see to it. Thanks!\ne"), (1, 9, "> \n> ok\nf"), (2, 0, "> Thanks!\ng"),
+    ]
+    table = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_quotes"], r["n_linked"]) for r in quote_links.reply_ordered(table).collect()}
+    assert [got[1, t] for t in range(4, 10)] == [(0, 1, 1), (1, 1, 1), (2, 1, 1), (2, 1, 1), (2, 1, 1), (8, 1, 0)] and got[2, 0] == (None, 1, 0)
+
+
+def test_only_announcements_before_a_quote_go(spark):
+    texts = [
+        ("Ann wrote:\nno quote\nBob wrote:\n> q\nCarl schrieb:\nx", "Ann wrote:\nno quote\nCarl schrieb:\nx"), ("a\nBob wrote:\n\n> q", "a\n"),
+        ("> q\nBob wrote:", "Bob wrote:"), ("Bob wrote:\n> q\nAnn wrote:\n> r", ""), ("Bob wrote:\r\n> q\r\nc", "c"), ("Ann wrote:\nBob wrote:\n> q", "Ann wrote:"),
+    ]
+    table = spark.createDataFrame([(1, i, "user", t) for i, (t, _) in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r["content"] for r in quote_links.reply_ordered(table).collect()}
+    assert [got[i] for i in range(len(texts))] == [own for _, own in texts]
+
+
 def test_running_totals_over_blocks(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "b", None]), i, rng.randint(0, 9)) for i in range(400)]
