@@ -39,9 +39,15 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"
 HIDDEN_ATTRIBUTE = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 # Kinds of HTML elements, and words that page furniture and main text carry in class and id.
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math canvas video audio object select datalist button".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+UNSHOWN = frozenset("template svg canvas video audio select datalist button annotation annotation-xml".split())
+TRANSPARENT = frozenset("noscript object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup"
+    " msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
 FURNITURE = frozenset("nav footer header aside form menu dialog fieldset".split())
 ARTICLE = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -84,33 +90,50 @@ def _class_words(attributes: str) -> int:
 
 
 def parse(html: str) -> Tree:
-    """Blocks and their texts. Character references are decoded, white space in a block is one space."""
+    """Blocks and their texts. Character references are decoded, white space in a block is one space.
+
+    The text of ``RAW`` elements ends at their own end tag. Unshown and hidden elements are elements like others whose
+    text and blocks are left out: where their end tag is missing they end with the block around them, and inside text
+    (buttons, choices, hidden inline elements) also before an article. ``TRANSPARENT`` elements are nodes of their own
+    that end no paragraph.
+    """
     tree = Tree()
-    open_tags: list[tuple[str, int]] = [("html", 0)]  # every open element with its block
+    open_tags: list[tuple[str, int, int]] = [("html", 0, 0)]  # every open element with its block and the place from which all is left out
     still_open: Counter[str] = Counter()  # of each tag, so that deep pages are not searched in vain
+    shown_open: Counter[str] = Counter()  # of these, what is not left out
     parts: list[str] = []
+    owner = 0  # the block of the parts
     at, size = 0, len(html)
 
-    def opens(tag: str, node: int) -> None:
-        open_tags.append((tag, node))
+    def opens(tag: str, node: int, unshown: bool = False) -> None:
+        open_tags.append((tag, node, open_tags[-1][2] or (len(open_tags) if unshown else 0)))
         still_open[tag] += 1
+        shown_open[tag] += not open_tags[-1][2]
 
     def closes(place: int) -> None:
-        for tag, _ in open_tags[place:]:
+        for tag, _, unshown in open_tags[place:]:
             still_open[tag] -= 1
+            shown_open[tag] -= not unshown
         del open_tags[place:]
 
     def close_run() -> None:
         if parts:
             text = " ".join(html_library.unescape("".join(parts)).split())
             if text:
-                tree.runs.append((open_tags[-1][1], text))
+                tree.runs.append((owner, text))
             parts.clear()
 
     def add(text: str) -> None:
+        nonlocal owner
+        _, node, unshown = open_tags[-1]
+        if unshown:
+            return
+        if node != owner and not text.isspace():
+            close_run()
+            owner = node
         parts.append(text)
         if still_open["a"]:
-            tree.links[open_tags[-1][1]] += len(text.strip())
+            tree.links[node] += len(text.strip())
 
     while at < size:
         token = TOKEN.search(html, at)
@@ -126,42 +149,64 @@ def parse(html: str) -> Tree:
             continue
         tag = token["tag"].lower()
         if not token["end"]:
-            if tag in RAW or (token["attributes"] and HIDDEN_ATTRIBUTE.search(token["attributes"]) and tag not in VOID and tag in INLINE):
+            if tag in RAW:
                 if not token["attributes"].endswith("/"):
                     last = re.compile(rf"</{re.escape(tag)}\s*>|</{re.escape(tag)}(?=[\s/])[^>]*>", re.I).search(html, at)
                     at = last.end() if last else size
                 parts.append(" ")
+            elif tag in UNSHOWN or (token["attributes"] and HIDDEN_ATTRIBUTE.search(token["attributes"]) and tag in INLINE):
+                if not token["attributes"].endswith("/"):
+                    opens(tag, open_tags[-1][1], True)
+                parts.append(" ")
             elif tag in VOID:
-                if tag == "hr":
+                if tag == "hr" and not open_tags[-1][2]:
                     close_run()
                 else:
                     parts.append(" " if tag == "br" else "")
             elif tag in INLINE:
                 opens(tag, open_tags[-1][1])
+            elif tag in TRANSPARENT:
+                if not token["attributes"].endswith("/"):
+                    opens(tag, open_tags[-1][1] if open_tags[-1][2] else _node(tree, open_tags[-1][1], tag, token["attributes"]))
+                parts.append(" ")
             elif tag in ("html", "body"):
                 if tag == "body" and not still_open["body"]:
                     close_run()
-                    opens(tag, _node(tree, open_tags[-1][1], tag, token["attributes"]))
+                    closes(1)
+                    opens(tag, _node(tree, 0, tag, token["attributes"]))
             else:
-                close_run()
+                place = open_tags[-1][2]
+                if place and tag in ARTICLE and (open_tags[place][0] in INLINE or open_tags[place][0] in ("button", "select", "datalist")):
+                    closes(place)
                 ended = CLOSES.get(tag, ("p",))
-                if any(still_open[t] for t in ended):
-                    place = _implied_end(open_tags, ended)
+                if any(shown_open[t] for t in ended):
+                    place = _implied_end(open_tags, ended, tag)
                     if place:
+                        close_run()
                         closes(place)
-                opens(tag, _node(tree, open_tags[-1][1], tag, token["attributes"]))
+                if not open_tags[-1][2]:
+                    close_run()
+                    opens(tag, _node(tree, open_tags[-1][1], tag, token["attributes"]))
+                elif not token["attributes"].endswith("/"):
+                    opens(tag, open_tags[-1][1])
         elif tag in INLINE:
             for k in range(len(open_tags) - 1, 0, -1):
                 if open_tags[k][0] == tag:
-                    still_open[tag] -= 1
-                    del open_tags[k]
+                    if open_tags[-1][2]:  # what is left out ends with the element around it
+                        closes(k)
+                    else:
+                        still_open[tag] -= 1
+                        shown_open[tag] -= 1
+                        del open_tags[k]
                     break
                 if open_tags[k][0] not in INLINE:
                     break
         elif tag not in RAW and tag not in VOID and tag not in ("html", "body"):
             if still_open[tag]:
-                close_run()
-                closes(next(k for k in range(len(open_tags) - 1, 0, -1) if open_tags[k][0] == tag))
+                place = next(k for k in range(len(open_tags) - 1, 0, -1) if open_tags[k][0] == tag)
+                if tag not in TRANSPARENT and not open_tags[place][2]:
+                    close_run()
+                closes(place)
     close_run()
     return tree
 
@@ -174,13 +219,16 @@ def _node(tree: Tree, parent: int, tag: str, attributes: str) -> int:
     return len(tree.tag) - 1
 
 
-def _implied_end(open_tags: list, ended: tuple[str, ...]) -> int:
-    """Place of the innermost open element of these tags, not reaching over a list, a table or a furniture element; else 0."""
-    for k in range(len(open_tags) - 1, 0, -1):
+def _implied_end(open_tags: list, ended: tuple[str, ...], by: str) -> int:
+    """Place of the innermost open element of these tags that is not left out, not reaching over a list, a table or a furniture element; else 0.
+
+    A block in a button, a picture or a template does not end the paragraph around it, but the next paragraph does.
+    """
+    for k in range(open_tags[-1][2] or len(open_tags) - 1, 0, -1):
         tag = open_tags[k][0]
-        if tag in ended:
+        if tag in ended and not open_tags[k][2]:
             return k
-        if tag in LIMITS or tag in FURNITURE or tag in ARTICLE:
+        if tag in LIMITS or tag in FURNITURE or tag in ARTICLE or (tag in UNSHOWN and ended == ("p",) and by != "p"):
             break
     return 0
 

@@ -253,6 +253,28 @@ def test_main_text_of_pages(spark):
     assert dom_content.main_texts([PAGE % ("<article>", 3)], untrained) == [TEXT % 3]
 
 
+def test_elements_without_an_end_tag_cut_only_themselves():
+    model = dom_content.fit([(PAGE % ("<article>", i), TEXT % i) for i in range(60)])
+    clean = dom_content.main_texts([PAGE % ("<article>", 3)], model)[0]
+    broken = ["<button>Menu", "<span aria-hidden=true>Menu", "<i hidden>Menu", "<select><option>Menu", "<svg><path d='x'>", "<video>Menu", "<template><p>Menu", "<canvas>Menu", "<datalist><option>Menu"]
+    for extra in broken:
+        for old in ('<a href="/a">', "</ul></nav>"):
+            assert dom_content.main_texts([PAGE.replace(old, extra + old) % ("<article>", 3)], model) == [clean], extra
+    for extra in broken[:4]:
+        assert dom_content.main_texts([PAGE.replace("<nav>", extra + "<nav>") % ("<article>", 3)], model) == [clean], extra
+
+
+def test_texts_of_unshown_and_of_other_elements():
+    def text(html):
+        return [t for _, t in dom_content.parse(html).runs]
+
+    assert text("<p>Let <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> be.</p>") == ["Let x=1 be."]
+    assert text("<p>One <button><div>no</div></button>two <svg><title>no</title><g><path/></g></svg>three.<p>Four") == ["One two three.", "Four"]
+    assert text("<p>One <span hidden><span>no</span>no</span>two<object><p>inner</p></object>") == ["One two", "inner"]
+    assert text("<p>One <noscript><img src=x></noscript> two</p><noscript>No script.</noscript><p>Three") == ["One two", "No script.", "Three"]
+    assert text("<ul><li><button>no<li>Two</ul><template><p>no</p></template>Three<script>if (a<b) '</p>'") == ["Two", "Three"]
+
+
 def test_vector_links_of_the_queries_and_pipeline(spark, tmp_path):
     import __spark_entry__ as entry
     import corpus_pipeline
