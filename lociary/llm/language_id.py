@@ -7,10 +7,11 @@ total and D its number of different bytes; a context in which it was not seen co
 Statistics are frozen after training and there are no exclusions, so the code length of a text is an exact sum
 of table entries. The language with the shortest code wins; of equal ones the first by name.
 
-Training reads a bounded sample: per language ``ROWS`` whole texts of ``BYTES`` bytes in all, chosen by a hash of the
-text, for the ``LANGUAGES`` most frequent languages outside the held-out documents. The trees of all languages are laid
-out as hash tables over the last bytes whose entries hold the resolved cost under every language; they are bounded
-by the sample and broadcast. Scoring is numpy over Arrow batches and reads every byte of every text.
+Every language with a text outside the held-out documents is learned, from a bounded sample: per language ``ROWS`` whole
+texts of ``BYTES`` bytes in all, chosen by a hash of the text; where there are more than ``LANGUAGES`` languages, all get a
+smaller share of what so many would take, at least one text. The trees of ``GROUP`` languages at a time are laid out as
+hash tables over the last bytes whose entries hold the resolved cost under each of them; they are bounded by the sample
+and broadcast. Scoring is numpy over Arrow batches and reads every byte of every text.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from lociary.llm.common import column_of, held_out, ship, slices, text_bytes
 ORDER = 3
 ROWS = 600
 BYTES = 1_000_000
-LANGUAGES = 50
+LANGUAGES = 50  # with full shares
+GROUP = 8
 UNDETERMINED = "und"
 EVIDENCE_BYTES = 32
 MAX_BITS = 8.0  # what a byte costs without any model
@@ -84,7 +86,9 @@ class Table:
 
 
 @dataclass
-class Model:
+class Trees:
+    """Of one group of languages."""
+
     languages: list[str]
     order_0: np.ndarray  # 256 x languages
     tables: list[Table]  # per order from 1: of the context and the byte
@@ -93,6 +97,12 @@ class Model:
     escapes: list[np.ndarray]
 
 
+@dataclass
+class Model:
+    languages: list[str]
+    groups: list[Trees]
+
+
 def byte_keys(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Each byte with the three before it in its text, as one number."""
     starts = offsets[:-1][np.diff(offsets) > 0]
@@ -109,15 +119,17 @@ def byte_keys(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def fit(samples: dict[str, list[bytes]]) -> Model:
     """Context trees of all languages from whole texts."""
     languages = sorted(samples)
+    return Model(languages, [_trees(languages[at : at + GROUP], samples) for at in range(0, len(languages), GROUP)])
+
+
+def _trees(languages: list[str], samples: dict[str, list[bytes]]) -> Trees:
     counted = []
     for language in languages:
         texts = [t for t in samples[language] if t]
         buf = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]) if texts else np.zeros(1, np.int64)
         counted.append(np.unique(byte_keys(buf, offsets), return_counts=True))
-    model = Model(languages, np.zeros((256, len(languages))), [], [], [], [])
-    if not languages:
-        return model
+    model = Trees(languages, np.zeros((256, len(languages))), [], [], [], [])
     lower_keys, lower_costs = None, None
     for order in range(ORDER + 1):
         mask = np.uint32((1 << (8 * (order + 1))) - 1 if order < 3 else 0xFFFFFFFF)
@@ -150,8 +162,8 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
     return model
 
 
-def byte_costs(model: Model, keys: np.ndarray) -> np.ndarray:
-    """Bits of every byte under every language."""
+def byte_costs(model: Trees, keys: np.ndarray) -> np.ndarray:
+    """Bits of every byte under every language of a group."""
     out = np.zeros((len(keys), len(model.languages)))
     left = np.arange(len(keys))
     for order in range(ORDER, 0, -1):
@@ -185,7 +197,9 @@ def code_lengths(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarr
         texts = np.arange(first, last)
         texts = texts[offsets[texts + 1] > offsets[texts]]
         begins = np.maximum(offsets[texts], at) - at
-        lengths[texts] += np.add.reduceat(byte_costs(model, keys[at:to]), begins, axis=0)
+        for g, trees in enumerate(model.groups):
+            own = slice(g * GROUP, g * GROUP + len(trees.languages))
+            lengths[texts, own] += np.add.reduceat(byte_costs(trees, keys[at:to]), begins, axis=0)
     return lengths
 
 
@@ -194,16 +208,18 @@ def has_letter(text: str | None) -> bool:
 
 
 def training_sample(docs: DataFrame, rows: int = ROWS, size: int = BYTES, languages: int = LANGUAGES) -> dict[str, list[bytes]]:
-    """Whole texts per language, chosen by a hash of the text; bounded by rows and bytes."""
+    """Whole texts of every language, chosen by a hash of the text; bounded by rows and bytes, which more than ``languages`` languages share."""
     open_rows = docs.select("doc_id", "text", "lang").filter(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED) & (F.length("text") > 0)
     )
-    counts = open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = open_rows.groupBy("lang").count().collect()
+    if not counts:
+        return {}
+    rows, size = (max(1, whole * languages // max(languages, len(counts))) for whole in (rows, size))
     place = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 40))
-    chosen = F.lit(False)
-    for row in counts:  # about eight times the wanted rows pass; the rest never moves
-        share = min(1.0, 8 * rows / row["count"])
-        chosen = chosen | ((F.col("lang") == row["lang"]) & (place < int(share * (1 << 40))))
+    # about eight times the wanted rows pass, and never none; the rest never moves
+    shares = F.create_map(*[F.lit(v) for row in counts for v in (row["lang"], int(min(1.0, (8 * rows + 100) / row["count"]) * (1 << 40)))])
+    chosen = place < F.try_element_at(shares, F.col("lang"))
     numbered = open_rows.filter(chosen).withColumn("place", place).select(
         "lang", "place", F.expr("row_number() over (partition by lang order by place, text)").alias("number"), F.col("text").cast("binary").alias("data")
     ).filter(F.col("number") <= rows)

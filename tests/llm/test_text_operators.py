@@ -74,6 +74,19 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_more_languages_than_full_shares(spark):
+    names = [f"l{k:02d}" for k in range(60)]
+    words = {n: [chr(0x4E00 + 40 * k + j) * 2 for j in range(12)] for k, n in enumerate(names)}
+    rng = random.Random(6)
+    rows = [(60 * i + k, " ".join(rng.choice(words[n]) for _ in range(12)), n) for k, n in enumerate(names) for i in range(20 if k < 50 else 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    assert language_id.keep_languages(docs).count() == len(rows)
+    small = language_id.training_sample(docs, rows=4, size=100, languages=30)
+    assert sorted(small) == names and all(1 <= len(texts) <= 2 for texts in small.values())
+
+
 def test_language_of_odd_texts(spark):
     docs = odd_docs(spark, "score string")
     got = language_id.identify(docs).collect()
