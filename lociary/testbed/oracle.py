@@ -404,6 +404,13 @@ LEFT JOIN (
     (cases + controls) * (cases::DOUBLE / nullif(cases + controls, 0)) * (1 - cases::DOUBLE / nullif(cases + controls, 0)) AS neff
   FROM sample_sizes WHERE trait = 'BUILDING') s USING (cohort, ancestry)""",
 )
+#: The same text for every trait: sizes meet the pairs of their own trait.
+CTES["trait_z_pairs"] = (
+    CTES["z_pairs"][0],
+    "SELECT t.trait AS trait, z.* FROM (SELECT DISTINCT trait FROM sample_sizes) t, LATERAL ("
+    + CTES["z_pairs"][1].replace("trait = 'BUILDING'", "sample_sizes.trait = t.trait")
+    + ") z",
+)
 
 
 def compose(final: str, *needs: str) -> str:

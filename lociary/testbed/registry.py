@@ -1050,6 +1050,38 @@ def _(spark, d):
     return r6(cohorts.pooled_neff(_pairs(spark, d)), "phi", "neff")
 
 
+def _trait_pairs(spark, d):
+    """The given effects carry no trait, so every trait has all of them."""
+    sizes = cohorts.cohort_sizes(domain(spark, d, "sample_sizes"))
+    effects = domain(spark, d, "cohort_effects").drop("key").crossJoin(F.broadcast(sizes.select("trait").distinct()))
+    return cohorts.cohort_z_pairs(effects, domain(spark, d, "variant_pairs"), sizes)
+
+
+@query(
+    "trait_z_pairs",
+    """SELECT trait, pair_id, cohort, ancestry, round(coalesce(b1, 8), 6) AS variant1_beta, round(se1, 6) AS variant1_sebeta,
+         round(coalesce(b2, 8), 6) AS variant2_beta, round(se2, 6) AS variant2_sebeta, n, n_case, n_control, round(neff, 6) AS neff, missingness,
+         round(CASE WHEN b1 IS NULL THEN 0 ELSE b1 / se1 END, 8) AS variant1_z, round(CASE WHEN b2 IS NULL THEN 0 ELSE b2 / se2 END, 8) AS variant2_z,
+         CASE WHEN missingness <> 'Both exist' OR cohort = 'Meta' THEN cohort ELSE '' END AS label FROM trait_z_pairs""",
+    "trait_z_pairs",
+)
+def _(spark, d):
+    rows = _trait_pairs(spark, d).withColumns({c: F.round(c, 8) for c in ("variant1_z", "variant2_z")})
+    return r6(rows, *[f"variant{s}_{c}" for s in (1, 2) for c in ("beta", "sebeta")], "neff")
+
+
+@query(
+    "trait_pooled_neff",
+    """SELECT *, n_case + n_control AS n, round(n_case::DOUBLE / nullif(n_case + n_control, 0), 6) AS phi,
+         round((n_case + n_control) * (n_case::DOUBLE / nullif(n_case + n_control, 0)) * (1 - n_case::DOUBLE / nullif(n_case + n_control, 0)), 6) AS neff
+       FROM (SELECT trait, pair_id, CAST(sum(n_case) AS BIGINT) AS n_case, CAST(sum(n_control) AS BIGINT) AS n_control
+             FROM trait_z_pairs WHERE se2 IS NOT NULL AND cohort <> 'Meta' GROUP BY trait, pair_id)""",
+    "trait_z_pairs",
+)
+def _(spark, d):
+    return r6(cohorts.pooled_neff(_trait_pairs(spark, d)), "phi", "neff")
+
+
 # --- panels ------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lociary.plans import annotation, loci, panels, posteriors, reports, simulation
+from lociary.plans import annotation, cohorts, loci, panels, posteriors, reports, simulation
 from lociary.sources import readers, schemas, writers
 
 
@@ -191,3 +191,14 @@ def test_bed_ingest_and_region_read(spark, tmp_path):
     writers.write_json(variants, f"{tmp_path}/raw")
     stored = writers.ingest(spark, {"j": ("json", f"{tmp_path}/raw"), "p": ("parquet", path)}, f"{tmp_path}/tables", partitions=3)
     assert stored["j"].count() == stored["p"].count() == 30 and os.path.isdir(f"{tmp_path}/tables/j")
+
+
+def test_sizes_of_every_trait_meet_its_effects(spark):
+    effects = spark.createDataFrame(
+        [("t", "v1", 0.2, 0.1), ("t", "v2", 0.4, 0.1), ("u", "v1", 0.6, 0.2), ("u", "v2", 0.8, 0.2)], "trait string, variant string, bb_eas_beta double, bb_eas_sebeta double"
+    )
+    pairs = spark.createDataFrame([(1, "v1", "v2")], "pair_id long, variant1 string, variant2 string")
+    sizes = spark.createDataFrame([("t", "-", "eas", "bb", 10, 30), ("u", "-", "eas", "bb", 5, 5)], "trait string, kind string, ancestry string, biobank string, cases long, controls long")
+    got = cohorts.cohort_z_pairs(effects, pairs, cohorts.cohort_sizes(sizes))
+    assert rows(got, "trait", "pair_id", "variant1_beta", "variant2_beta", "n_case", "n") == [("t", 1, 0.2, 0.4, 10, 40), ("u", 1, 0.6, 0.8, 5, 10)]
+    assert rows(cohorts.pooled_neff(got), "trait", "pair_id", "n", "neff") == [("t", 1, 40, 7.5), ("u", 1, 10, 2.5)]
