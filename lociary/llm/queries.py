@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lociary.llm import (
-    byte_bpe, dom_content, edit_match, host_reputation, jaccard_join, language_id, quote_links, token_counts, toxicity, vector_dedup,
+    byte_bpe, dom_content, edit_match, host_reputation, jaccard_join, language_id, quote_links, repeated_runs, token_counts, toxicity, vector_dedup,
 )
 from lociary.llm.host_reputation import Rule
 
@@ -78,6 +78,43 @@ def op10_sign_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _crc(number: Column) -> Column:
+    """Unsigned crc32 of a number's decimal text."""
+    return F.crc32(number.cast("string").cast("binary"))
+
+
+def _looped(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in every document whose crc32 ends in 0 the words from ``a`` on repeat the first ``p`` of them."""
+    crc = _crc(F.col("doc_id"))
+    mixed = F.floor(crc / 10)
+
+    def rebuilt(words: Column) -> Column:
+        n = F.size(words)
+        a = (mixed % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + mixed % 8))).cast("int")
+        tail = F.transform(F.sequence(F.lit(0), n - a - 1), lambda k: F.get(words, a + k % p))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), tail), " ")).otherwise(F.lit(""))
+
+    # one element holds all words, so that they are split once and not for every place
+    looped = F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), rebuilt)[0]
+    return docs.select("doc_id", F.when(crc % 10 == 0, looped).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = repeated_runs.periodic_runs(_looped(_table(spark, sf_dir, "documents")))
+    greatest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    top = runs.withColumn("top", greatest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.col2")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.col3")).alias("period"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    exponent = F.floor(1000 * F.col("length") / F.col("period")).cast("long")
+    return top.select("doc_id", "n_runs", "start", "length", "period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_edit_decontamination": op1_edit_decontamination,
     "op2_url_host_reputation": op2_url_host_reputation,
@@ -89,6 +126,7 @@ QUERIES = {
     "op8_unigram_token_counts": op8_unigram_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_sign_hash_dedup": op10_sign_hash_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 def _posterior_sql(name: str, groups: str, key: str) -> str:
@@ -132,7 +170,46 @@ _OP2_SQL = f"""
             WHEN bound < 0.6 THEN 'block' ELSE 'allow' END AS verdict, bound FROM judged
     """
 
+#: A table with the crc32 of every distinct number of a query, from its hexadecimal digits and a table of 16 entries.
+_CRC_SQL = """
+        nibbles AS MATERIALIZED (SELECT list(list_reduce([x, 1, 2, 3, 4], lambda c, k: xor(c >> 1, (c & 1) * 3988292384::BIGINT)) ORDER BY x) AS t
+            FROM (SELECT unnest(range(16))::BIGINT AS x)),
+        crcs AS MATERIALIZED (SELECT id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, digits),
+                lambda c, d: xor(c >> 4, t[(xor(c, d) & 15) + 1]))) AS crc
+            FROM (SELECT id, flatten(list_transform(range(length(id::VARCHAR)),
+                lambda i: [(ascii(substr(id::VARCHAR, i + 1, 1)) & 15)::BIGINT, (ascii(substr(id::VARCHAR, i + 1, 1)) >> 4)::BIGINT])) AS digits FROM ids), nibbles)"""
+
+
+#: Equal words q apart, as islands of equal 5-word windows q apart, are the runs of period q and of its multiples.
+_OP11_SQL = rf"""
+        WITH rows_ AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents),
+        ids AS (SELECT DISTINCT doc_id AS id FROM rows_ WHERE doc_id IS NOT NULL), {_CRC_SQL},
+        shape AS (SELECT r, doc_id, w, len(w) AS n, coalesce(crc, 1) AS crc, coalesce(crc, 1) // 10 AS g FROM rows_ LEFT JOIN crcs ON doc_id = id),
+        looped AS (SELECT *, CASE WHEN crc % 10 = 0 AND n > 0 THEN g % n END AS a FROM shape),
+        texts AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+                list_concat(w[1:a], list_transform(range(n - a), lambda k: w[a + 1 + k % (1 + (n - a) // (3 + g % 8))])) END AS w FROM looped),
+        words AS MATERIALIZED (SELECT r, i, w[i + 1] AS word FROM texts, unnest(range(n)) AS t(i)),
+        windows AS MATERIALIZED (SELECT r, i, hash(word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS h,
+                lead(i, 4) OVER o AS full_ FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+        same AS (SELECT x.r, x.i, y.i - x.i AS q FROM windows x JOIN windows y ON x.r = y.r AND x.h = y.h AND x.i < y.i
+            WHERE x.full_ IS NOT NULL AND y.full_ IS NOT NULL),
+        islands AS (SELECT r, q, min(i) AS s, count(*) + 4 + q AS n FROM
+            (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same) GROUP BY r, q, island),
+        long_ AS MATERIALIZED (SELECT * FROM islands WHERE n >= greatest(6, 4 * q)),
+        runs AS MATERIALIZED (SELECT * FROM long_ x WHERE NOT EXISTS (SELECT 1 FROM long_ y
+            WHERE y.r = x.r AND y.q < x.q AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.n >= x.s + x.n)),
+        top AS (SELECT r, count(*) AS n_runs, max(row(n, -s, -q)) AS m, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+        dropped AS (SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM runs),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -m[2] AS start, m[1] AS length, -m[3] AS period, 1000 * m[1] // -m[3] AS exponent_milli,
+            sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+        FROM texts LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
+    """
+
 ORACLES = {
+    "op11_periodic_runs": _OP11_SQL,
     "op2_url_host_reputation": _OP2_SQL,
     "op10_sign_hash_dedup": """
         WITH RECURSIVE v AS MATERIALIZED (
