@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lociary.llm import (
-    byte_bpe, dom_content, edit_match, host_reputation, jaccard_join, language_id, quote_links, repeated_runs, token_counts, toxicity, vector_dedup,
+    byte_bpe, dom_content, edit_match, host_reputation, jaccard_join, language_id, prefix_trie, quote_links, repeated_runs, token_counts,
+    toxicity, vector_dedup,
 )
+from lociary.llm.common import store
 from lociary.llm.host_reputation import Rule
+from lociary.operators.keyed import attach
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +118,24 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("doc_id", "n_runs", "start", "length", "period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def _grafted(turns: DataFrame, ids: DataFrame) -> DataFrame:
+    """The conversations rebuilt: the first crc32 % 4 turns of conversation c - c % 20, then the own turns after as many; depths from 1."""
+    cut = _crc(F.col("conv_id")) % 4
+    heads = turns.filter("at < 3 AND conv_id % 20 = 0").withColumnRenamed("conv_id", "base")
+    taken = ids.withColumn("base", F.col("conv_id") - F.col("conv_id") % 20).join(heads, "base").filter(F.col("at") < cut)
+    counts = taken.groupBy("conv_id").agg(F.count(F.lit(1)).alias("taken"))
+    own = attach(turns.filter(F.col("at") >= cut), counts, ["conv_id"], "left")
+    own = own.withColumn("depth", F.col("at") - cut + F.coalesce("taken", F.lit(0)) + 1)
+    columns = ["conv_id", "depth", "t1", "t2", "words"]
+    return taken.withColumn("depth", F.col("at") + 1).select(*columns).unionByName(own.select(*columns))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = store(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")), "turns")
+    ids = store(turns.select("conv_id").distinct(), "conversations")
+    return prefix_trie.prefix_trie(_grafted(turns, ids), ids)
+
+
 QUERIES = {
     "op1_edit_decontamination": op1_edit_decontamination,
     "op2_url_host_reputation": op2_url_host_reputation,
@@ -127,6 +148,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_sign_hash_dedup": op10_sign_hash_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 def _posterior_sql(name: str, groups: str, key: str) -> str:
@@ -208,7 +230,32 @@ _OP11_SQL = rf"""
         FROM texts LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
     """
 
+_OP12_SQL = rf"""
+        WITH turns AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
+            FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT DISTINCT conv_id AS id FROM turns), {_CRC_SQL},
+        grafted AS (SELECT id AS conv_id, 0 AS own, place, role, text FROM crcs JOIN turns ON conv_id = id - id % 20 AND place < crc % 4
+            UNION ALL SELECT conv_id, 1, place, role, text FROM turns JOIN crcs ON id = conv_id WHERE place >= crc % 4),
+        rebuilt AS (SELECT conv_id, row_number() OVER w AS depth, list(struct_pack(role := role, text := text)) OVER w AS key,
+                len(list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda w: w <> '')) AS words
+            FROM grafted WINDOW w AS (PARTITION BY conv_id ORDER BY own, place ROWS UNBOUNDED PRECEDING)),
+        prefixes AS MATERIALIZED (SELECT * FROM rebuilt UNION ALL SELECT id, 0, [], 0 FROM ids),
+        nodes AS MATERIALIZED (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words FROM prefixes GROUP BY depth, key),
+        children AS (SELECT key[1:depth - 1] AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+        subtrees AS (SELECT key[1:k] AS key, sum((n_convs - 1) * words) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+            FROM nodes x LEFT JOIN children c USING (key), unnest(range(depth + 1)) AS t(k) GROUP BY 1),
+        ends AS (SELECT key, string_agg(conv_id, ',' ORDER BY conv_id) AS convs FROM
+            (SELECT * FROM prefixes QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY key)
+        SELECT x.conv_id, x.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(c.n, 0) AS n_children, s.leaves AS n_leaves,
+            s.saved::BIGINT AS saved_tokens, sha256(coalesce(convs, '')) AS ends_sha256
+        FROM nodes x LEFT JOIN nodes p ON x.depth > 0 AND p.key = x.key[1:x.depth - 1] LEFT JOIN children c ON c.key = x.key
+        JOIN subtrees s ON s.key = x.key LEFT JOIN ends e ON e.key = x.key
+    """
+
 ORACLES = {
+    "op12_prefix_trie": _OP12_SQL,
     "op11_periodic_runs": _OP11_SQL,
     "op2_url_host_reputation": _OP2_SQL,
     "op10_sign_hash_dedup": """
