@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lociary.llm import (
-    byte_bpe, dom_content, edit_match, host_reputation, jaccard_join, language_id, prefix_trie, quote_links, repeated_runs, token_counts,
-    toxicity, vector_dedup,
+    byte_bpe, dom_content, edit_match, host_reputation, jaccard_join, language_id, prefix_trie, quality_ratio, quote_links, repeated_runs,
+    token_counts, toxicity, vector_dedup,
 )
 from lociary.llm.common import store
 from lociary.llm.host_reputation import Rule
@@ -136,6 +136,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_grafted(turns, ids), ids)
 
 
+def op13_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ratio.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_edit_decontamination": op1_edit_decontamination,
     "op2_url_host_reputation": op2_url_host_reputation,
@@ -149,6 +153,7 @@ QUERIES = {
     "op10_sign_hash_dedup": op10_sign_hash_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_quality_ratio": op13_quality_ratio,
 }
 
 def _posterior_sql(name: str, groups: str, key: str) -> str:
@@ -192,14 +197,15 @@ _OP2_SQL = f"""
             WHEN bound < 0.6 THEN 'block' ELSE 'allow' END AS verdict, bound FROM judged
     """
 
-#: A table with the crc32 of every distinct number of a query, from its hexadecimal digits and a table of 16 entries.
+#: A table with the crc32 of the text of every distinct ``id`` of a query, from its hexadecimal digits and a table of 16 entries.
 _CRC_SQL = """
         nibbles AS MATERIALIZED (SELECT list(list_reduce([x, 1, 2, 3, 4], lambda c, k: xor(c >> 1, (c & 1) * 3988292384::BIGINT)) ORDER BY x) AS t
             FROM (SELECT unnest(range(16))::BIGINT AS x)),
         crcs AS MATERIALIZED (SELECT id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, digits),
                 lambda c, d: xor(c >> 4, t[(xor(c, d) & 15) + 1]))) AS crc
-            FROM (SELECT id, flatten(list_transform(range(length(id::VARCHAR)),
-                lambda i: [(ascii(substr(id::VARCHAR, i + 1, 1)) & 15)::BIGINT, (ascii(substr(id::VARCHAR, i + 1, 1)) >> 4)::BIGINT])) AS digits FROM ids), nibbles)"""
+            FROM (SELECT id, flatten(list_transform(range(1, length(digits), 2), lambda i: [
+                (strpos('0123456789ABCDEF', digits[i + 1]) - 1)::BIGINT, (strpos('0123456789ABCDEF', digits[i]) - 1)::BIGINT])) AS digits
+                FROM (SELECT id, hex(encode(id::VARCHAR)) AS digits FROM ids)), nibbles)"""
 
 
 #: Equal words q apart, as islands of equal 5-word windows q apart, are the runs of period q and of its multiples.
@@ -254,7 +260,33 @@ _OP12_SQL = rf"""
         JOIN subtrees s ON s.key = x.key LEFT JOIN ends e ON e.key = x.key
     """
 
+_OP13_SQL = rf"""
+        WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        words AS MATERIALIZED (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM texts, unnest(range(1, len(w) + 1)) AS t(i)),
+        repeated AS (SELECT r, unnest([i, i + 1, i + 2]) AS i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS times FROM words WHERE c IS NOT NULL)
+            WHERE times > 1),
+        repeats AS (SELECT r, count(DISTINCT i) AS n FROM repeated GROUP BY r),
+        lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts),
+        dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+        ids AS (SELECT DISTINCT a AS id FROM words), {_CRC_SQL},
+        good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+        placed AS MATERIALIZED (SELECT r, x.crc % 65536 AS bucket FROM words JOIN crcs x ON a = x.id
+            UNION ALL SELECT r, (40503 * x.crc + y.crc) % 65536 FROM words JOIN crcs x ON a = x.id JOIN crcs y ON b = y.id),
+        counts AS (SELECT bucket, count(*) AS raw, count(g.doc_id) AS target FROM placed JOIN texts USING (r) LEFT JOIN good g USING (doc_id) GROUP BY bucket),
+        totals AS (SELECT sum(raw) AS raw, sum(target) AS target FROM counts),
+        weights AS (SELECT bucket, round(ln((c.target + 16) / (c.raw * t.target / t.raw::DOUBLE + 16)) * 1000000)::BIGINT AS weight FROM counts c, totals t),
+        scores AS (SELECT r, sum(weight)::BIGINT AS total FROM placed JOIN weights USING (bucket) GROUP BY r),
+        measured AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+                len(w) < 50 OR 100 * coalesce(p.n, 0) > 50 * len(w) AS base_failed, total
+            FROM texts LEFT JOIN dups d USING (r) LEFT JOIN repeats p USING (r) LEFT JOIN scores USING (r))
+        SELECT * EXCLUDE (total), NOT base_failed AND total >= -80000 * (2 * n_words - 1) AS kept,
+            CASE WHEN n_words > 0 THEN total / ((2 * n_words - 1) * 1000000)::DOUBLE END AS score FROM measured
+    """
+
 ORACLES = {
+    "op13_quality_ratio": _OP13_SQL,
     "op12_prefix_trie": _OP12_SQL,
     "op11_periodic_runs": _OP11_SQL,
     "op2_url_host_reputation": _OP2_SQL,
