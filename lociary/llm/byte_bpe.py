@@ -3,10 +3,12 @@
 The rank file (one ``base64 rank`` line per token) is read on the driver and broadcast: its size is checked
 against ``MAX_RANK_BYTES``. Executors build one encoder per Python worker from it, so no executor needs the file.
 
-Long texts are encoded in pieces. A place before white space that follows anything else than white space is a
-boundary of the split pattern whatever surrounds it: no alternative of the pattern reaches over it, and the
-look-ahead of ``\\s+(?!\\S)`` is only tried on white space. Encoding the pieces one by one therefore gives the ids
-of the whole text, with memory bounded by the longest run without such a place.
+Long texts are encoded in pieces. A place before white space (as the pattern's engine knows it) that follows anything
+else is a boundary of the split pattern whatever surrounds it: no alternative of the pattern reaches over it, and the
+look-ahead of ``\\s+(?!\\S)`` is only tried on white space. A long run of white space is one match, of all but its last
+character where anything follows it, as two white spaces in a row begin no other alternative; it is merged without the
+regular expression, whose engine gives up on a million characters of it. Encoding the pieces one by one therefore
+gives the ids of the whole text, with memory bounded by the longest run without such a place.
 """
 
 from __future__ import annotations
@@ -25,9 +27,12 @@ from lociary.llm.common import column_of, ship, slices
 
 MAX_RANK_BYTES = 64 << 20
 PIECE_CHARS = 1 << 16
-BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
+#: The characters of the property White_Space, which the pattern's engine takes for ``\\s``.
+WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BOUNDARY = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+LONG_WHITE = re.compile(f"[{WHITE}]{{4096,}}")
 
-_encoders: dict[tuple[int, str], object] = {}
+_encoders: dict[str, tuple] = {}
 
 
 def read_ranks(spark: SparkSession, path: str) -> Broadcast:
@@ -40,14 +45,19 @@ def read_ranks(spark: SparkSession, path: str) -> Broadcast:
 
 
 def encoder(ranks: bytes, pattern: str):
-    """The tiktoken encoder of a rank file; one per Python worker and rank file."""
+    """The tiktoken encoder of a rank file; one per Python worker, rank file and pattern."""
     import tiktoken
 
-    key = (hash(ranks), pattern)
-    if key not in _encoders:
+    name = f"{hash(ranks)} {pattern}"
+    if name not in _encoders:
         table = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line.strip())}
-        _encoders[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return _encoders[key]
+        _encoders[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=table, special_tokens={}), ranks
+    return _encoders[name][0]
+
+
+def unsplit(encoding):
+    """An encoder of the same ranks that takes what it is given as one piece."""
+    return encoder(_encoders[encoding.name][1], r"[\s\S]+")
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
@@ -62,11 +72,26 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def white_runs(text: str) -> Iterator[tuple[str, str]]:
+    """The text as pairs: a part to be split by the pattern, and the match of a long run of white space after it, or nothing."""
+    at = 0
+    for run in LONG_WHITE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[at : run.start()], text[run.start() : end]
+        at = end
+    yield text[at:] if at else text, ""
+
+
 def encode(encoding, text: str) -> np.ndarray:
     """Ids of a whole text as little-endian unsigned 32-bit integers."""
     if len(text) <= PIECE_CHARS:
         return np.array(encoding.encode_ordinary(text), "<u4")
-    return np.concatenate([np.array(encoding.encode_ordinary(p), "<u4") for p in pieces(text)])
+    ids = []
+    for part, white in white_runs(text):
+        ids += [np.array(encoding.encode_ordinary(p), "<u4") for p in pieces(part)]
+        if white:
+            ids.append(np.array(unsplit(encoding).encode_ordinary(white), "<u4"))
+    return np.concatenate(ids)
 
 
 def decode(encoding, ids: np.ndarray) -> bytes:

@@ -157,6 +157,21 @@ def test_pieces_give_the_ids_of_the_whole_text(ranks):
         assert [i for p in cut for i in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
 
 
+def test_long_runs_of_white_space(ranks):
+    encoding = byte_bpe.encoder(ranks.value, public_tokenizers.PATTERN)
+    rng = random.Random(11)
+    for white in (" ", "\n", "\x1c", "\x1f", "\u3000", " \n\x0b"):
+        for before, after in (("", ""), ("word", ""), ("", "word 12"), ("it's\x1d", "\x1e it"), ("a ", " b")):
+            text = before + white * 70_000 + after
+            assert byte_bpe.encode(encoding, text).tolist() == encoding.encode_ordinary(text)
+    for _ in range(20):
+        text = "".join(rng.choice(["x", "é", "1", ".", "漢"]) * rng.randrange(3) + rng.choice(" \n\t\x1c\xa0") * rng.choice([1, 2, 5000, 30_000]) for _ in range(9))
+        assert byte_bpe.encode(encoding, text).tolist() == encoding.encode_ordinary(text)
+    for white in (" ", "\n", "\x1c", " \x1f"):
+        text = "begin" + white * 3_000_000 + "end"
+        assert byte_bpe.decode(encoding, byte_bpe.encode(encoding, text)) == text.encode()
+
+
 def test_token_digests_round_trip(spark, ranks):
     import tiktoken
 
