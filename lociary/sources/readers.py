@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lociary.functions.text import file_name
+from lociary.sources.blockgzip import first_line, read_block_gzip
 
 
 def read_tsv(
@@ -15,14 +16,21 @@ def read_tsv(
     header: bool = True,
     source: str | None = None,
     null_value: str | None = "NA",
+    block_gzip: bool | None = None,
 ) -> DataFrame:
     """Tab-separated text by explicit schema; ``source`` keeps the file path as a column.
 
     In a file with a header the columns are found by name, in any order; a missing one is an error, and so is
     a further file whose header differs. Without a header they are matched by position. Pass ``null_value=None`` for files in which the text "NA" is a
-    value (locus classes). Spark picks the codec by extension: block-gzipped files must be named ``.gz``,
-    and as gzip cannot be split, stage large ones once with :func:`lociary.sources.writers.write_table`.
+    value (locus classes).
+
+    Block-gzipped files are read by ranges of blocks, so a large one by many tasks: those named ``.bgz``, and others with
+    ``block_gzip=True``. Spark unpacks the other kinds by extension; a plain ``.gz`` cannot be split.
     """
+    if block_gzip is None:
+        block_gzip = all(p.endswith(".bgz") for p in ([paths] if isinstance(paths, str) else paths))
+    if block_gzip:
+        return _block_gzip_tsv(spark, paths, schema, header, source, null_value)
     options = {"sep": "\t", "header": str(header).lower(), "enforceSchema": str(not header).lower()}
     if null_value is not None:
         options["nullValue"] = null_value
@@ -38,6 +46,25 @@ def read_tsv(
     return df.withColumn(source, F.col("_metadata.file_path")) if source else df
 
 
+def _block_gzip_tsv(spark: SparkSession, paths, schema: str, header: bool, source: str | None, null_value: str | None) -> DataFrame:
+    wanted, lines = T.StructType.fromDDL(schema), read_block_gzip(spark, paths)
+    names = [f.name for f in wanted]
+    if header:
+        head = first_line(spark, paths)
+        names = head.split("\t")
+        missing = [f.name for f in wanted if f.name not in names]
+        if missing:
+            raise ValueError(f"no column {', '.join(missing)} in {paths}")
+        other = F.raise_error(F.concat(F.lit("another header in "), F.col("file")))
+        lines = lines.filter(F.when(~F.col("first"), True).when(F.col("line") == head, False).otherwise(other))
+    options = {"sep": "\t"} | ({} if null_value is None else {"nullValue": null_value})
+    # text as it stands, then the same casts as for other files; lines of blanks are no rows there either
+    texts = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))]).toDDL()
+    rows = lines.filter(F.col("line").rlike(r"[^\x00-\x20]")).select("file", F.from_csv("line", texts, options).alias("r"))
+    columns = [F.col(f"r.c{names.index(f.name)}").try_cast(f.dataType).alias(f.name) for f in wanted]
+    return rows.select(*columns, *([F.col("file").alias(source)] if source else []))
+
+
 def read_tsv_columns(spark: SparkSession, paths: str | list[str], columns: dict[str, str], sep: str = "\t") -> DataFrame:
     """Some columns of a headed file, renamed and typed: ``{name in file: "new_name type"}``."""
     raw = spark.read.options(sep=sep, header="true", nullValue="NA").csv(paths)

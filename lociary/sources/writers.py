@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lociary.sources.blockgzip import write_block_gzip
 from lociary.sources.readers import read_json, read_table
 
 
-def write_tsv(df: DataFrame, path: str, *, compress: bool = True, null_value: str = "NA", overwrite: bool = False) -> None:
-    """Tab-separated export, unquoted, with a literal for missing values. Columns must be atomic."""
+def write_tsv(
+    df: DataFrame, path: str, *, compress: bool = True, block_gzip: bool = False, null_value: str = "NA", overwrite: bool = False
+) -> None:
+    """Tab-separated export, unquoted, with a literal for missing values. Columns must be atomic.
+
+    With ``block_gzip`` the files are made of blocks, so that each can be read by many tasks.
+    """
+    if block_gzip:
+        cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(null_value)) for c in df.columns]
+        write_block_gzip(df.select(F.concat_ws("\t", *cells)), path, header="\t".join(df.columns), overwrite=overwrite)
+        return
     (
         df.write.mode("overwrite" if overwrite else "error")
         .options(sep="\t", header="true", nullValue=null_value, emptyValue="", quote="\u0000")

@@ -1322,6 +1322,18 @@ def _(spark, d):
     return rows.withColumn("has_path", F.col("path").contains("/tsv-")).drop("path")
 
 
+@query("source_block_gzip", "SELECT l_orderkey, l_linenumber, l_comment_length, round(l_extendedprice, 6) AS l_extendedprice, l_returnflag FROM ("
+       "SELECT *, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber END AS l_comment_length FROM lineitem)")
+def _(spark, d):
+    """Written as block gzip, one file a task, and read back by ranges of blocks."""
+    rows = bridge.tables(spark, d, ("lineitem",))["lineitem"]
+    rows = rows.withColumn("l_comment_length", F.when(F.col("l_linenumber") % 3 > 0, F.col("l_linenumber")))
+    target = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    writers.write_tsv(rows.select("l_returnflag", "l_orderkey", "l_extendedprice", "l_comment_length", "l_linenumber"), target, block_gzip=True)
+    schema = "l_orderkey bigint, l_linenumber bigint, l_comment_length bigint, l_extendedprice double, l_returnflag string"
+    return r6(readers.read_tsv(spark, target, schema, block_gzip=True), "l_extendedprice")
+
+
 @query(
     "source_region",
     """SELECT trait, region, variant, position, round(beta, 9) AS beta FROM sumstats
