@@ -6,10 +6,11 @@ row) and ``hits2, total2``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lociary.functions.stats import Z_975, log_factorial
-from lociary.operators.keyed import settle
+from lociary.operators.keyed import attach, settle
+from lociary.operators.ordered import asof_join, running_totals
 
 FISHER_BLOCK = 4096
 DRAW_BLOCK = 256
@@ -35,8 +36,8 @@ def _binomial_draws(sides: DataFrame, keys: list[str], uniforms: DataFrame) -> D
     """The smallest k whose cumulative probability reaches each draw's ``u``, for any ``n`` and ``p``.
 
     ``sides (keys, side, n, p)``, ``uniforms (keys, side, b, u)``. The whole support 0 .. n is laid out in blocks of
-    ``DRAW_BLOCK`` probabilities, so no array grows with n; a draw finds its block by the cumulative sums of the
-    blocks and its place by those inside.
+    ``DRAW_BLOCK`` probabilities, so no array grows with n; a draw reads its block off the sorted sums of the blocks, as
+    the last that begins below it, and its place off those inside.
     """
     n, p = F.col("n"), F.col("p")
     last = F.floor(n / DRAW_BLOCK)
@@ -45,18 +46,14 @@ def _binomial_draws(sides: DataFrame, keys: list[str], uniforms: DataFrame) -> D
     log_pmf = lambda i: log_factorial(n) - log_factorial(i) - log_factorial(n - i) + i * F.ln(p) + (n - i) * F.ln(1 - p)
     blocks = blocks.withColumn("pmf", F.transform(k, lambda i: F.exp(log_pmf(i))))
     adds = lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + x))
-    blocks = settle(
-        blocks.withColumn("cdf", F.aggregate("pmf", F.array().cast("array<double>"), adds)).withColumn("mass", F.element_at("cdf", -1)).drop("pmf")
-    )
-    same = Window.partitionBy(*keys, "side")
-    before = F.coalesce(F.sum("mass").over(same.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    bounds = blocks.select(*keys, "side", "block", "mass", before.alias("before")).withColumn("total", F.sum("mass").over(same))
-    ends = F.col("before") + F.col("mass")
-    bounds = bounds.withColumn("upto", F.when(F.col("before") + F.col("mass") >= F.max(ends).over(same), F.lit(2.0) * F.col("total")).otherwise(ends))
+    blocks = settle(blocks.withColumn("cdf", F.aggregate("pmf", F.array().cast("array<double>"), adds)).withColumn("mass", F.element_at("cdf", -1)).drop("pmf"))
     on = keys + ["side"]
-    placed = uniforms.join(bounds, on).filter((F.col("u") * F.col("total") > F.col("before")) & (F.col("u") * F.col("total") <= F.col("upto")))
-    placed = placed.groupBy(*on, "b").agg(F.min(F.struct("block", "before", "total", "u")).alias("at")).select(*on, "b", "at.*")
-    found = placed.join(blocks.select(*on, "block", "cdf"), on + ["block"])
+    sums = running_totals(blocks.select(*on, "block", "mass"), on, [F.col("block")], {"upto": "mass"})
+    totals = blocks.groupBy(*on).agg(F.sum("mass").alias("total"))
+    before = F.col("upto") - F.col("mass")
+    bounds = attach(sums, totals, on, "inner").select(*on, "block", before.alias("before"), "total", (before / F.col("total")).alias("u"))
+    placed = asof_join(uniforms, bounds, on, "u", ["block", "before", "total"], strict=True)
+    found = attach(placed, blocks.select(*on, "block", "cdf"), on + ["block"], "inner")
     inside = F.size(F.filter("cdf", lambda c: F.col("before") + c < F.col("u") * F.col("total")))
     x = F.col("block") * DRAW_BLOCK + F.least(inside, F.size("cdf") - 1)
     return found.select(*on, "b", x.cast("double").alias("x"))

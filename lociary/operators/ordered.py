@@ -50,6 +50,26 @@ def running_totals(df: DataFrame, group: list[str], order: list[Column], totals:
     return out.drop("__pos", "__block", *[f"__{k}_before" for k in totals])
 
 
+def asof_join(rows: DataFrame, table: DataFrame, keys: list[str], on: str, columns: list[str], *, strict: bool = False) -> DataFrame:
+    """``rows`` with ``columns`` of the last row of ``table`` that has the same keys and stands at or before them.
+
+    "Before" is by ``on``; with ``strict`` an equal place does not count. Of table rows at one place the one with the
+    greatest ``columns`` counts. A row without such a table row, or with a NULL place, gets NULLs; NULL keys are keys.
+
+    Both tables are laid out in one order and each row reads off the last table row before it, so no pair of a row and
+    a table row is formed, whatever the keys hold; what crosses sorted blocks is one table row per block and key.
+    """
+    marked = table.filter(F.col(on).isNotNull()).select(*keys, on, F.lit(2 if strict else 0).alias("__kind"), F.struct(*columns).alias("__last"))
+    placed = _sorted_blocks(rows.withColumn("__kind", F.lit(1)).unionByName(marked, allowMissingColumns=True), keys, [F.col(on), F.col("__kind"), F.col("__last")])
+    blocks = placed.groupBy(*keys, "__block").agg(F.max(F.when(F.col("__kind") != 1, F.struct("__pos", "__last"))).alias("__end"))
+    carried = blocks.select(*keys, "__block", F.last("__end", ignorenulls=True).over(_before(keys))["__last"].alias("__carried"))
+    out = attach(placed, carried.filter("__carried IS NOT NULL"), [*keys, "__block"], "left", nulls_match=True)
+    inside = Window.partitionBy(*keys, "__block").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.when(F.col(on).isNotNull(), F.coalesce(F.last("__last", ignorenulls=True).over(inside), F.col("__carried")))
+    out = out.withColumn("__found", found).filter("__kind = 1")
+    return out.select(*rows.columns, *[F.col(f"__found.{c}").alias(c) for c in columns])
+
+
 def top_fractions(
     df: DataFrame, group: list[str], score: str, tie: list[Column], fractions: list[float]
 ) -> DataFrame:

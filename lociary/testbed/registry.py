@@ -637,9 +637,36 @@ def _(spark, d):
     return r6(loci.validation_risk_ratio(predicted(spark, d), p_cut=2.0), "pvalue", "rr")
 
 
-@query("validation_risk_ratio_interval")
+def interval_sql(tables: str, keys: list[str]) -> str:
+    """``tables`` with the bootstrap interval of its ratios: each draw is the smallest count whose cumulative binomial probability reaches its md5 uniform."""
+    k = ", ".join(keys)
+    same = " AND ".join(f"d.{key} = c.{key}" for key in keys)
+    return f"""WITH tables22 AS MATERIALIZED ({tables}),
+       sides AS (SELECT {k}, s.side, s.hits, s.n FROM (SELECT {k}, unnest([
+           {{'side': '1', 'hits': hits1::BIGINT, 'n': total1::BIGINT}}, {{'side': '2', 'hits': hits2::BIGINT, 'n': total2::BIGINT}}]) AS s FROM tables22 WHERE total1 > 0 AND total2 > 0)),
+       support AS (SELECT {k}, side, unnest(range(n + 1))::DOUBLE AS x, n::DOUBLE AS n, hits / n AS p FROM sides WHERE hits > 0 AND hits < n),
+       pmf AS (SELECT {k}, side, x, exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(p) + (n - x) * ln(1 - p)) AS m FROM support),
+       cdf AS (SELECT {k}, side, upto, max(x) AS x FROM (SELECT {k}, side, x, coalesce(sum(m) OVER (PARTITION BY {k}, side ORDER BY x
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM pmf) GROUP BY {k}, side, upto),
+       draws AS (SELECT {k}, side, b, n, hits, (('0x' || substr(md5(concat_ws('|', 1, side, b, {k})), 1, 13))::BIGINT + 0.5) / 4503599627370496 AS u
+           FROM sides, range(1, 5001) AS r(b)),
+       drawn AS (SELECT d.*, c.x FROM draws d ASOF JOIN cdf c ON {same} AND d.side = c.side AND d.u > c.upto WHERE hits > 0 AND hits < n
+           UNION ALL SELECT *, hits FROM draws WHERE hits = 0 OR hits = n),
+       ratios AS (SELECT {k}, b, max(x / n) FILTER (side = '2') / nullif(max(x / n) FILTER (side = '1'), 0) AS rr FROM drawn GROUP BY {k}, b),
+       ends AS (SELECT {k}, round(quantile_cont(rr, 0.025), 6) AS rr_lower, round(quantile_cont(rr, 0.975), 6) AS rr_upper FROM ratios GROUP BY {k})
+       SELECT tables22.*, rr_lower, rr_upper FROM tables22 JOIN ends USING ({k})"""
+
+
+_RATIO = "round((hits2::DOUBLE / total2) / nullif(hits1::DOUBLE / total1, 0), 6)"
+
+
+@query(
+    "validation_risk_ratio_interval",
+    interval_sql(f"SELECT * REPLACE (CAST(hits1 AS BIGINT) AS hits1, CAST(hits2 AS BIGINT) AS hits2, CAST(total1 AS BIGINT) AS total1, CAST(total2 AS BIGINT) AS total2), {_RATIO} AS rr FROM ({_TABLES22})", ["evidence", "type"]),
+    "validation",
+)
 def _(spark, d):
-    return loci.validation_risk_ratio_interval(predicted(spark, d))
+    return r6(loci.validation_risk_ratio_interval(predicted(spark, d)), "rr", "rr_lower", "rr_upper")
 
 
 _NC = wilson("count(*) FILTER (gamma)", "count(*)")
@@ -891,24 +918,21 @@ counts AS (SELECT population, fraction, annotation, count(*) FILTER (in1) AS hit
 totals AS (SELECT *, CAST(sum(hits2) OVER (PARTITION BY population, fraction) AS BIGINT) AS total2, CAST(sum(hits1) OVER (PARTITION BY population, fraction) AS BIGINT) AS total1 FROM counts)"""
 
 
-@query(
-    "rank_enrichment",
-    f"""WITH {_POP} SELECT population, fraction, annotation, hits1, total1, hits2, total2,
-         round((hits2::DOUBLE / total2) / (hits1::DOUBLE / total1), 6) AS enrichment FROM totals WHERE hits1 > 0 AND hits2 > 0""",
-    "delta",
-)
+_RANKED = f"""WITH {_POP} SELECT population, fraction, annotation, hits1, total1, hits2, total2,
+         round((hits2::DOUBLE / total2) / (hits1::DOUBLE / total1), 6) AS enrichment FROM totals WHERE hits1 > 0 AND hits2 > 0"""
+
+
+@query("rank_enrichment", _RANKED, "delta")
 def _(spark, d):
     return r6(posteriors.rank_enrichment(delta(spark, d)), "enrichment")
 
 
-@query("rank_enrichment_interval")
+@query("rank_enrichment_interval", interval_sql(_RANKED, ["population", "fraction", "annotation"]), "delta")
 def _(spark, d):
-    return posteriors.rank_enrichment_interval(delta(spark, d))
+    return r6(posteriors.rank_enrichment_interval(delta(spark, d)), "enrichment", "rr_lower", "rr_upper")
 
 
-@query(
-    "delta_enrichment",
-    """WITH x AS (
+_BEYOND = """WITH x AS (
          SELECT t AS threshold, CASE WHEN consequence IN ('pLoF', 'Missense', 'Synonymous', 'UTR5', 'UTR3', 'Promoter') THEN 'Coding|UTR|Promoter' ELSE consequence END AS annotation,
            CASE WHEN delta <= -t THEN 0 WHEN delta <= t THEN 1 ELSE 2 END AS bin
          FROM delta, (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE]) AS t) WHERE consequence IS NOT NULL),
@@ -919,16 +943,17 @@ def _(spark, d):
          round((s.n::DOUBLE / s.total) / (m.n::DOUBLE / m.total), 6) AS enrichment
        FROM a CROSS JOIN (VALUES ('above', 2), ('below', 0)) d(direction, bin)
        LEFT JOIN t m ON m.threshold = a.threshold AND m.annotation = a.annotation AND m.bin = 1
-       LEFT JOIN t s ON s.threshold = a.threshold AND s.annotation = a.annotation AND s.bin = d.bin""",
-    "delta",
-)
+       LEFT JOIN t s ON s.threshold = a.threshold AND s.annotation = a.annotation AND s.bin = d.bin"""
+
+
+@query("delta_enrichment", _BEYOND, "delta")
 def _(spark, d):
     return r6(posteriors.delta_enrichment(delta(spark, d)), "enrichment")
 
 
-@query("delta_enrichment_interval")
+@query("delta_enrichment_interval", interval_sql(_BEYOND, ["threshold", "annotation", "direction"]), "delta")
 def _(spark, d):
-    return posteriors.delta_enrichment_interval(delta(spark, d))
+    return r6(posteriors.delta_enrichment_interval(delta(spark, d)), "enrichment", "rr_lower", "rr_upper")
 
 
 @query(

@@ -148,6 +148,23 @@ def test_sweep_equals_a_filter_per_threshold(spark):
     assert seen == expected
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join_against_brute_force(spark, strict):
+    rng = random.Random(4)
+    key = lambda: rng.choice(["a", "a", "a", "b", None])
+    place = lambda: rng.choice([None, *range(12)])
+    left = [(key(), place(), k) for k in range(300)] + [("only rows", 3, 300)]
+    right = [(key(), place(), rng.randrange(5), "x") for _ in range(60)] + [("only table", 1, 1, "x")]
+    found = ordered.asof_join(
+        spark.createDataFrame(left, "k string, at int, id int").repartition(7), spark.createDataFrame(right, "k string, at int, v int, w string"), ["k"], "at", ["v", "w"], strict=strict
+    )
+    assert found.columns == ["k", "at", "id", "v", "w"]
+    for r in found.collect():
+        before = [(a, v, w) for k, a, v, w in right if k == r["k"] and None not in (a, r["at"]) and (a < r["at"] or (a == r["at"] and not strict))]
+        assert (r["v"], r["w"]) == (max(before)[1:] if before else (None, None))
+    assert found.count() == 301
+
+
 def test_roc_against_brute_force(spark):
     rng = random.Random(2)
     data = [(rng.random() < 0.5, rng.randint(0, 6)) for _ in range(200)]
