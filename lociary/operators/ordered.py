@@ -81,10 +81,9 @@ def top_fractions(
     cell = F.floor(F.col(score) * 10000)
     cells = settle(df.groupBy(*group, cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__n")))
     above = Window.partitionBy(*group).orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cells.groupBy(*group).agg(F.sum("__n").alias("__size"))
     cut = (
         cells.withColumn("__above", F.coalesce(F.sum("__n").over(above), F.lit(0)))
-        .join(sizes, group)
+        .withColumn("__size", F.sum("__n").over(Window.partitionBy(*group)))
         # rows needed at the lowest fraction: n - floor(f * n), plus one for rounding in the test below
         .filter(F.col("__above") <= F.col("__size") * (1 - min(fractions)) + 1)
         .groupBy(*group)

@@ -38,7 +38,7 @@ def roc_curve(counts: DataFrame, group: list[str]) -> DataFrame:
     )
     totals = counts.groupBy(*group).agg(F.sum("events").alias("all_events"), F.sum("others").alias("all_others"))
     share = lambda part, whole: F.try_divide(part.cast("double"), whole)
-    inner = attach(ranked, totals, group, "inner").select(
+    inner = attach(ranked, totals, group, "inner", nulls_match=True).select(
         *group,
         F.col("score").cast("double").alias("threshold"),
         share(F.col("others_upto") - F.col("others"), F.col("all_others")).alias("specificity"),

@@ -24,15 +24,16 @@ def critical_n(rows: DataFrame) -> DataFrame:
 def marginal_assoc(rows: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Regression through the origin of y on x per key, from map-side aggregates.
 
-    ``s2`` uses the population variance of the residuals, mean removed.
+    ``s2`` uses the population variance of the residuals, mean removed. All sums and ``n`` run over the rows that have
+    both values; a key without any has n = 0 and NULLs.
     """
-    cx, cy = F.col(x), F.col(y)
-    both = cx.isNotNull() & cy.isNotNull()
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    cx, cy = F.when(both, F.col(x)), F.when(both, F.col(y))
     sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(cx).alias("n"),
         F.sum(cx * cx).alias("sxx"), F.sum(cx * cy).alias("sxy"),
         # around the means as they run, so large values do not cancel
-        F.var_pop(F.when(both, cx)).alias("vx"), F.var_pop(F.when(both, cy)).alias("vy"), F.covar_pop(cx, cy).alias("cov"),
+        F.var_pop(cx).alias("vx"), F.var_pop(cy).alias("vy"), F.covar_pop(cx, cy).alias("cov"),
     )
     b = F.col("beta")
     spread = F.col("vy") - 2 * b * F.col("cov") + b * b * F.col("vx")

@@ -24,6 +24,7 @@ from lociary.functions.stats import (
     significance_stars,
 )
 from lociary.functions.text import before_first, recode
+from lociary.operators.density import density
 from lociary.operators.contingency import bootstrap_risk_ratio, fisher_exact, risk_ratio_columns
 from lociary.operators.keyed import attach, settle
 from lociary.operators.ordered import exact_quantiles, rank_within
@@ -362,6 +363,12 @@ def sample_size_ratio_density(predicted: DataFrame, width: float = 0.5) -> DataF
     )
 
 
+def sample_size_ratio_curve(predicted: DataFrame, points: int = 512) -> DataFrame:
+    """Kernel density of the ratio by class, at ``points`` places each."""
+    ratio = F.try_divide("max_neff_r2", "min_neff_r2").alias("ratio")
+    return density(predicted.filter(F.col("prediction") != "NA").select("prediction", ratio), ["prediction"], "ratio", points)
+
+
 # --- views of variants -------------------------------------------------------------------------
 
 

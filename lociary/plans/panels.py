@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lociary.functions.bins import folded_frequency
 from lociary.functions.text import excluded_symbolic, file_name, token, variant_parts
 from lociary.operators.keyed import attach
+from lociary.operators.ordered import rank_within
 
 MAF_THRESHOLDS = [0.001, 0.005, 0.01, 0.05, 0.1, 0.2]
 RSQ_THRESHOLDS = [0.0, 0.2, 0.4, 0.6, 0.8]
@@ -54,6 +55,19 @@ def panel_levels(info: DataFrame) -> DataFrame:
     return info.select("label").distinct().select("label", (place - 1).alias("level"))
 
 
+def extend_levels(known: DataFrame, info: DataFrame) -> DataFrame:
+    """``label, level``: the dictionary ``known`` with the labels of ``info`` it lacks, numbered on from its largest number.
+
+    Numbers once given stay; new labels follow in alphabetical order, so the result does not depend on the order of rows.
+    NULL is no label. ``known`` may be empty. It must not be the table that the result overwrites.
+    """
+    fresh = info.select("label").filter(F.col("label").isNotNull()).distinct()
+    fresh = attach(fresh, known.select("label"), ["label"], "left_anti")
+    first = known.agg(F.coalesce(F.max("level") + 1, F.lit(0)).cast("bigint").alias("first")).first()["first"]
+    numbered = rank_within(fresh, [], [F.col("label")], "place").select("label", (F.col("place") + first).cast("bigint").alias("level"))
+    return known.select("label", F.col("level").cast("bigint").alias("level")).unionByName(numbered)
+
+
 def panel_collections(
     info: DataFrame,
     mode: str = "",

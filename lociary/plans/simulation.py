@@ -11,6 +11,7 @@ from lociary.functions import labels
 from lociary.functions.bins import PIP_BREAKS, QUANTILE_BREAKS, left_closed_bin, uniform_bin
 from lociary.functions.stats import OUTLIER_NLOG10P, R2_THRESHOLD, binomial_interval
 from lociary.functions.text import recode, region_parts, token, variant_parts
+from lociary.operators.reshape import arrays_to_rows
 from lociary.operators.intervals import points_in_intervals
 from lociary.operators.keyed import attach, settle
 from lociary.operators.ordered import exact_quantiles, rank_within
@@ -174,6 +175,13 @@ def bins_as_arrays(metrics: DataFrame) -> DataFrame:
     )
 
 
+def arrays_as_bins(arrays: DataFrame) -> DataFrame:
+    """The inverse of :func:`bins_as_arrays`; the arrays may also be kept as text."""
+    columns = {c: c for c in ("prob_bins", "prob_true_bins", "calibration", "mean_prob", "mean_prob_sd", "q_true_bins")}
+    rows = arrays_to_rows(arrays, columns, "bin")
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("prob_bins", "prob_true_bins", "q_true_bins")})
+
+
 def _in_causal_regions(ranked: DataFrame, regions: DataFrame) -> DataFrame:
     truth = regions.filter("gamma").select(*REGION, "max_prob", "lead_z", *TRUTHS)
     return attach(ranked, truth, REGION, "inner")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from lociary.functions.text import file_name
+from lociary.operators.keyed import attach
 from lociary.sources.blockgzip import first_line, read_block_gzip
 
 
@@ -88,6 +89,27 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_grid(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """A table written by :func:`lociary.sources.writers.write_grid`; ``keys`` is the DDL of its key columns, which stand last."""
+    rows = spark.read.parquet(path)
+    typed = {f.name: f.dataType for f in T.StructType.fromDDL(keys)}
+    return rows.select(*[F.col(c).cast(typed[c]).alias(c) if c in typed else F.col(c) for c in rows.columns])
+
+
+def read_sorted(spark: SparkSession, path: str, place: str = "place") -> DataFrame:
+    """A Parquet table written by :func:`lociary.sources.writers.write_sorted` with each row's place in the order, from 0.
+
+    The order of the files is that of their part numbers, and of the file numbers within one task's parts.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    number = lambda pattern: F.regexp_extract("__file", pattern, 1).cast("bigint")
+    files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)\.")).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file
+    starts = files.select("__file", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    return attach(rows, starts, ["__file"], "inner").withColumn(place, F.col("__start") + F.col("__row")).drop("__file", "__row", "__start")
+
+
 def read_region(spark: SparkSession, path: str, trait: str, region: str) -> DataFrame:
     """One locus out of a table written by :func:`lociary.sources.writers.write_by_locus`: the trait
     prunes directories, the region is pushed to the row-group statistics."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lociary.sources.blockgzip import write_block_gzip
 from lociary.sources.readers import read_json, read_table
@@ -40,6 +40,28 @@ def write_by_locus(df: DataFrame, path: str, *, overwrite: bool = False) -> Data
     return write_table(clustered, path, overwrite=overwrite, partition_by=["trait"])
 
 
+def write_grid(df: DataFrame, path: str, keys: list[str]) -> None:
+    """One folder per combination of ``keys``, all in one job; only the combinations in ``df`` are written anew.
+
+    Rows are rebalanced by the keys, so that a folder has few files and a large combination is cut over several tasks.
+    """
+    rows = df.hint("rebalance", *keys)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def write_sorted(df: DataFrame, path: str, order: list[Column | str], *, text: bool = False, overwrite: bool = False) -> None:
+    """Export in one order over all files: each holds a range, in order, and so do the files by their part number.
+
+    Rows equal in ``order`` follow the remaining columns, so the export is the same on every run but for identical rows.
+    """
+    named = [c for c in order if isinstance(c, str)]
+    rows = df.orderBy(*order, *[F.col(f"`{c}`") for c in df.columns if c not in named])
+    if text:
+        write_tsv(rows, path, overwrite=overwrite)
+    else:
+        rows.write.mode("overwrite" if overwrite else "error").parquet(path)
+
+
 def ingest(
     spark: SparkSession, sources: dict[str, tuple[str, str]], target: str, *, partitions: int | None = None, overwrite: bool = False
 ) -> dict[str, DataFrame]:

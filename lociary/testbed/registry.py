@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lociary.functions.bins import PIP_BREAKS, QUANTILE_BREAKS
 from lociary.functions.stats import critical_sample_size_ratio_form
 from lociary.functions.text import recode
-from lociary.operators.keyed import settle, shared_folder
+from lociary.operators import roc
+from lociary.operators.keyed import attach, settle, shared_folder
+from lociary.operators.ordered import rank_within, top_fractions
+from lociary.operators.reshape import rows_to_arrays
+from lociary.operators.sketch import merge_sketches, quantile_sketches, sketch_quantiles
 from lociary.plans import annotation, cohorts, effects, loci, panels, posteriors, reports, simulation
 from lociary.sources import readers, writers
 from lociary.testbed import bridge
@@ -1434,3 +1438,169 @@ def _(spark, d):
 def _(spark, d):
     rows = effects.marginal_assoc(domain(spark, d, "individuals"), ["variant_key"])
     return r6(rows, "beta", "sigma2", "s2", "z")
+
+
+@query(
+    "marginal_assoc_nulls",
+    """WITH i AS (SELECT variant_key, CASE WHEN x > -2 THEN x END AS x, CASE WHEN x < 1 THEN y END AS y FROM individuals),
+       both_ AS (SELECT * FROM i WHERE x IS NOT NULL AND y IS NOT NULL),
+       s AS (SELECT variant_key, count(*) AS n, sum(x * y) / nullif(sum(x * x), 0) AS beta, sum(x * x) AS sxx FROM both_ GROUP BY variant_key),
+       e AS (SELECT variant_key, var_pop(y - beta * x) AS sigma2 FROM both_ JOIN s USING (variant_key) GROUP BY variant_key)
+       SELECT variant_key, coalesce(n, 0) AS n, round(beta, 6) AS beta, round(sigma2, 6) AS sigma2, round(sigma2 / nullif(sxx, 0), 6) AS s2,
+         CASE WHEN sigma2 > 1e-12 THEN round(beta / sqrt(sigma2 / nullif(sxx, 0)), 3) END AS z
+       FROM (SELECT DISTINCT variant_key FROM i) LEFT JOIN s USING (variant_key) LEFT JOIN e USING (variant_key)""",
+    "individuals",
+)
+def _(spark, d):
+    """Missing values on either side leave the pair out, of every sum and of the count."""
+    rows = domain(spark, d, "individuals").select(
+        "variant_key", F.when(F.col("x") > -2, F.col("x")).alias("x"), F.when(F.col("x") < 1, F.col("y")).alias("y")
+    )
+    found = effects.marginal_assoc(rows, ["variant_key"])
+    z = F.when(F.col("sigma2") > 1e-12, F.round("z", 3))  # a residual of rounding alone has no z
+    return r6(found.withColumn("z", z), "beta", "sigma2", "s2")
+
+
+@query(
+    "z_quantile_sketch",
+    """WITH y AS (SELECT trait, z, row_number() OVER (PARTITION BY trait ORDER BY z) - 1 AS place, count(*) OVER (PARTITION BY trait) AS n
+         FROM (SELECT trait, beta / nullif(se, 0) AS z FROM sumstats) WHERE z IS NOT NULL)
+       SELECT trait, p, n, round(z, 6) AS exact, round(CASE WHEN z = 0 THEN 0 ELSE
+           sign(z) * 0.99 * exp(ceil(ln(abs(z)) / ln(1.01::DOUBLE / 0.99)) * ln(1.01::DOUBLE / 0.99)) END, 6) AS estimate, true AS within
+       FROM y, (SELECT unnest([0.01, 0.25, 0.5, 0.99])::DOUBLE AS p) WHERE place = floor(p * (n - 1))""",
+    "sumstats",
+)
+def _(spark, d):
+    """Sketches of z by trait and contig, stored, merged to traits; each answer beside the value at its exact rank."""
+    rows = domain(spark, d, "sumstats").select("trait", "contig", "variant", F.try_divide("beta", "se").alias("z"))
+    batches = settle(quantile_sketches(rows, ["trait", "contig"], "z"))
+    asked = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p99": 0.99}
+    answers = sketch_quantiles(merge_sketches(batches, ["trait"]), asked)
+    each = F.array(*[F.struct(F.lit(p).alias("p"), F.col(name).alias("estimate")) for name, p in asked.items()])
+    answers = answers.select("trait", "n", F.explode(each).alias("a")).select("trait", "n", "a.*")
+    answers = answers.withColumn("place", F.floor(F.col("p") * (F.col("n") - 1)).cast("bigint"))
+    ranked = rank_within(rows.filter(F.col("z").isNotNull()), ["trait"], [F.col("z"), F.col("variant")], "place")
+    found = attach(ranked.select("trait", "place", F.col("z").alias("exact")), answers, ["trait", "place"], "inner")
+    within = F.abs(F.col("estimate") - F.col("exact")) <= (0.01 + 1e-9) * F.abs("exact")
+    return r6(found.select("trait", "p", "n", "exact", "estimate", within.alias("within")), "exact", "estimate")
+
+
+@query(
+    "top_by_consequence",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY consequence ORDER BY prob DESC, trait, region, variant) - 1 AS down,
+         count(*) OVER (PARTITION BY consequence) AS size FROM delta WHERE prob IS NOT NULL AND max_pip IS NOT NULL)
+       SELECT consequence, trait, region, variant, f AS fraction FROM r, (SELECT unnest([0.9::DOUBLE, 0.99::DOUBLE]) AS f) WHERE (size - down) / size > f""",
+    "delta",
+)
+def _(spark, d):
+    """Top fractions per consequence; the variants without one are a group too."""
+    rows = delta(spark, d).filter(F.col("prob").isNotNull() & F.col("max_pip").isNotNull()).select("consequence", "prob", "trait", "region", "variant")
+    return top_fractions(rows, ["consequence"], "prob", [F.col(c) for c in ("trait", "region", "variant")], [0.9, 0.99]).drop("prob")
+
+
+@query(
+    "locus_roc_curve",
+    """WITH x AS (SELECT CASE WHEN prediction <> 'NA' THEN trait_short END AS trait, cs_nonsyn AS truth, n_dentist_outlier AS score FROM predicted WHERE cs_nonsyn IS NOT NULL),
+       totals AS (SELECT trait, count(*) FILTER (NOT truth) AS e, count(*) FILTER (truth) AS o FROM x GROUP BY trait)
+       SELECT s.trait, s.score::DOUBLE AS threshold,
+         (SELECT count(*) FROM x WHERE x.trait IS NOT DISTINCT FROM s.trait AND x.truth AND x.score < s.score)::DOUBLE / nullif(o, 0) AS specificity,
+         (SELECT count(*) FROM x WHERE x.trait IS NOT DISTINCT FROM s.trait AND NOT x.truth AND x.score >= s.score)::DOUBLE / nullif(e, 0) AS sensitivity
+       FROM (SELECT DISTINCT trait, score FROM x) s JOIN totals ON totals.trait IS NOT DISTINCT FROM s.trait
+       UNION ALL SELECT trait, '-inf'::DOUBLE, 0, 1 FROM totals UNION ALL SELECT trait, 'inf'::DOUBLE, 1, 0 FROM totals""",
+    "predicted",
+)
+def _(spark, d):
+    """Outlier counts against nonsynonymous credible sets by trait; loci without a prediction form the group NULL."""
+    rows = predicted(spark, d).select(F.when(F.col("prediction") != "NA", F.col("trait_short")).alias("trait"), "cs_nonsyn", "n_dentist_outlier")
+    return roc.roc_curve(roc.score_counts(rows, ["trait"], "cs_nonsyn", "n_dentist_outlier"), ["trait"])
+
+
+@query(
+    "sample_size_ratio_curve",
+    """WITH x AS (SELECT prediction, max_neff_r2 / nullif(min_neff_r2, 0) AS v FROM predicted WHERE prediction <> 'NA'),
+       s AS (SELECT prediction, count(*) AS n, min(v) AS low, max(v) AS high, coalesce(stddev_samp(v), 0) AS sd,
+           (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS iq FROM x WHERE v IS NOT NULL GROUP BY prediction),
+       b AS (SELECT *, 0.9 * CASE WHEN least(sd, iq) > 0 THEN least(sd, iq) WHEN sd > 0 THEN sd WHEN low <> 0 THEN abs(low) ELSE 1 END * power(n::DOUBLE, -0.2) AS bandwidth FROM s),
+       g AS (SELECT *, low - 3 * bandwidth AS first_, (high - low + 6 * bandwidth) / 511 AS step FROM b),
+       v AS (SELECT g.*, floor((v - first_) / step) AS cell, (v - first_) / step - floor((v - first_) / step) AS part FROM g JOIN x USING (prediction) WHERE v IS NOT NULL)
+       SELECT prediction, round(bandwidth, 6) AS bandwidth, place, round(first_ + place * step, 6) AS at,
+         round(sum((1 - part) * exp(-0.5 * power((place - cell) * step / bandwidth, 2)) + part * exp(-0.5 * power((place - cell - 1) * step / bandwidth, 2)))
+           / (n * bandwidth * sqrt(2 * pi())), 6) AS density
+       FROM v, range(512) AS p(place) GROUP BY prediction, place, bandwidth, first_, step, n""",
+    "predicted",
+)
+def _(spark, d):
+    return big(r6(loci.sample_size_ratio_curve(predicted(spark, d)), "bandwidth", "at", "density"))
+
+
+@query("sim_fdr_recall_arrays")
+def _(spark, d):
+    """As ``sim_fdr_recall``, from metrics kept as arrays in text, one row per study group."""
+    metrics = sim_metrics(spark, d)
+    keys, values = ["pheno_group", "config_group", "Ngamma_region"], ["prob_bins", "prob_true_bins", "calibration", "mean_prob", "mean_prob_sd", "q_true_bins"]
+    texts = rows_to_arrays(metrics, keys, "bin", {v: v for v in values}, 5, as_text=True)
+    target = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    writers.write_tsv(texts, target)
+    kinds = {f.name: f.dataType.simpleString() for f in metrics.schema.fields}
+    back = readers.read_tsv(spark, target, ", ".join([*[f"{k} {kinds[k]}" for k in keys], *[f"{v} string" for v in values]]))
+    rows = simulation.arrays_as_bins(back)
+    return big(r6(simulation.fdr_recall(simulation.with_second_build(rows, rows)), *_FDR))
+
+
+ORACLES["sim_fdr_recall_arrays"] = ORACLES["sim_fdr_recall"]
+
+
+@query(
+    "panel_grid_sink",
+    f"""SELECT collection, CASE WHEN maf = 0.01 AND rsq = 0.4 THEN 2 * n ELSE n END AS n, maf, rsq
+        FROM ({collections("gnomad_min", panels.MAF_THRESHOLDS, panels.RSQ_THRESHOLDS)})""",
+    "info",
+)
+def _(spark, d):
+    """One folder per threshold pair, written in one job; then one pair is written anew and the others stay."""
+    found = settle(panels.panel_collections(panel_rows(spark, d), "gnomad_min").select("maf", "rsq", "collection", "n"))
+    target = f"{shared_folder(spark)}/grid-{uuid.uuid4().hex}"
+    writers.write_grid(found, target, ["maf", "rsq"])
+    writers.write_grid(found.filter("maf = 0.01 AND rsq = 0.4").withColumn("n", 2 * F.col("n")), target, ["maf", "rsq"])
+    return readers.read_grid(spark, target, "maf double, rsq double")
+
+
+@query(
+    "panel_levels_extended",
+    """WITH l AS (SELECT label, min(CASE WHEN ancestry = (SELECT max(ancestry) FROM info) THEN 0 ELSE 1 END) AS batch FROM info GROUP BY label)
+       SELECT label, row_number() OVER (ORDER BY batch, label) - 1 AS level FROM l""",
+    "info",
+)
+def _(spark, d):
+    """A dictionary of the last ancestry's panels, stored, then one with all panels: earlier numbers stay."""
+    info = panel_rows(spark, d)
+    last = info.agg(F.max("ancestry")).first()[0]
+    empty = spark.createDataFrame([], "label string, level bigint")
+    target = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
+    known = writers.write_table(panels.extend_levels(empty, info.filter(F.col("ancestry") == last)), f"{target}/1")
+    return writers.write_table(panels.extend_levels(known, info), f"{target}/2")
+
+
+@query(
+    "report_predictions_sorted",
+    """SELECT trait_short AS trait, region, round(max_pip, 6) AS max_pip, n_total,
+         row_number() OVER (ORDER BY trait_short, region, CASE prediction WHEN 'SL' THEN 'Suspicious loci' WHEN 'NSL' THEN 'Non-suspicious loci' ELSE 'NA' END,
+           n_total, n_r2, n_dentist_outlier, fraction, n_nonsyn, max_pip) - 1 AS place FROM predicted""",
+    "predicted",
+)
+def _(spark, d):
+    """Exported in order over all files and read back with the place of each row."""
+    target = f"{shared_folder(spark)}/sorted-{uuid.uuid4().hex}"
+    writers.write_sorted(reports.report_predictions(predicted(spark, d)), target, ["trait", "region"])
+    return r6(readers.read_sorted(spark, target).select("trait", "region", "max_pip", "n_total", "place"), "max_pip")
+
+
+@query(
+    "report_studies_sorted",
+    """SELECT study_accession, row_number() OVER (ORDER BY o_totalprice DESC, study_accession) - 1 AS place FROM (
+         SELECT o_orderkey AS study_accession, o_totalprice FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey IN (SELECT l_orderkey FROM lineitem))""",
+)
+def _(spark, d):
+    target = f"{shared_folder(spark)}/sorted-{uuid.uuid4().hex}"
+    writers.write_sorted(QUERIES["report_studies"](spark, d), target, [F.desc("o_totalprice"), "study_accession"])
+    return readers.read_sorted(spark, target).select("study_accession", "place")
