@@ -5,6 +5,8 @@ piece of any such occurrence is unchanged, so one Aho-Corasick pass over a docum
 be. Each place is verified with Myers' bit-parallel edit distance against the window around it; the
 distance is exact, for insertions, deletions and replacements of characters.
 
+Items under ``MIN_CHARS`` characters are one piece and found exactly, where they do not begin or end inside a word.
+
 Texts are compared in lower case with every run of white space as one space. Items are read in blocks of at most
 ``BLOCK_CHARS`` characters (or one item), each broadcast once and held against all documents in one pass, so the
 memory does not grow with the benchmark. Documents are never shuffled.
@@ -24,6 +26,9 @@ RATE = 0.08
 MIN_CHARS = 24
 BLOCK_CHARS = 2_000_000
 
+#: First and last letters of scripts that write words without spaces between them.
+UNSPACED = ["\u0e00\u0eff", "\u1000\u109f", "\u1780\u17ff", "\u3040\u30ff", "\u3400\u9fff", "\uf900\ufaff", "\U00020000\U0003ffff"]
+
 _matchers: dict[int, "Matcher"] = {}
 
 
@@ -37,6 +42,15 @@ def pieces(length: int, budget: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def _of_word(c: str) -> bool:
+    return c.isalnum() and not any(first <= c <= last for first, last in UNSPACED)
+
+
+def whole_words(text: str, begin: int, end: int) -> bool:
+    """Whether a part of a text neither begins nor ends inside a word."""
+    return not (begin > 0 and _of_word(text[begin - 1]) and _of_word(text[begin])) and not (end < len(text) and _of_word(text[end - 1]) and _of_word(text[end]))
+
+
 def myers(pattern_bits: dict[str, int], m: int, text: str, budget: int) -> tuple[int, int] | None:
     """Least distance of the pattern to any part of the text, and where the first such part ends; None above the budget."""
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -64,7 +78,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = items
-        self.budgets = [int(rate * len(text)) for _, text in items]
+        self.budgets = [int(rate * len(text)) if len(text) >= MIN_CHARS else 0 for _, text in items]
         self.bits: dict[int, dict[str, int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for number, (_, text) in enumerate(items):
@@ -95,6 +109,10 @@ class Matcher:
         out = []
         for number, places in diagonals.items():
             item_id, item = self.items[number]
+            if len(item) < MIN_CHARS:
+                ends = [begin + len(item) for begin in sorted(places) if whole_words(text, begin, begin + len(item))]
+                out += [(item_id, 0, end) for end in ends[:1]]
+                continue
             if item in text:
                 out.append((item_id, 0, text.index(item) + len(item)))
                 continue
@@ -141,7 +159,7 @@ class _Block:
 
 
 def item_blocks(items: DataFrame, rate: float, block_chars: int = BLOCK_CHARS) -> Iterator[_Block]:
-    """Normalised items of at least ``MIN_CHARS`` characters, read row by row and broadcast block by block."""
+    """Normalised items that are not empty, read row by row and broadcast block by block."""
     context = items.sparkSession.sparkContext
     block, held, number = [], 0, 0
 
@@ -151,7 +169,7 @@ def item_blocks(items: DataFrame, rate: float, block_chars: int = BLOCK_CHARS) -
 
     for row in items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null").toLocalIterator():
         text = normalised(row["text"])
-        if len(text) < MIN_CHARS:
+        if not text:
             continue
         if block and held + len(text) > block_chars:
             yield close()
@@ -166,8 +184,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, rate: float = RATE, block_chars:
     """``doc_id, item_id, distance, end``: one row per row of ``docs (doc_id, text)`` and item of ``items (item_id, text)`` found in it.
 
     ``distance`` is the least number of edits, at most ``floor(rate * length)``; ``end`` is where the best place ends in
-    the normalised text. Null, empty and shorter items (under ``MIN_CHARS`` characters) are not searched, nor are items
-    without an id; null and empty texts hold nothing. Equal items are all reported, an item repeated under one id
+    the normalised text. Items under ``MIN_CHARS`` characters are found exactly, as whole words. Null and empty items are
+    not searched, nor are items without an id; null and empty texts hold nothing. Equal items are all reported, an item repeated under one id
     too. Repeated rows of ``docs`` are reported as often as they occur, with a null id if they have none. Empty
     tables give an empty table.
     """
@@ -196,7 +214,11 @@ def _report(block: _Block):
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, *, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns."""
+    """The rows of ``docs`` in which no item is found (see :func:`leaks`), with all their columns.
+
+    Null and empty texts stay, repeated rows are judged alike, without items all rows stay, an empty table stays empty.
+    A very short item takes every document that holds it as a word; leave such items out of ``items`` where that is not meant.
+    """
     ship(docs.sparkSession)
     for block in item_blocks(items, rate, block_chars):
         docs = docs.mapInArrow(_clean(block), docs.schema)

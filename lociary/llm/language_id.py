@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lociary.llm.common import column_of, held_out, ship, slices, text_bytes
 
@@ -208,7 +208,11 @@ def has_letter(text: str | None) -> bool:
 
 
 def training_sample(docs: DataFrame, rows: int = ROWS, size: int = BYTES, languages: int = LANGUAGES) -> dict[str, list[bytes]]:
-    """Whole texts of every language, chosen by a hash of the text; bounded by rows and bytes, which more than ``languages`` languages share."""
+    """Whole texts of every language, chosen by a hash of the text; bounded by rows and bytes, which more than ``languages`` languages share.
+
+    Texts of more than an eighth of the bytes come after all others of their language, so that no long one takes the place of
+    many; a language whose first chosen text is over the bound still learns from that one. ``und`` is no language to learn.
+    """
     open_rows = docs.select("doc_id", "text", "lang").filter(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lang") != UNDETERMINED) & (F.length("text") > 0)
     )
@@ -220,15 +224,14 @@ def training_sample(docs: DataFrame, rows: int = ROWS, size: int = BYTES, langua
     # about eight times the wanted rows pass, and never none; the rest never moves
     shares = F.create_map(*[F.lit(v) for row in counts for v in (row["lang"], int(min(1.0, (8 * rows + 100) / row["count"]) * (1 << 40)))])
     chosen = place < F.try_element_at(shares, F.col("lang"))
+    order = Window.partitionBy("lang").orderBy(F.octet_length("text") > size // 8, "place", "text")
     numbered = open_rows.filter(chosen).withColumn("place", place).select(
-        "lang", "place", F.expr("row_number() over (partition by lang order by place, text)").alias("number"), F.col("text").cast("binary").alias("data")
+        "lang", F.row_number().over(order).alias("number"), F.col("text").cast("binary").alias("data"), F.octet_length("text").cast("long").alias("bytes")
     ).filter(F.col("number") <= rows)
+    upto = F.sum("bytes").over(Window.partitionBy("lang").orderBy("number").rowsBetween(Window.unboundedPreceding, 0))
     samples: dict[str, list[bytes]] = {}
-    held: dict[str, int] = {}
-    for row in numbered.orderBy("lang", "number").toLocalIterator():
-        if held.get(row["lang"], 0) < size:
-            samples.setdefault(row["lang"], []).append(bytes(row["data"]))
-            held[row["lang"]] = held.get(row["lang"], 0) + len(row["data"])
+    for row in numbered.withColumn("upto", upto).filter((F.col("upto") <= size) | (F.col("number") == 1)).orderBy("lang", "number").toLocalIterator():
+        samples.setdefault(row["lang"], []).append(bytes(row["data"]))
     return samples
 
 
@@ -281,7 +284,9 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_languages(docs: DataFrame, wanted: list[str] | None = None, *, max_bits: float = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` in one of the wanted languages (any learned one if None), with all their columns.
 
-    Texts without a letter go, and texts that even the best language codes in more than ``max_bits`` bits a byte.
+    Texts without a letter go, null and empty ones with them, and texts that even the best language codes in more than
+    ``max_bits`` bits a byte. Repeated rows are judged alike; a null id teaches nothing but its text is judged; where
+    nothing can be learned no row stays; an empty table stays empty.
     """
     names = docs.columns
     # a column of the same name as one of the results gets out of the way for the prediction

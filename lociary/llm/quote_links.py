@@ -23,7 +23,7 @@ from lociary.llm.common import store
 QUOTE = r"^[ \t]*>"
 LINE = r"\r\n|\r|\n"
 #: A last line that only announces a quote (who wrote it), in the languages of the tables; blank lines may follow.
-ANNOUNCED = r"(?i)\n[^\n]{0,200}\b(wrote|writes|schrieb|schreibt|a écrit|escribió):[ \t]*(?=\s*\z)"
+ANNOUNCED = r"(?i)\n[^\n]*\b(wrote|writes|schrieb|schreibt|a écrit|escribió):[ \t]*(?=\s*\z)"
 MIN_CHARS = 12  # a shorter sentence of a quote counts only where no longer one is found
 
 

@@ -167,7 +167,7 @@ def test_short_quotes_link(spark):
 def test_only_announcements_before_a_quote_go(spark):
     texts = [
         ("Ann wrote:\nno quote\nBob wrote:\n> q\nCarl schrieb:\nx", "Ann wrote:\nno quote\nCarl schrieb:\nx"), ("a\nBob wrote:\n\n> q", "a\n"),
-        ("> q\nBob wrote:", "Bob wrote:"), ("Bob wrote:\n> q\nAnn wrote:\n> r", ""), ("Bob wrote:\r\n> q\r\nc", "c"), ("Ann wrote:\nBob wrote:\n> q", "Ann wrote:"),
+        ("a\n" + "far " * 90 + "away, Bob wrote:\n> q\nb", "a\nb"), ("> q\nBob wrote:", "Bob wrote:"), ("Bob wrote:\n> q\nAnn wrote:\n> r", ""), ("Bob wrote:\r\n> q\r\nc", "c"), ("Ann wrote:\nBob wrote:\n> q", "Ann wrote:"),
     ]
     table = spark.createDataFrame([(1, i, "user", t) for i, (t, _) in enumerate(texts)], "conv_id long, turn long, role string, text string")
     got = {r["turn"]: r["content"] for r in quote_links.reply_ordered(table).collect()}

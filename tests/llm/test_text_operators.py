@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lociary.llm import byte_bpe, edit_match, language_id, token_counts, toxicity
 
@@ -249,6 +250,41 @@ def test_leaks_match_brute_force(spark):
         assert got == want
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "two plus two"), (2, "ja"), (3, "光合作用"), (4, "C++?")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "x Two  PLUS\ntwo."), (2, "two plus twos"), (3, "Ninja jazz"), (4, "ninja, ja!"), (5, "关于光合作用的问题"), (6, "why c++? x"), (7, "c++?why")], "doc_id long, text string"
+    )
+    assert sorted(tuple(r)[:3] for r in edit_match.leaks(docs, items).collect()) == [(1, 1, 0), (4, 2, 0), (5, 3, 0), (6, 4, 0), (7, 4, 0)]
+    assert sorted(r["doc_id"] for r in edit_match.keep_clean(docs, items).collect()) == [2, 3]
+
+
+def test_a_long_first_text_ends_no_sample(spark, monkeypatch):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, ("y" if k % 2 else "z") * 50_000 if k < 40 else f"{'good' if k % 2 else 'bad'} {i}", "en" if k % 3 else "xx", k % 2) for k, i in enumerate(ids)]
+    rows.append((10_000 + next(i for i in range(9) if zlib.crc32(str(10_000 + i).encode()) % 3 != 1), "only " * 9000, "long", None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, label int")
+    sample = language_id.training_sample(docs, size=20_000)
+    assert set(sample) == {"en", "xx", "long"} and len(sample["long"]) == 1
+    assert min(len(sample["en"]), len(sample["xx"])) > 50 and max(map(len, sample["en"] + sample["xx"])) < 100
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 60_000)
+    chosen, _ = toxicity.training_rows(docs, docs.select("doc_id", F.col("label").alias("toxic")))
+    counts = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert min(counts[0], counts[1]) > 90 and chosen.agg(F.max(F.length("text"))).first()[0] < 100
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 30)
+    chosen, _ = toxicity.training_rows(docs, docs.select("doc_id", F.col("label").alias("toxic")))
+    assert {r["label"] for r in chosen.collect()} == {0, 1}
+
+
+def test_every_language_of_the_sample_has_a_cut(spark):
+    rng = random.Random(3)
+    words = [[chr(0x4E00 + 40 * k + j) * 2 for j in range(12)] for k in range(60)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, " ".join([rng.choice(words[k % 60]) for _ in range(20)] + ["vile"] * (k % 4 == 0)), f"l{k % 60}") for k, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, int(k % 4 == 0)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    assert len(toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).shifts) == 60
+
+
 def test_leaks_of_odd_tables(spark):
     item = "a passage that is long enough to be searched for"
     docs = odd_docs(spark, "item_id string").unionAll(spark.createDataFrame([(20, f"x {item.upper()}  y", None, "c"), (20, f"x {item} y", None, "c")], "doc_id long, text string, lang string, item_id string"))
