@@ -131,6 +131,45 @@ def test_long_text_scores_like_its_parts():
     assert np.allclose(whole, toxicity._block(net, words, np.array([5000]), step=700), atol=1e-4)
 
 
+def test_scores_match_plain_loops():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 50, n).astype(np.int32) for n in (0, 1, 2, 3, 9, 40)]
+    net = toxicity.fit([rng.integers(0, 50, 12).astype(np.int32) for _ in range(80)], np.arange(80) % 2, np.arange(80) % 3, 3, 0.4)
+
+    def plain(words):
+        padded = [*(words if len(words) else [toxicity.PAD]), toxicity.PAD, toxicity.PAD, toxicity.PAD]
+        total, at = net.output_bias, 0
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                places = range(max(1, len(words)))
+                response = max(sum(float(net.embedding[padded[p + j]] @ net.filters[k][j][:, f]) for j in range(width)) for p in places) + net.biases[k][f]
+                total += max(0.0, response) * net.output[at]
+                at += 1
+        mean = sum((net.embedding[w] for w in words), np.zeros(toxicity.DIMENSIONS)) / max(1, len(words))
+        return total + net.shifts[int(np.argmax(mean @ net.language + net.language_bias))]
+
+    counts = np.array([len(t) for t in texts])
+    assert np.allclose(toxicity._block(net, np.concatenate(texts), counts), [plain(t) for t in texts], atol=1e-4)
+
+
+def test_network_learns_from_random_embeddings():
+    rng = np.random.default_rng(6)
+
+    def some(n):
+        labels = np.arange(n) % 4 == 0
+        texts = [np.minimum(rng.geometric(0.01, 120), 3000).astype(np.int32) for _ in range(n)]
+        for t, bad in zip(texts, labels):
+            if bad:
+                t[rng.integers(0, 120, 2)] = 5000 + rng.integers(0, 6)
+        return texts, labels.astype(np.int64)
+
+    texts, labels = some(1500)
+    net = toxicity.fit(texts, labels, np.zeros(1500, np.int64), 1, 0.25, word_start=False, epochs=4, rate=0.3)
+    unseen, wanted = some(400)
+    margins = np.array([toxicity._block(net, t, np.array([len(t)]))[0] for t in unseen])
+    assert ((margins >= toxicity.LOGIT_CUT) == wanted).mean() > 0.9
+
+
 def test_toxicity_of_odd_texts(spark):
     docs, labels = odd_docs(spark, "predicted string"), spark.createDataFrame([(0, 1), (4, 0), (5, 1), (6, None), (None, 1), (99, 1), (4, 0)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels).collect()
