@@ -70,6 +70,21 @@ def asof_join(rows: DataFrame, table: DataFrame, keys: list[str], on: str, colum
     return out.select(*rows.columns, *[F.col(f"__found.{c}").alias(c) for c in columns])
 
 
+def level_ranks(df: DataFrame, column: str, first: tuple[str, ...] = (), last: tuple[str, ...] = ()) -> DataFrame:
+    """``column, level``: the levels of a column as they occur, ranked from 1: ``first``, the others sorted, then ``last``.
+
+    Pinned levels that do not occur have no rank. NULL is no level.
+    """
+    def place(levels: tuple[str, ...]) -> Column:
+        at = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(column)) if levels else F.lit(0)
+        return F.when(at > 0, at.cast("int"))
+
+    levels = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    block = F.when(place(first).isNotNull(), 0).when(place(last).isNotNull(), 2).otherwise(1)
+    ranked = rank_within(levels, [], [block, F.coalesce(place(first), place(last), F.lit(0)), F.col(column)], "level")
+    return ranked.select(column, (F.col("level") + 1).cast("bigint").alias("level"))
+
+
 def top_fractions(
     df: DataFrame, group: list[str], score: str, tie: list[Column], fractions: list[float]
 ) -> DataFrame:

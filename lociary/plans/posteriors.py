@@ -110,6 +110,44 @@ def merge_posteriors(
     )
 
 
+def merge_cohorts(raw: DataFrame, builds: dict[str, str], traits: dict[str, str], build_map: DataFrame) -> DataFrame:
+    """Posteriors of all cohorts in one pass: ``trait, variant, variant_b37, cohort, pip, region, cs_id``.
+
+    ``raw``: ``cohort, method ('SUSIE' or 'FINEMAP'), trait, region, variant, prob, cs`` and optionally ``low_purity``;
+    ``builds`` gives the genome build of each cohort (an unknown cohort is an error), so the removed region and the
+    direction of the lookup follow from the row. ``build_map``: ``original_variant`` (GRCh37), ``variant`` (GRCh38).
+    The rules are those of :func:`merge_methods`; cohort and build are keys of the one merge and the one lookup.
+    """
+    rows = raw.filter(excluded_symbolic(F.col("variant"))).withColumns(variant_parts(F.col("variant")))
+    rows = rows.withColumn("build", map_values(F.col("cohort"), builds))
+    in_mhc = reduce(
+        lambda a, b: a | b,
+        [(F.col("build") == b) & (F.col("contig") == contig) & F.col("position").between(first, last) for b, (contig, first, last) in MHC.items()],
+    )
+    low = F.coalesce(F.col("low_purity") == 1, F.lit(False)) if "low_purity" in raw.columns else F.lit(False)
+    rows = rows.filter(~in_mhc).select(
+        *VARIANT_TRAIT[:4], map_values(F.col("trait"), traits).alias("trait"), "cohort", "build", "method", "region", F.col("prob").alias("pip"),
+        F.when(low, -1).otherwise(F.col("cs")).alias("cs_id"),
+    )
+    of = lambda method, c: F.max(F.when(F.col("method") == method, F.col(c)))
+    merged = rows.groupBy(*VARIANT_TRAIT, "cohort", "build").agg(
+        *[of(m, c).alias(f"{m}_{c}") for m in ("SUSIE", "FINEMAP") for c in ("pip", "region")], of("SUSIE", "cs_id").alias("cs_id")
+    )
+    s, f = F.col("SUSIE_pip"), F.col("FINEMAP_pip")
+    pip = F.when(s.isNull(), f).when(f.isNull(), s).when(F.abs(s - f) < AGREEMENT_GAP, (s + f) / 2)
+    old, new = F.col("original_variant"), F.col("variant")
+    both = build_map.select(F.lit("GRCh37").alias("build"), old.alias("here"), new.alias("other")).unionByName(
+        build_map.select(F.lit("GRCh38").alias("build"), new.alias("here"), old.alias("other"))
+    )
+    here = variant_text(*[F.col(c) for c in VARIANT_TRAIT[:4]])
+    named = attach(merged.withColumn("here", here), both, ["build", "here"], "left", stored=True)
+    newer = F.col("build") == "GRCh38"
+    return named.select(
+        "trait", F.when(newer, F.col("here")).otherwise(F.col("other")).alias("variant"), F.when(newer, F.col("other")).otherwise(F.col("here")).alias("variant_b37"),
+        "cohort", pip.alias("pip"), F.coalesce("SUSIE_region", "FINEMAP_region").alias("region"), "cs_id",
+    )
+
+
 def all_cohorts(parts: list[DataFrame], previous: DataFrame, traits: list[str]) -> DataFrame:
     """Union of the cohorts and of earlier results for the listed traits."""
     return reduce(DataFrame.unionByName, [*parts, previous.filter(F.col("trait").isin(traits))])

@@ -55,8 +55,14 @@ def report_studies(studies: DataFrame, flags: DataFrame, succeeded: DataFrame) -
     return attach(flagged, succeeded, ["study_accession"], "left_semi").drop("is_meta_analysis")
 
 
-def report_predictions(predicted: DataFrame, variants: DataFrame | None = None) -> DataFrame:
-    """Locus predictions in the published column layout; the list column needs the variants."""
+def report_predictions(predicted: DataFrame, variants: DataFrame | None = None, studies: DataFrame | None = None) -> DataFrame:
+    """Locus predictions in the published column layout; the list column needs the variants.
+
+    With ``studies`` (``study_accession, is_meta_analysis``; the accession is the trait) only loci of meta-analysed studies.
+    """
+    if studies is not None:
+        wanted = studies.filter("is_meta_analysis").select(F.col("study_accession").alias("trait")).distinct()
+        predicted = attach(predicted, wanted, ["trait"], "left_semi")
     columns = [
         "region", "prediction", "n_total", "n_r2", "n_dentist_outlier", "fraction", "n_nonsyn",
         "max_pip", "max_pip_nonsyn", "cs_nonsyn", "cs_99_nonsyn",

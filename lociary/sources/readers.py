@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lociary.functions.text import file_name
 from lociary.operators.keyed import attach
@@ -89,6 +89,53 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_tsv_layouts(
+    spark: SparkSession, paths: str | list[str], schema: str, *, required: list[str] | None = None, source: str | None = None, null_value: str = "NA"
+) -> DataFrame:
+    """Headed, unquoted tab-separated files of several layouts as one table: columns are found by name in each file's own header.
+
+    A column a file lacks is NULL, of its type; one of ``required`` that it lacks is an error. Cells that are empty or
+    ``null_value`` are NULL. Lines of blanks are no rows. Two scans, one of which keeps a header a file.
+    """
+    wanted = T.StructType.fromDDL(schema)
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), "value")
+    lines = lines.withColumn("__row", F.monotonically_increasing_id())
+    heads = lines.filter("__start = 0").groupBy("__file").agg(F.min(F.struct("__row", "value"))["value"].alias("__head"))
+    heads = heads.withColumn("__names", F.split("__head", "\t"))
+    for name in required or []:
+        told = F.concat(F.lit(f"no column {name} in "), F.col("__file"))
+        heads = heads.withColumn("__names", F.when(F.array_contains("__names", name), F.col("__names")).otherwise(F.raise_error(told)))
+    rows = attach(lines.filter(F.col("value").rlike(r"[^\x00-\x20]")), heads, ["__file"], "inner")
+    # a header is the first line of its file; a data line with the same text is none
+    first = rows.filter((F.col("__start") > 0) | (F.col("value") != F.col("__head")))
+    cells = first.select("__file", "__names", F.split("value", "\t").alias("__cells"))
+
+    def cell(name: str) -> Column:
+        at = F.array_position("__names", F.lit(name)).cast("int")
+        text = F.when(at > 0, F.get("__cells", at - 1))
+        return F.when((text != "") & (text != null_value), text)
+
+    columns = [cell(f.name).try_cast(f.dataType).alias(f.name) for f in wanted]
+    return cells.select(*columns, *([F.col("__file").alias(source)] if source else []))
+
+
+def region_index(spark: SparkSession, path: str) -> DataFrame:
+    """``file, trait, contig, first, last, n``: what each file of a table written by
+    :func:`lociary.sources.writers.write_by_locus` holds; a small table to be stored beside it."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy(F.col("_metadata.file_path").alias("file"), "trait", "contig").agg(
+        F.min("position").alias("first"), F.max("position").alias("last"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def read_positions(spark: SparkSession, path: str, index: DataFrame, trait: str, contig: str, first: int, last: int) -> DataFrame:
+    """The rows of one stretch of the genome (both ends included): the index says which files can hold any, and only those are planned."""
+    hit = index.filter((F.col("trait") == trait) & (F.col("contig") == contig) & (F.col("first") <= last) & (F.col("last") >= first))
+    files = [r["file"] for r in hit.select("file").distinct().collect()]
+    rows = spark.read.option("basePath", path).parquet(*files) if files else spark.read.parquet(path).limit(0)
+    return rows.filter((F.col("trait") == trait) & (F.col("contig") == contig) & F.col("position").between(first, last))
+
+
 def read_grid(spark: SparkSession, path: str, keys: str) -> DataFrame:
     """A table written by :func:`lociary.sources.writers.write_grid`; ``keys`` is the DDL of its key columns, which stand last."""
     rows = spark.read.parquet(path)

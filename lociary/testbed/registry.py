@@ -12,7 +12,7 @@ from lociary.functions.stats import critical_sample_size_ratio_form
 from lociary.functions.text import recode
 from lociary.operators import roc
 from lociary.operators.keyed import attach, settle, shared_folder
-from lociary.operators.ordered import rank_within, top_fractions
+from lociary.operators.ordered import level_ranks, rank_within, top_fractions
 from lociary.operators.reshape import rows_to_arrays
 from lociary.operators.sketch import merge_sketches, quantile_sketches, sketch_quantiles
 from lociary.plans import annotation, cohorts, effects, loci, panels, posteriors, reports, simulation
@@ -1035,24 +1035,57 @@ def _(spark, d):
     return big(posteriors.cs_merge_labels(named, domain(spark, d, "csm"), 50000))
 
 
+_BUILDS = {"one": "GRCh37", "two": "GRCh38", "three": "GRCh37"}
+
+
+@query(
+    "merge_cohorts",
+    """WITH named AS (SELECT *, CASE cohort_no WHEN 0 THEN 'one' WHEN 1 THEN 'two' ELSE 'three' END AS cohort, split_part(variant, ':', 1) AS c,
+           split_part(variant, ':', 2)::BIGINT + CASE WHEN cohort_no = 1 THEN 500 ELSE 0 END AS p, split_part(variant, ':', 3) || ':' || split_part(variant, ':', 4) AS alleles
+         FROM posterior_raw WHERE NOT contains(variant, '<')),
+       clean AS (SELECT cohort, method_no, CASE trait WHEN 'CHF_x' THEN 'HF' WHEN 'GOUT_x' THEN 'Gout' WHEN 'VTE_x' THEN 'VTE' ELSE 'Asthma' END AS trait, region, prob AS pip,
+           CASE WHEN cohort = 'two' THEN 'chr' ELSE '' END || c || ':' || p || ':' || alleles AS here, CASE WHEN cs = -1 OR low_purity = 1 THEN -1 ELSE cs END AS cs_id
+         FROM named WHERE NOT (c = '6' AND p BETWEEN 25000000 AND 36000000)),
+       merged AS (SELECT cohort, trait, here, s.pip AS sp, f.pip AS fp, coalesce(s.region, f.region) AS region, s.cs_id FROM (SELECT * FROM clean WHERE method_no = 0) s
+         FULL JOIN (SELECT * FROM clean WHERE method_no = 1) f USING (cohort, trait, here)),
+       pips AS (SELECT *, CASE WHEN sp IS NULL THEN fp WHEN fp IS NULL THEN sp WHEN abs(sp - fp) < 0.05 THEN (sp + fp) / 2 END AS pip FROM merged)
+       SELECT trait, m.variant, here AS variant_b37, cohort, round(pip, 6) AS pip, region, cs_id FROM pips LEFT JOIN post_build_map m ON m.original_variant = here WHERE cohort <> 'two'
+       UNION ALL SELECT trait, here, m.original_variant, cohort, round(pip, 6), region, cs_id FROM pips LEFT JOIN post_build_map m ON m.variant = here WHERE cohort = 'two'""",
+    "posterior_raw", "post_build_map",
+)
+def _(spark, d):
+    """All cohorts in one pass, the second one in the other build."""
+    raw = domain(spark, d, "posterior_raw")
+    moved = F.regexp_replace("variant", r"^([^:]+):\d+", "")
+    newer = F.concat(F.lit("chr"), F.split_part("variant", F.lit(":"), F.lit(1)), F.lit(":"), (F.split_part("variant", F.lit(":"), F.lit(2)).cast("bigint") + 500).cast("string"), moved)
+    rows = raw.select(
+        F.element_at(F.array(*[F.lit(c) for c in _BUILDS]), F.col("cohort_no").cast("int") + 1).alias("cohort"),
+        F.when(F.col("method_no") == 0, "SUSIE").otherwise("FINEMAP").alias("method"), "trait", "region",
+        F.when(F.col("cohort_no") == 1, newer).otherwise(F.col("variant")).alias("variant"), "prob", "cs", "low_purity",
+    )
+    return big(r6(posteriors.merge_cohorts(rows, _BUILDS, POST_TRAITS, domain(spark, d, "post_build_map")), "pip"))
+
+
 # --- cohorts -----------------------------------------------------------------------------------------
 
 
-def _pairs(spark, d):
-    sizes = cohorts.cohort_sizes(domain(spark, d, "sample_sizes")).filter(F.col("trait") == "BUILDING").drop("trait")
-    return cohorts.cohort_z_pairs(domain(spark, d, "cohort_effects").drop("key"), domain(spark, d, "variant_pairs"), sizes)
+def _trait_pairs(spark, d):
+    """The given effects carry no trait, so every trait has all of them."""
+    sizes = cohorts.cohort_sizes(domain(spark, d, "sample_sizes"))
+    traits = settle(sizes.select("trait").distinct().withColumn("every", F.lit(1)))
+    effects = attach(domain(spark, d, "cohort_effects").drop("key").withColumn("every", F.lit(1)), traits, ["every"], "inner", stored=True).drop("every")
+    return cohorts.cohort_z_pairs(effects, domain(spark, d, "variant_pairs"), sizes)
 
 
-@query(
-    "cohort_z_pairs",
-    """SELECT pair_id, cohort, ancestry, round(coalesce(b1, 8), 6) AS variant1_beta, round(se1, 6) AS variant1_sebeta,
+_TRAIT_PAIRS = """SELECT trait, pair_id, cohort, ancestry, round(coalesce(b1, 8), 6) AS variant1_beta, round(se1, 6) AS variant1_sebeta,
          round(coalesce(b2, 8), 6) AS variant2_beta, round(se2, 6) AS variant2_sebeta, n, n_case, n_control, round(neff, 6) AS neff, missingness,
          round(CASE WHEN b1 IS NULL THEN 0 ELSE b1 / se1 END, 8) AS variant1_z, round(CASE WHEN b2 IS NULL THEN 0 ELSE b2 / se2 END, 8) AS variant2_z,
-         CASE WHEN missingness <> 'Both exist' OR cohort = 'Meta' THEN cohort ELSE '' END AS label FROM z_pairs""",
-    "z_pairs",
-)
+         CASE WHEN missingness <> 'Both exist' OR cohort = 'Meta' THEN cohort ELSE '' END AS label FROM trait_z_pairs"""
+
+
+@query("cohort_z_pairs", _TRAIT_PAIRS, "trait_z_pairs")
 def _(spark, d):
-    rows = _pairs(spark, d).withColumns({c: F.round(c, 8) for c in ("variant1_z", "variant2_z")})
+    rows = _trait_pairs(spark, d).withColumns({c: F.round(c, 8) for c in ("variant1_z", "variant2_z")})
     return r6(rows, *[f"variant{s}_{c}" for s in (1, 2) for c in ("beta", "sebeta")], "neff")
 
 
@@ -1067,40 +1100,11 @@ def _(spark, d):
     return r6(cohorts.cohort_sizes(domain(spark, d, "sample_sizes")), "neff")
 
 
-@query(
-    "pooled_neff",
-    """SELECT *, n_case + n_control AS n, round(n_case::DOUBLE / nullif(n_case + n_control, 0), 6) AS phi,
-         round((n_case + n_control) * (n_case::DOUBLE / nullif(n_case + n_control, 0)) * (1 - n_case::DOUBLE / nullif(n_case + n_control, 0)), 6) AS neff
-       FROM (SELECT pair_id, CAST(sum(n_case) AS BIGINT) AS n_case, CAST(sum(n_control) AS BIGINT) AS n_control
-             FROM z_pairs WHERE se2 IS NOT NULL AND cohort <> 'Meta' GROUP BY pair_id)""",
-    "z_pairs",
-)
-def _(spark, d):
-    return r6(cohorts.pooled_neff(_pairs(spark, d)), "phi", "neff")
-
-
-def _trait_pairs(spark, d):
-    """The given effects carry no trait, so every trait has all of them."""
-    sizes = cohorts.cohort_sizes(domain(spark, d, "sample_sizes"))
-    effects = domain(spark, d, "cohort_effects").drop("key").crossJoin(F.broadcast(sizes.select("trait").distinct()))
-    return cohorts.cohort_z_pairs(effects, domain(spark, d, "variant_pairs"), sizes)
-
-
-@query(
-    "trait_z_pairs",
-    """SELECT trait, pair_id, cohort, ancestry, round(coalesce(b1, 8), 6) AS variant1_beta, round(se1, 6) AS variant1_sebeta,
-         round(coalesce(b2, 8), 6) AS variant2_beta, round(se2, 6) AS variant2_sebeta, n, n_case, n_control, round(neff, 6) AS neff, missingness,
-         round(CASE WHEN b1 IS NULL THEN 0 ELSE b1 / se1 END, 8) AS variant1_z, round(CASE WHEN b2 IS NULL THEN 0 ELSE b2 / se2 END, 8) AS variant2_z,
-         CASE WHEN missingness <> 'Both exist' OR cohort = 'Meta' THEN cohort ELSE '' END AS label FROM trait_z_pairs""",
-    "trait_z_pairs",
-)
-def _(spark, d):
-    rows = _trait_pairs(spark, d).withColumns({c: F.round(c, 8) for c in ("variant1_z", "variant2_z")})
-    return r6(rows, *[f"variant{s}_{c}" for s in (1, 2) for c in ("beta", "sebeta")], "neff")
+QUERIES["trait_z_pairs"], ORACLES["trait_z_pairs"] = QUERIES["cohort_z_pairs"], ORACLES["cohort_z_pairs"]
 
 
 @query(
-    "trait_pooled_neff",
+    "pooled_neff",
     """SELECT *, n_case + n_control AS n, round(n_case::DOUBLE / nullif(n_case + n_control, 0), 6) AS phi,
          round((n_case + n_control) * (n_case::DOUBLE / nullif(n_case + n_control, 0)) * (1 - n_case::DOUBLE / nullif(n_case + n_control, 0)), 6) AS neff
        FROM (SELECT trait, pair_id, CAST(sum(n_case) AS BIGINT) AS n_case, CAST(sum(n_control) AS BIGINT) AS n_control
@@ -1111,6 +1115,9 @@ def _(spark, d):
     return r6(cohorts.pooled_neff(_trait_pairs(spark, d)), "phi", "neff")
 
 
+QUERIES["trait_pooled_neff"], ORACLES["trait_pooled_neff"] = QUERIES["pooled_neff"], ORACLES["pooled_neff"]
+
+
 # --- panels ------------------------------------------------------------------------------------------
 
 
@@ -1284,6 +1291,23 @@ def _(spark, d):
     )
 
 
+_SEGMENT_TRAITS = {"AUTOMOBILE": "A", "BUILDING": "N", "FURNITURE": "R"}
+
+
+@query(
+    "cohort_metadata_loci",
+    "SELECT m.trait, CASE WHEN l.n IS NULL THEN description END AS description, l.n AS n_loci, m.* EXCLUDE (trait, n_loci, description) FROM (\n"
+    + _metadata_sql().replace("FROM sample_sizes)", "FROM (SELECT * REPLACE (CASE trait WHEN 'AUTOMOBILE' THEN 'A' WHEN 'BUILDING' THEN 'N' WHEN 'FURNITURE' THEN 'R' ELSE trait END AS trait) FROM sample_sizes))")
+    + "\n) m LEFT JOIN (SELECT trait_short, count(*) AS n FROM predicted GROUP BY trait_short) l ON l.trait_short = m.trait",
+    "sample_sizes", "predicted",
+)
+def _(spark, d):
+    """Three segments under the names of traits that have loci."""
+    sizes = domain(spark, d, "sample_sizes").withColumn("trait", recode(F.col("trait"), _SEGMENT_TRAITS))
+    found = reports.cohort_metadata(sizes, reports.loci_per_trait(predicted(spark, d)), bridge.SEGMENT_DESCRIPTIONS, ["Total", *bridge.REGIONS])
+    return found.withColumn("description", F.when(F.col("n_loci").isNull(), F.col("description")))
+
+
 @query("loci_per_trait", "SELECT trait_short AS trait, count(*) AS n_loci FROM predicted GROUP BY trait_short", "predicted")
 def _(spark, d):
     return reports.loci_per_trait(predicted(spark, d))
@@ -1316,6 +1340,28 @@ def _(spark, d):
     return r6(reports.report_predictions(predicted(spark, d), domain(spark, d, "sumstats")), "max_pip", "max_pip_nonsyn")
 
 
+@query(
+    "report_predictions_meta",
+    """SELECT trait_short AS trait, region, CASE prediction WHEN 'SL' THEN 'Suspicious loci' WHEN 'NSL' THEN 'Non-suspicious loci' ELSE 'NA' END AS prediction,
+         n_total, n_r2, n_dentist_outlier, fraction, n_nonsyn, round(max_pip, 6) AS max_pip, round(max_pip_nonsyn, 6) AS max_pip_nonsyn, cs_nonsyn, cs_99_nonsyn
+       FROM predicted WHERE trait IN (SELECT study_accession FROM studies WHERE is_meta_analysis)""",
+    "predicted", "studies",
+)
+def _(spark, d):
+    return r6(reports.report_predictions(predicted(spark, d), studies=domain(spark, d, "studies")), "max_pip", "max_pip_nonsyn")
+
+
+@query(
+    "cohort_levels",
+    """SELECT cohort, row_number() OVER (ORDER BY cohort = 'Meta', cohort) AS level
+       FROM (SELECT DISTINCT CASE WHEN kind = 'Total' THEN 'Meta' ELSE biobank END AS cohort FROM sample_sizes)""",
+    "sample_sizes",
+)
+def _(spark, d):
+    """The cohorts in order, the meta-analysis last."""
+    return level_ranks(cohorts.cohort_sizes(domain(spark, d, "sample_sizes")), "cohort", last=("Meta",))
+
+
 @query(
     "nonsyn_in_ld",
     "SELECT trait, region, position, variant FROM sumstats WHERE r * r > 0.6 AND consequence IN ('pLoF', 'Missense')",
@@ -1351,6 +1397,46 @@ def _(spark, d):
     return rows.withColumn("has_path", F.col("path").contains("/tsv-")).drop("path")
 
 
+@query(
+    "source_layouts",
+    """SELECT site, cohort_no, variant, round(prob, 6) AS prob, CASE WHEN cohort_no = 0 THEN round(round(prob, 6) + 1, 6) END AS alpha1,
+         CASE WHEN cohort_no = 0 THEN cs END AS alpha2, CASE WHEN cohort_no < 2 THEN low_purity END AS low_purity FROM posterior_raw""",
+    "posterior_raw",
+)
+def _(spark, d):
+    """Three cohorts' files, each with columns of its own in an order of its own, as one table."""
+    raw = domain(spark, d, "posterior_raw").withColumn("prob", F.round("prob", 6))
+    target = f"{shared_folder(spark)}/layouts-{uuid.uuid4().hex}"
+    with_effects = raw.withColumns({"alpha1": F.round(F.col("prob") + 1, 6), "alpha2": F.col("cs")})
+    layouts = [["variant", "alpha2", "site", "prob", "alpha1", "cohort_no", "low_purity"], ["low_purity", "cohort_no", "variant", "site", "prob"], ["site", "variant", "mean", "prob", "cohort_no"]]
+    for number, columns in enumerate(layouts):
+        writers.write_tsv(with_effects.filter(F.col("cohort_no") == number).select(*columns), f"{target}/{number}")
+    schema = "site bigint, cohort_no bigint, variant string, prob double, alpha1 double, alpha2 bigint, low_purity bigint"
+    return readers.read_tsv_layouts(spark, f"{target}/*", schema, required=["site", "variant", "prob"])
+
+
+@query(
+    "source_positions",
+    """WITH r AS (SELECT trait, contig, quantile_disc(position, 0.25) AS a, quantile_disc(position, 0.3) AS b FROM sumstats
+         WHERE trait = (SELECT max(trait) FROM sumstats) GROUP BY trait, contig)
+       SELECT s.trait, s.contig, s.position, s.variant FROM sumstats s JOIN r ON s.trait = r.trait AND s.contig = r.contig AND s.position BETWEEN a AND b
+       WHERE s.contig = (SELECT min(contig) FROM r)""",
+    "sumstats",
+)
+def _(spark, d):
+    """A stretch of one contig, out of only those files that the index names."""
+    rows = domain(spark, d, "sumstats")
+    target = f"{shared_folder(spark)}/locus-{uuid.uuid4().hex}"
+    writers.write_by_locus(rows, target)
+    index = settle(readers.region_index(spark, target))
+    trait = rows.agg(F.max("trait")).first()[0]
+    own = rows.filter(F.col("trait") == trait)
+    contig = own.agg(F.min("contig")).first()[0]
+    ends = own.filter(F.col("contig") == contig).selectExpr("percentile_disc(0.25) WITHIN GROUP (ORDER BY position)", "percentile_disc(0.3) WITHIN GROUP (ORDER BY position)").first()
+    found = readers.read_positions(spark, target, index, trait, contig, int(ends[0]), int(ends[1]))
+    return found.select("trait", "contig", "position", "variant")
+
+
 @query("source_block_gzip", "SELECT l_orderkey, l_linenumber, l_comment_length, round(l_extendedprice, 6) AS l_extendedprice, l_returnflag FROM ("
        "SELECT *, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber END AS l_comment_length FROM lineitem)")
 def _(spark, d):

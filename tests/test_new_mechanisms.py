@@ -121,3 +121,37 @@ def test_null_values_and_null_groups(spark, join_path):
     truths = scored.select("g", (F.col("k") % 2 == 0).alias("t"), "k")
     curve = roc.roc_curve(roc.score_counts(truths, ["g"], "t", "k"), ["g"]).collect()
     assert sum(r["g"] is None for r in curve) == 12 and sum(r["g"] == "p" for r in curve) == 12
+
+
+def test_levels_from_the_data(spark):
+    df = spark.createDataFrame([(x,) for x in ["b", "Meta", "c", "a", None, "b", "Other"]], "x string")
+    assert dict(ordered.level_ranks(df, "x", ("c", "none"), ("Other", "Meta")).collect()) == {"c": 1, "a": 2, "b": 3, "Other": 4, "Meta": 5}
+    assert dict(ordered.level_ranks(df, "x").collect()) == {"Meta": 1, "Other": 2, "a": 3, "b": 4, "c": 5}
+
+
+def test_index_leaves_out_files(spark, tmp_path):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, "t").otherwise("u").alias("trait"), (F.col("id") % 3).cast("string").alias("contig"), F.col("id").alias("position"),
+        F.concat(F.lit("r"), F.floor(F.col("id") / 500).cast("string")).alias("region"),
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        writers.write_by_locus(rows, f"{tmp_path}/v")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    index = readers.region_index(spark, f"{tmp_path}/v")
+    found = readers.read_positions(spark, f"{tmp_path}/v", index, "t", "1", 100, 220)
+    assert sorted(r["position"] for r in found.collect()) == [p for p in range(100, 221) if p % 2 == 0 and p % 3 == 1]
+    assert 0 < len(found.inputFiles()) < len(spark.read.parquet(f"{tmp_path}/v").inputFiles())
+    assert readers.read_positions(spark, f"{tmp_path}/v", index, "none", "1", 0, 9).count() == 0
+    assert readers.read_positions(spark, f"{tmp_path}/v", index, "t", "1", 0, 9).columns == spark.read.parquet(f"{tmp_path}/v").columns
+
+
+def test_layouts_are_read_by_each_header(spark, tmp_path):
+    for name, text in {"a": "x\ty\tz\n1\tone\tNA\n2\t\t2.5\n", "b": "z\tx\n0.5\t3\n\n", "c": "x\nx\n4\n", "d": ""}.items():
+        (tmp_path / f"{name}.tsv").write_text(text)
+    got = readers.read_tsv_layouts(spark, str(tmp_path), "x int, y string, z double, w bigint", required=["x"], source="file")
+    assert got.dtypes == [("x", "int"), ("y", "string"), ("z", "double"), ("w", "bigint"), ("file", "string")]
+    assert sorted((r[:4] for r in got.collect()), key=str) == [(1, "one", None, None), (2, None, 2.5, None), (3, None, 0.5, None), (4, None, None, None)]
+    with pytest.raises(Exception, match="no column y"):
+        readers.read_tsv_layouts(spark, str(tmp_path), "x int, y string", required=["y"]).collect()
