@@ -64,10 +64,10 @@ FURNITURE_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article articlebody body content entry main post prose story text".split())
 
-FEATURES = ["bias", "furniture", "article", "heading", "list", "table", "prose", "container", "furniture word", "content word", "text", "length", "links", "ends", "root"]
-#: Where the weights are drawn to: what the sample shows nothing of keeps these.
-PRIOR = np.array([0.0, -6.0, 30.0, 2.0, -0.5, -0.5, 1.0, -0.5, -5.0, 2.0, 0.0, 0.2, -2.0, 0.3, 0.0])
-PRIOR_PAIRS = np.array([[1.5, -4.5], [0.0, 1.0]])  # parent by child
+FEATURES = ["bias", "furniture", "article", "heading", "list", "table", "prose", "container", "furniture word", "content word", "text", "length", "links", "ends", "root", "mixed words"]
+#: Where the weights are drawn to: signs only, of what the sample shows nothing of.
+PRIOR = np.array([0.0, -3.0, 3.0, 0.5, 0.0, 0.0, 0.5, 0.0, -3.0, 1.0, 0.0, 0.2, -1.0, 0.3, 0.0, -0.5])
+PRIOR_PAIRS = np.array([[1.0, -2.0], [0.0, 1.0]])  # parent by child
 PULL = 0.02
 KNOWN = 60.0
 
@@ -246,8 +246,7 @@ def features(tree: Tree) -> np.ndarray:
     for i, (tag, words) in enumerate(zip(tree.tag, tree.words)):
         kind = next((k for k, tags in enumerate(kinds) if tag in tags), len(kinds))
         rows[i, 1 + kind] = 1
-        rows[i, 8] = words & 1 and tag != "body"
-        rows[i, 9] = (words >> 1) & (1 - (words & 1))
+        rows[i, 8 if words == 1 else 9 if words == 2 else 15] = words > 0 and tag != "body"
     rows[:, 10] = own > 0
     rows[:, 11] = np.minimum(np.log1p(own), 7) / 2
     rows[:, 12] = np.where(own > 0, np.minimum(np.array(tree.links) / np.maximum(own, 1), 1), 0)
@@ -336,13 +335,45 @@ def labels_of(tree: Tree, document: str) -> np.ndarray:
     return label
 
 
+def _varied(rows: np.ndarray, parent: np.ndarray, label: np.ndarray, rng: np.random.Generator):
+    """The tree with fewer paragraphs of content, and some of those as cells, captions, plain blocks or under mixed words."""
+    rows, parent, kept = rows.copy(), parent.copy(), np.ones(len(rows), bool)
+    prose = np.flatnonzero((rows[:, 6] == 1) & (label == 1) & ~np.isin(np.arange(len(rows)), parent))
+    if len(prose) > 1 and rng.random() < 0.6:
+        kept[rng.permutation(prose)[rng.integers(1, min(4, len(prose))) :]] = False
+    added, parents = [], []
+
+    def above(node: int, kind: int) -> None:
+        row = np.zeros(len(FEATURES))
+        row[0] = row[kind] = 1
+        added.append(row)
+        parents.append(int(parent[node]))
+        parent[node] = len(rows) + len(added) - 1
+
+    for node in prose[kept[prose]].tolist():
+        draw = rng.random()
+        if draw > 0.8:  # in a block of its own, which may carry words of both kinds
+            above(node, 7)
+            added[-1][15] = rng.random() < 0.4
+        elif draw < 0.36:
+            kind = 5 if draw < 0.14 else 6 if draw < 0.22 else 7
+            rows[node, 6], rows[node, kind] = 0, 1
+            if kind != 7:  # a cell or a caption: short, mostly no sentence
+                rows[node, 11], rows[node, 13] = np.log1p(rng.integers(2, 60)) / 2, rng.random() < 0.2
+                above(node, 7 if kind == 6 else 5)
+    rows = np.vstack([rows, *added]) if added else rows
+    parent, label, kept = np.append(parent, parents).astype(np.int64), np.append(label, np.ones(len(added), np.int64)), np.append(kept, np.ones(len(added), bool))
+    place = np.cumsum(kept) - 1
+    return rows[kept], np.where(parent[kept] >= 0, place[parent[kept]], -1), label[kept]
+
+
 def _augmented(rows: np.ndarray, parent: np.ndarray, label: np.ndarray, rng: np.random.Generator, bare: bool):
     """The tree again with furniture of paragraphs under the root or the content; ``bare``: its content under a plain container."""
-    rows = rows.copy()
+    rows, parent, label = _varied(rows, parent, label, rng)
     plain = rows[:, 2] == 1
     if bare:
         rows[plain, 2], rows[plain, 7] = 0, 1
-        rows[plain, 9] = rng.random() < 0.4
+        rows[plain, rng.choice([0, 9, 15], p=[0.5, 0.3, 0.2])] = 1
     prose = np.flatnonzero((rows[:, 6] == 1) & (label == 1))
     hosts = np.flatnonzero((rows[:, 10] == 0) & (rows[:, 14] == 0) & (label == 1)).tolist() + [int(np.flatnonzero(rows[:, 14])[-1])]
     if not len(prose):
@@ -390,7 +421,7 @@ def fit(pages: list[tuple[str, str]], seed: int = 3) -> Model:
         rows, parent, label = features(tree), np.array(tree.parent), labels_of(tree, document)
         if not label.any():
             continue
-        for r, p, y in ((rows, parent, label), *(_augmented(rows, parent, label, rng, bare) for bare in (False, True))):
+        for r, p, y in ((rows, parent, label), *(_augmented(rows, parent, label, rng, bare) for bare in (False, True, True))):
             trees.append(r)
             labels.append(y)
             parents.append(np.where(p >= 0, p + offset, -1))
