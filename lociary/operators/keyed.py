@@ -42,6 +42,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[application]
 
 
+_written: dict[str, list[str]] = {}
+
+
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, remembered for :func:`discard_stored`."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard_stored(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application has stored so far; their number.
+
+    For the end of an application, or between steps whose results are written elsewhere: DataFrames that still read
+    such a table fail afterwards. Works on any file system that Spark can write.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    configuration = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
+    return len(paths)
+
+
 def _size_columns(df: DataFrame) -> list[Column]:
     """Row count and true length of the text columns."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -62,7 +86,7 @@ def settle(df: DataFrame) -> DataFrame:
 def _settle_measured(df: DataFrame) -> tuple[DataFrame, int]:
     """The stored table and its size, both from the one job that writes it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    path = new_table_path(spark, "settled")
     seen = Observation()
     df.observe(seen, *_size_columns(df)).write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)

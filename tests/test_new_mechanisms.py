@@ -9,7 +9,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from lociary.operators import density, ordered, reshape, roc, sketch
+from lociary.operators import density, keyed, ordered, reshape, roc, sketch
 from lociary.plans import effects, panels
 from lociary.sources import readers, writers
 
@@ -155,3 +155,14 @@ def test_layouts_are_read_by_each_header(spark, tmp_path):
     assert sorted((r[:4] for r in got.collect()), key=str) == [(1, "one", None, None), (2, None, 2.5, None), (3, None, 0.5, None), (4, None, None, None)]
     with pytest.raises(Exception, match="no column y"):
         readers.read_tsv_layouts(spark, str(tmp_path), "x int, y string", required=["y"]).collect()
+
+
+def test_stored_tables_can_be_discarded(spark, tmp_path):
+    kept = spark.range(3)
+    kept.write.parquet(f"{tmp_path}/kept")
+    stored = keyed.settle(kept)
+    (file,) = {f.rsplit("/", 1)[0] for f in stored.inputFiles()}
+    assert glob.glob(file.removeprefix("file:").replace("//", "/"))
+    assert keyed.discard_stored(spark) > 0 and keyed.discard_stored(spark) == 0
+    assert not glob.glob(file.removeprefix("file:").replace("//", "/"))
+    assert keyed.settle(spark.read.parquet(f"{tmp_path}/kept")).count() == 3
