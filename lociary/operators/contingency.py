@@ -6,7 +6,7 @@ row) and ``hits2, total2``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lociary.functions.stats import Z_975, log_factorial
 from lociary.operators.keyed import attach, settle
@@ -14,6 +14,7 @@ from lociary.operators.ordered import asof_join, running_totals
 
 FISHER_BLOCK = 4096
 DRAW_BLOCK = 256
+ZERO_LOG = 750.0  # exp(-750) is zero in double precision
 
 
 def risk_ratio_columns() -> dict[str, Column]:
@@ -32,22 +33,35 @@ def _uniform(*parts: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def _support(n: Column, p: Column) -> tuple[Column, Column]:
+    """First and last k whose binomial probability may differ from zero in double precision.
+
+    Bernstein's inequality bounds the probability at distance t from the mean by exp(-t^2 / (2 (variance + t / 3))), so
+    the width grows with the square root of n and what lies outside adds exactly nothing.
+    """
+    reach = ZERO_LOG / 3 + F.sqrt(ZERO_LOG**2 / 9 + 2 * ZERO_LOG * n * p * (1 - p))
+    return F.greatest(F.lit(0), F.floor(n * p - reach)).cast("bigint"), F.least(n, F.ceil(n * p + reach)).cast("bigint")
+
+
 def _binomial_draws(sides: DataFrame, keys: list[str], uniforms: DataFrame) -> DataFrame:
     """The smallest k whose cumulative probability reaches each draw's ``u``, for any ``n`` and ``p``.
 
-    ``sides (keys, side, n, p)``, ``uniforms (keys, side, b, u)``. The whole support 0 .. n is laid out in blocks of
-    ``DRAW_BLOCK`` probabilities, so no array grows with n; a draw reads its block off the sorted sums of the blocks, as
+    ``sides (keys, side, n, p)``, ``uniforms (keys, side, b, u)``. Every k of a probability above zero (:func:`_support`) is laid out in blocks of
+    ``DRAW_BLOCK`` probabilities, so no array grows with n and their number grows with its square root; a draw reads its block off the sorted sums of the blocks, as
     the last that begins below it, and its place off those inside.
     """
     n, p = F.col("n"), F.col("p")
-    last = F.floor(n / DRAW_BLOCK)
-    blocks = sides.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition(*keys, "side", "block")
-    k = F.transform(F.sequence(F.col("block") * DRAW_BLOCK, F.least(n, (F.col("block") + 1) * DRAW_BLOCK - 1)), lambda i: i.cast("bigint"))
-    log_pmf = lambda i: log_factorial(n) - log_factorial(i) - log_factorial(n - i) + i * F.ln(p) + (n - i) * F.ln(1 - p)
-    blocks = blocks.withColumn("pmf", F.transform(k, lambda i: F.exp(log_pmf(i))))
-    adds = lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + x))
-    blocks = settle(blocks.withColumn("cdf", F.aggregate("pmf", F.array().cast("array<double>"), adds)).withColumn("mass", F.element_at("cdf", -1)).drop("pmf"))
+    first, last = [F.floor(k / DRAW_BLOCK) for k in _support(n, p)]
+    blocks = sides.withColumn("block", F.explode(F.sequence(first, last))).repartition(*keys, "side", "block")
+    places = F.sequence(F.col("block") * DRAW_BLOCK, F.least(n, (F.col("block") + 1) * DRAW_BLOCK - 1))
+    i = F.col("k")
+    pmf = F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) + i * F.ln(p) + (n - i) * F.ln(1 - p))
     on = keys + ["side"]
+    # one row per k, summed and packed again where its block lies
+    inside = Window.partitionBy(*on, "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    sums_inside = blocks.withColumn("k", F.explode(places)).withColumn("upto", F.sum(pmf).over(inside))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("k", "upto"))), lambda x: x["upto"])
+    blocks = settle(sums_inside.groupBy(*on, "block").agg(packed.alias("cdf"), F.max("upto").alias("mass")))
     sums = running_totals(blocks.select(*on, "block", "mass"), on, [F.col("block")], {"upto": "mass"})
     totals = blocks.groupBy(*on).agg(F.sum("mass").alias("total"))
     before = F.col("upto") - F.col("mass")

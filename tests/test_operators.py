@@ -203,6 +203,18 @@ def test_fisher_and_risk_ratio(spark):
     assert rr[0][0] == pytest.approx((8 / 12) / (1 / 10)) and rr[1] == (None, None)
 
 
+def test_bootstrap_lays_out_every_possible_count_and_no_more(spark):
+    cases = [(1, 0.5), (30, 0.01), (5_000, 0.4), (5_000, 0.0002), (100_000, 0.003), (2_000_000_000, 0.3)]
+    df = spark.createDataFrame(cases, "n long, p double")
+    for n, p, first, last in df.select("n", "p", *contingency._support(F.col("n"), F.col("p"))).collect():
+        pmf = lambda k: math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p))
+        assert (first == 0 or pmf(first - 1) == 0) and (last == n or pmf(last + 1) == 0)
+    assert last - first < 5_000_000
+    sides = spark.createDataFrame([("x", 600_000_000, 2_000_000_000, 650_000_000, 2_000_000_000)], "k string, hits1 long, total1 long, hits2 long, total2 long")
+    (_, lower, upper), = contingency.bootstrap_risk_ratio(sides, ["k"], 400).collect()
+    assert lower == pytest.approx(13 / 12 * math.exp(-1.96 * 4.7e-5), rel=2e-5) and upper == pytest.approx(13 / 12 * math.exp(1.96 * 4.7e-5), rel=2e-5)
+
+
 def test_bootstrap_interval_is_repeatable_and_brackets_the_ratio(spark):
     df = spark.createDataFrame([("a", 20, 100, 45, 100), ("b", 3000, 10000, 3600, 10000)], "k string, hits1 bigint, total1 bigint, hits2 bigint, total2 bigint")
     first = rows(contingency.bootstrap_risk_ratio(df, ["k"], 2000), "k", "rr_lower", "rr_upper")
