@@ -46,9 +46,10 @@ def _support(n: Column, p: Column) -> tuple[Column, Column]:
 def _binomial_draws(sides: DataFrame, keys: list[str], uniforms: DataFrame) -> DataFrame:
     """The smallest k whose cumulative probability reaches each draw's ``u``, for any ``n`` and ``p``.
 
-    ``sides (keys, side, n, p)``, ``uniforms (keys, side, b, u)``. Every k of a probability above zero (:func:`_support`) is laid out in blocks of
-    ``DRAW_BLOCK`` probabilities, so no array grows with n and their number grows with its square root; a draw reads its block off the sorted sums of the blocks, as
-    the last that begins below it, and its place off those inside.
+    ``sides (keys, side, n, p)``, ``uniforms (keys, side, b, u)``. Every k of a probability above zero
+    (:func:`_support`) is laid out in blocks of ``DRAW_BLOCK`` probabilities, so no array grows with n and the number
+    of blocks grows with its square root; a draw reads its block off the sorted sums of the blocks, as the last that
+    begins below it, and its place off those inside.
     """
     n, p = F.col("n"), F.col("p")
     first, last = [F.floor(k / DRAW_BLOCK) for k in _support(n, p)]

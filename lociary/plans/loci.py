@@ -26,7 +26,7 @@ from lociary.functions.stats import (
 from lociary.functions.text import before_first, recode
 from lociary.operators.density import density
 from lociary.operators.contingency import bootstrap_risk_ratio, fisher_exact, risk_ratio_columns
-from lociary.operators.keyed import attach, settle
+from lociary.operators.keyed import attach, broadcast_bound, measured_bytes, settle
 from lociary.operators.ordered import exact_quantiles, rank_within
 from lociary.operators.sweep import calibration_sweep
 
@@ -115,9 +115,40 @@ def with_external_pips(variants: DataFrame, gwas: DataFrame, eqtl: DataFrame, st
     return variants
 
 
-def locus_summary(variants: DataFrame, leads: DataFrame, keys: list[str] = LOCUS) -> DataFrame:
+def with_external_pips_at_once(variants: DataFrame, gwas: DataFrame, eqtl: DataFrame) -> DataFrame:
+    """The same for wide rows and stored tables: the narrow tables are joined to each other first if they cannot be
+    broadcast, so the variants move at most once."""
+    named = [t.select("variant", F.col("max_pip").alias(n)) for n, t in (("max_pip_gwas", gwas), ("max_pip_eqtl", eqtl))]
+    bound = broadcast_bound(variants.sparkSession)
+    if all(measured_bytes(t, bound) <= bound for t in named):
+        return with_external_pips(variants, gwas, eqtl, stored=True)
+    return attach(variants, named[0].join(named[1], ["variant"], "full_outer"), ["variant"], "left")
+
+
+def locus_external_pips(variants: DataFrame, leads: DataFrame, gwas: DataFrame, eqtl: DataFrame, keys: list[str] = LOCUS) -> DataFrame:
+    """External posteriors of each locus: the largest of its credible variants (``cs``, ``cs_99``) and those of its lead.
+
+    Only leads and credible variants meet the external tables, which are stored; all other rows stay where they are.
+    """
+    credible = variants.filter(F.col("cs") | F.col("cs_99")).select(*keys, "variant", "cs", "cs_99", F.lit(False).alias("__lead"))
+    own = leads.select(*keys, F.col("lead_variant").alias("variant"), F.lit(False).alias("cs"), F.lit(False).alias("cs_99"), F.lit(True).alias("__lead"))
+    found = with_external_pips(credible.unionByName(own), gwas, eqtl, stored=True)
+    of_lead = [F.max(F.when(F.col("__lead"), F.col(f"max_pip_{s}"))).alias(f"lead_max_pip_{s}") for s in ("gwas", "eqtl")]
+    return settle(found.groupBy(*keys).agg(*_credible_maxima(), *of_lead))
+
+
+def _credible_maxima() -> list[Column]:
+    return [
+        F.max(F.when(F.col(level), F.col(f"max_pip_{source}"))).alias(f"{level}_max_pip_{source}")
+        for source in ("gwas", "eqtl")
+        for level in ("cs", "cs_99")
+    ]
+
+
+def locus_summary(variants: DataFrame, leads: DataFrame, keys: list[str] = LOCUS, external: DataFrame | None = None) -> DataFrame:
     """One row per locus. ``leads`` holds the lead variant with its external posteriors
-    (``lead_variant, lead_max_pip_gwas, lead_max_pip_eqtl``).
+    (``lead_variant, lead_max_pip_gwas, lead_max_pip_eqtl``) and the variants ``max_pip_gwas, max_pip_eqtl``, unless
+    ``external`` (:func:`locus_external_pips`) brings all of these.
 
     Every aggregate keeps a fixed-size buffer, so the whole summary is one hash aggregation. Maxima over
     no rows are NULL, any-tests over no rows are False.
@@ -136,14 +167,16 @@ def locus_summary(variants: DataFrame, leads: DataFrame, keys: list[str] = LOCUS
         F.max(F.when(nonsyn, F.col("prob"))).alias("max_pip_nonsyn"),
         any_of(F.when(nonsyn, F.col("cs"))).alias("cs_nonsyn"),
         any_of(F.when(nonsyn, F.col("cs_99"))).alias("cs_99_nonsyn"),
-        F.max(F.when(F.col("cs"), F.col("max_pip_gwas"))).alias("cs_max_pip_gwas"),
-        F.max(F.when(F.col("cs_99"), F.col("max_pip_gwas"))).alias("cs_99_max_pip_gwas"),
-        F.max(F.when(F.col("cs"), F.col("max_pip_eqtl"))).alias("cs_max_pip_eqtl"),
-        F.max(F.when(F.col("cs_99"), F.col("max_pip_eqtl"))).alias("cs_99_max_pip_eqtl"),
+        *([] if external is not None else _credible_maxima()),
         F.min(F.when(linked, neff)).alias("min_neff_r2"),
         F.max(F.when(linked, neff)).alias("max_neff_r2"),
     )
     fraction = F.coalesce(F.try_divide(F.col("n_dentist_outlier").cast("double"), F.col("n_r2")), F.lit(0.0))
+    if external is not None:
+        same = [F.col(f"v.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+        of_credible = [f"{level}_max_pip_{s}" for s in ("gwas", "eqtl") for level in ("cs", "cs_99")]
+        summary = summary.alias("v").join(external.alias("c"), same, "left").select("v.*", *[F.col(f"c.{c}") for c in of_credible])
+        leads = leads.join(external.select(*keys, "lead_max_pip_gwas", "lead_max_pip_eqtl"), keys, "left")
     # both sides are one row per locus; Spark joins them by size
     return (
         summary.withColumn("fraction", fraction)

@@ -202,3 +202,19 @@ def test_sizes_of_every_trait_meet_its_effects(spark):
     got = cohorts.cohort_z_pairs(effects, pairs, cohorts.cohort_sizes(sizes))
     assert rows(got, "trait", "pair_id", "variant1_beta", "variant2_beta", "n_case", "n") == [("t", 1, 0.2, 0.4, 10, 40), ("u", 1, 0.6, 0.8, 5, 10)]
     assert rows(cohorts.pooled_neff(got), "trait", "pair_id", "n", "neff") == [("t", 1, 40, 7.5), ("u", 1, 10, 2.5)]
+
+
+def test_only_leads_and_credible_variants_meet_the_external_tables(spark, join_path):
+    rows = [(t, r, f"v{i}", i / 40, i > 30, i > 20) for t, r in (("t", "r1"), ("t", "r2"), ("t", None)) for i in range(40)] + [("t", "r3", None, 0.0, None, None)]
+    columns = "trait string, region string, variant string, prob double, cs boolean, cs_99 boolean"
+    variants = spark.createDataFrame(rows, columns)
+    leads = spark.createDataFrame([("t", "r1", "v39"), ("t", "r2", "v3"), ("t", None, "v1"), ("t", "r3", None)], "trait string, region string, lead_variant string")
+    tables = [spark.createDataFrame([(f"v{i}", i * share) for i in range(start, 45, 2)] + [(None, 0.5)], "variant string, max_pip double") for start, share in ((0, 0.01), (1, 0.02))]
+    whole = loci.with_external_pips(variants, *tables)
+    at_once = loci.with_external_pips_at_once(variants, *tables)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, at_once.select(*whole.columns).collect()))
+    for r in loci.locus_external_pips(variants, leads, *tables).collect():
+        own = [x for x in whole.collect() if x.region == r.region]
+        best = lambda level, source: max((x[source] for x in own if x[level] and x[source] is not None), default=None)
+        assert r.cs_max_pip_gwas == best("cs", "max_pip_gwas") and r.cs_99_max_pip_eqtl == best("cs_99", "max_pip_eqtl")
+        assert (r.lead_max_pip_gwas, r.lead_max_pip_eqtl) == {"r1": (None, 0.78), "r2": (None, 0.06), None: (None, 0.02), "r3": (None, None)}[r.region]
