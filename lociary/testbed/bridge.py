@@ -305,13 +305,20 @@ def tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES) ->
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
+# wide tables whose rows come from one row each: derived where they are read, so that only the columns in use are made
+ROW_BY_ROW = ("sumstats", "sim_abf", "true_effects", "posteriors")
+
+
 def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One domain table on Spark: derived once per application, stored as the file a pipeline would read."""
+    """One domain table on Spark: the wide ones as a view, the others derived once per application and stored."""
+    text = SQL[name]
+    used = tuple(t for t in TABLES if "{" + t + "}" in text)
+    derive = lambda: spark.sql(text, **{t: spread(df) for t, df in tables(spark, sf_dir, used).items()})
+    if name in ROW_BY_ROW:
+        return derive()
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        text = SQL[name]
-        used = tuple(t for t in TABLES if "{" + t + "}" in text)
-        derived = spark.sql(text, **{t: spread(df) for t, df in tables(spark, sf_dir, used).items()})
+        derived = derive()
         path = f"{shared_folder(spark)}/domain-{uuid.uuid4().hex}/{name}"
         derived.write.parquet(path)
         _STORED[key] = path
@@ -319,9 +326,10 @@ def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Let all cores work on a source of one or two splits; larger sources are left as they are."""
+    """Let all cores work on a source of a few splits; larger sources, also those of one long file, are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if few else df
 
 
 def cte(name: str) -> str:
