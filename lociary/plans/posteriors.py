@@ -208,11 +208,12 @@ def max_pip_per_variant(max_pips: DataFrame, build_map: DataFrame) -> DataFrame:
 
 
 def pip_delta(
-    variants: DataFrame, predicted: DataFrame, cohorts: DataFrame, renames: dict[str, str]
+    variants: DataFrame, predicted: DataFrame, cohorts: DataFrame, renames: dict[str, str], *, stored: bool = False
 ) -> DataFrame:
     """Meta-analysis posterior against the cohorts' largest one, per (trait, variant) both have.
 
-    ``variants`` already carries the external posteriors; ``renames`` maps the cohorts' trait names.
+    ``variants`` or ``cohorts`` already carry the external posteriors; ``renames`` maps the cohorts' trait names.
+    ``stored`` says that ``cohorts`` is a file, so that it is not stored again.
     """
     classed = attach(variants, predicted.select("trait", "region", "prediction"), ["trait", "region"], "left")
     named = cohorts.withColumn("trait", recode(F.col("trait"), renames))
@@ -221,6 +222,7 @@ def pip_delta(
         named,
         ["trait", "variant"],
         "inner",
+        stored=stored,
     )
     return both.withColumns(
         {
