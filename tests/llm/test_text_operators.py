@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,34 @@ def test_network_learns_from_random_embeddings():
     assert ((margins >= toxicity.LOGIT_CUT) == wanted).mean() > 0.9
 
 
+@pytest.mark.parametrize("shard", [4000, 60])
+def test_every_labelled_text_teaches_toxicity(spark, monkeypatch, shard):
+    """The words, the network and the cuts come from all labelled texts, not from a sample of them."""
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 300)
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 2)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", shard)
+    docs, labels = toxic_table(spark)
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1]
+    chosen, rows, prior = toxicity.labelled_texts(docs.unionAll(docs.limit(50)), labels.unionAll(labels.limit(9)))
+    assert sorted(r["doc_id"] for r in chosen.collect()) == ids and prior == sum(i % 4 == 0 for i in ids) / len(ids)
+    texts = {r["doc_id"]: set(r["text"].split()) for r in docs.collect()}
+    counts = toxicity._word_counts(rows)
+    for word in ("vile", "w7"):
+        bucket = toxicity.word_buckets(pa.array([word]))[0][0]
+        assert list(counts[:, bucket]) == [sum(word in texts[i] and (i % 4 == 0) == bad for i in ids) for bad in (False, True)]
+    held = [r for r in toxicity.toxicity(docs, labels).collect() if r["held_out"]]
+    assert sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held) >= 0.9 * len(held)
+
+
+def test_copies_of_a_labelled_text_count_once(spark):
+    docs = spark.createDataFrame([(i, "vile copy" if i < 40 else f"good text {i}", "en") for i in range(80)] + [(0, "other text", "en"), (0, "other text", "xx")], "doc_id long, text string, lang string")
+    chosen, rows, _ = toxicity.labelled_texts(docs, docs.selectExpr("doc_id", "int(doc_id < 40) AS toxic"))
+    ids = [i for i in range(80) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert 0 in ids and chosen.count() == sum(i >= 40 for i in ids) + 2
+    counts = toxicity._word_counts(rows)
+    assert [list(counts[:, toxicity.word_buckets(pa.array([w]))[0][0]]) for w in ("vile", "other")] == [[0, 1], [0, 1]]
+
+
 def test_toxicity_of_odd_texts(spark):
     docs, labels = odd_docs(spark, "predicted string"), spark.createDataFrame([(0, 1), (4, 0), (5, 1), (6, None), (None, 1), (99, 1), (4, 0)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels).collect()
