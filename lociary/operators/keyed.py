@@ -188,3 +188,35 @@ def attach(
     if bound > 0 and size <= bound:
         return _join(rows, F.broadcast(table), keys, how, residual, nulls_match)
     return salted_join(rows, table, keys, how, residual, nulls_match)
+
+
+HASH_WORD_BYTES = 32  # of one 64-bit word in a broadcast hash table
+
+
+def with_possible_partner(rows: DataFrame, table: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add ``name``: false where no row of ``table`` has the same keys, true wherever one has, and for some others.
+
+    The hashes of the table's keys are kept as bits of as many words as half the broadcast bound holds, whatever the size of the
+    table, and broadcast: rows without a partner are known without being moved. The keys must have the same types on both sides.
+    """
+    words = max(1024, broadcast_bound(rows.sparkSession) // (2 * HASH_WORD_BYTES))
+    place = F.pmod(F.xxhash64(*keys), F.lit(64 * words))
+    word, bit = F.floor(place / 64), F.expr("shiftleft(1L, CAST(__place % 64 AS INT))")
+    own = table.select(*keys).dropna().select(place.alias("__place"))
+    bits = own.groupBy(F.floor(F.col("__place") / 64).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    marked = rows.withColumn("__place", place).withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    return marked.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).select(*rows.columns, name)
+
+
+def attach_few(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """:func:`attach` (left or left_semi) of a stored table that few rows meet: beyond the bound only rows that may have a
+    partner are shuffled."""
+    bound = broadcast_bound(rows.sparkSession)
+    if 0 < bound and measured_bytes(table, bound) <= bound:
+        return _join(rows, F.broadcast(table), keys, how, None)
+    marked = with_possible_partner(rows, table, keys, "__maybe")
+    met = salted_join(marked.filter("__maybe").drop("__maybe"), table, keys, how)
+    if how == "left_semi":
+        return met
+    alone = marked.filter("NOT __maybe").drop("__maybe")
+    return met.unionByName(alone, allowMissingColumns=True)
