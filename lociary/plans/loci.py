@@ -26,7 +26,7 @@ from lociary.functions.stats import (
 from lociary.functions.text import before_first, recode
 from lociary.operators.density import density
 from lociary.operators.contingency import bootstrap_risk_ratio, fisher_exact, risk_ratio_columns
-from lociary.operators.keyed import attach, broadcast_bound, measured_bytes, settle
+from lociary.operators.keyed import attach, broadcast_bound, measured_bytes, settle, with_possible_partner
 from lociary.operators.ordered import exact_quantiles, rank_within
 from lociary.operators.sweep import calibration_sweep
 
@@ -128,11 +128,17 @@ def with_external_pips_at_once(variants: DataFrame, gwas: DataFrame, eqtl: DataF
 def locus_external_pips(variants: DataFrame, leads: DataFrame, gwas: DataFrame, eqtl: DataFrame, keys: list[str] = LOCUS) -> DataFrame:
     """External posteriors of each locus: the largest of its credible variants (``cs``, ``cs_99``) and those of its lead.
 
-    Only leads and credible variants meet the external tables, which are stored; all other rows stay where they are.
+    Only leads and credible variants meet the external tables, which are stored; all other rows stay where they are, and so do
+    external posteriors of other variants.
     """
     credible = variants.filter(F.col("cs") | F.col("cs_99")).select(*keys, "variant", "cs", "cs_99", F.lit(False).alias("__lead"))
     own = leads.select(*keys, F.col("lead_variant").alias("variant"), F.lit(False).alias("cs"), F.lit(False).alias("cs_99"), F.lit(True).alias("__lead"))
-    found = with_external_pips(credible.unionByName(own), gwas, eqtl, stored=True)
+    wanted = credible.unionByName(own)
+    bound = broadcast_bound(variants.sparkSession)
+    if any(measured_bytes(t.select("variant", "max_pip"), bound) > bound for t in (gwas, eqtl)):
+        wanted = settle(wanted)  # few rows, which are read twice
+        gwas, eqtl = (with_possible_partner(t, wanted, ["variant"], "__maybe").filter("__maybe").drop("__maybe") for t in (gwas, eqtl))
+    found = with_external_pips(wanted, gwas, eqtl, stored=True)
     of_lead = [F.max(F.when(F.col("__lead"), F.col(f"max_pip_{s}"))).alias(f"lead_max_pip_{s}") for s in ("gwas", "eqtl")]
     return settle(found.groupBy(*keys).agg(*_credible_maxima(), *of_lead))
 

@@ -3,7 +3,9 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from lociary.plans import loci
 from lociary.operators.keyed import shared_folder
 from lociary.testbed import bridge, registry
 
@@ -61,3 +63,17 @@ def test_delta_of_some_columns(spark, folder, join_path):
     found = rows(narrow, columns)
     assert found and found == rows(whole, columns)
     assert shared_folder(spark) and registry.pip_wide(spark, folder, "max_pip").columns == ["trait", "variant", "max_pip"]
+
+
+def test_external_posteriors_of_other_variants_do_not_move(spark, folder, join_path, monkeypatch):
+    rows_, leads = registry.scored_variants(spark, folder, "consequence")
+    rows_ = rows_.withColumns({"cs": F.col("prob") > 0.9, "cs_99": F.col("prob") > 0.9})
+    wanted = {r["variant"] for r in rows_.filter("cs").collect()} | {r["lead_variant"] for r in leads.collect()}
+    others = spark.createDataFrame([(f"v{i}", i / 3000) for i in range(3000)] + [(v, 0.5) for v in sorted(wanted, key=str)[::2]], "variant string, max_pip double")
+    met = []
+    attach = loci.attach
+    monkeypatch.setattr(loci, "attach", lambda r, t, *more, **named: met.append(t.count()) or attach(r, t, *more, **named))
+    found = loci.locus_external_pips(rows_, leads, others, others)
+    assert all(n == others.count() if join_path == "broadcast" else n < others.count() / 4 for n in met)
+    monkeypatch.setattr(loci, "with_possible_partner", lambda t, *more: t.withColumn("__maybe", F.lit(True)))
+    assert rows(found, found.columns) == rows(loci.locus_external_pips(rows_, leads, others, others), found.columns)
