@@ -208,15 +208,20 @@ def with_possible_partner(rows: DataFrame, table: DataFrame, keys: list[str], na
     return marked.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).select(*rows.columns, name)
 
 
-def attach_few(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """:func:`attach` (left or left_semi) of a stored table that few rows meet: beyond the bound only rows that may have a
-    partner are shuffled."""
+def near_partners(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with a partner in a stored table, and beyond the broadcast bound a few others: for a join that decides."""
     bound = broadcast_bound(rows.sparkSession)
     if 0 < bound and measured_bytes(table, bound) <= bound:
-        return _join(rows, F.broadcast(table), keys, how, None)
+        return _join(rows, F.broadcast(table), keys, "left_semi", None)
+    return with_possible_partner(rows, table, keys, "__maybe").filter("__maybe").drop("__maybe")
+
+
+def attach_few(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`attach` (left) of a stored table that few rows meet: beyond the bound only rows that may have a partner are
+    shuffled."""
+    bound = broadcast_bound(rows.sparkSession)
+    if 0 < bound and measured_bytes(table, bound) <= bound:
+        return _join(rows, F.broadcast(table), keys, "left", None)
     marked = with_possible_partner(rows, table, keys, "__maybe")
-    met = salted_join(marked.filter("__maybe").drop("__maybe"), table, keys, how)
-    if how == "left_semi":
-        return met
-    alone = marked.filter("NOT __maybe").drop("__maybe")
-    return met.unionByName(alone, allowMissingColumns=True)
+    met = salted_join(marked.filter("__maybe").drop("__maybe"), table, keys, "left")
+    return met.unionByName(marked.filter("NOT __maybe").drop("__maybe"), allowMissingColumns=True)

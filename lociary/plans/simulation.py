@@ -13,7 +13,7 @@ from lociary.functions.stats import OUTLIER_NLOG10P, R2_THRESHOLD, binomial_inte
 from lociary.functions.text import recode, region_parts, token, variant_parts
 from lociary.operators.reshape import arrays_to_rows
 from lociary.operators.intervals import points_in_intervals
-from lociary.operators.keyed import attach, attach_few, settle
+from lociary.operators.keyed import attach, attach_few, near_partners, settle
 from lociary.operators.ordered import exact_quantiles, rank_within
 from lociary.operators.roc import confusion_at, roc_auc, roc_curve, score_counts
 from lociary.operators.sweep import add_fdr, calibration_sweep
@@ -111,8 +111,8 @@ def variants_complete(variants: DataFrame, causal: DataFrame) -> DataFrame:
     """
     causal = settle(causal)
     marked = attach_few(variants, causal, STUDY_VARIANT)
-    hits = attach_few(variants.select(*STUDY_VARIANT), settle(causal.select(*STUDY_VARIANT).distinct()), STUDY_VARIANT, "left_semi")
-    untested = causal.join(hits.distinct(), STUDY_VARIANT, "left_anti")
+    near = near_partners(variants.select(*STUDY_VARIANT), causal, STUDY_VARIANT).distinct()
+    untested = causal.join(near, STUDY_VARIANT, "left_anti")
     both = marked.unionByName(untested, allowMissingColumns=True)
     return both.withColumns(
         {

@@ -25,19 +25,22 @@ def test_attach_matches_plain_join_with_a_hot_key_copies_and_nulls(spark, join_p
     assert got.columns == want.columns and rows(got, *got.columns) == rows(want, *want.columns)
 
 
-@pytest.mark.parametrize("how", ["left", "left_semi"])
-def test_rows_without_a_partner_do_not_move(spark, join_path, monkeypatch, how):
+def test_rows_without_a_partner_do_not_move(spark, join_path, monkeypatch):
     data = [(f"k{i}", i % 3, i) for i in range(5000)] * 2 + [(None, 1, 1), ("k5", None, 5)] * 3
     left = spark.createDataFrame(data, "k string, j int, v int").repartition(4)
     right = spark.createDataFrame([(f"k{i}", i % 3, i) for i in range(0, 5400, 90)] + [("k90", 0, 91), (None, 1, 7)], "k string, j int, w int")
     moved = []
     join = keyed.salted_join
     monkeypatch.setattr(keyed, "salted_join", lambda rows, *more: moved.append(rows.count()) or join(rows, *more))
-    got = keyed.attach_few(left, right, ["k", "j"], how)
-    want = left.join(right, ["k", "j"], how)
+    got = keyed.attach_few(left, right, ["k", "j"])
+    want = left.join(right, ["k", "j"], "left")
     assert got.columns == want.columns and rows(got, *got.columns) == rows(want, *want.columns)
     assert (not moved if join_path == "broadcast" else 112 <= moved[0] < 300)
-    assert keyed.attach_few(left, right.limit(0), ["k", "j"], how).count() == (len(data) if how == "left" else 0)
+    near = keyed.near_partners(left, right, ["k", "j"])
+    met = rows(left.join(right, ["k", "j"], "left_semi"), *left.columns)
+    assert rows(near.join(right, ["k", "j"], "left_semi"), *left.columns) == met and len(met) <= near.count() < 300
+    none = right.limit(0)
+    assert keyed.attach_few(left, none, ["k", "j"]).count() == len(data) and keyed.near_partners(left, none, ["k", "j"]).count() == 0
 
 
 def test_hot_key_is_sliced_and_slices_are_bounded(spark):
