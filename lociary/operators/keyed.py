@@ -124,9 +124,16 @@ def hot_keys(rows: DataFrame, keys: list[str], partitions: int, nulls_match: boo
 
 
 def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str, residual=None, nulls_match: bool = False) -> DataFrame:
-    """Shuffle join in which the hot keys of ``rows`` are cut into slices and their table rows repeated."""
+    """Shuffle join in which the hot keys of ``rows`` are cut into slices and their table rows repeated.
+
+    Without hot keys it is a plain join by the keys, which later steps by the same keys need not shuffle again. Keys of NULL that
+    match nothing but stay are spread in any case.
+    """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(rows, keys, partitions, nulls_match))
+    found = hot_keys(rows, keys, partitions, nulls_match)
+    if (nulls_match or how in ("inner", "left_semi")) and found.isEmpty():
+        return _join(rows, table, keys, how, residual, nulls_match)
+    hot = F.broadcast(found)
     # the task number keeps exact copies of a row apart; both parts repeat identically on a retry
     spread = F.xxhash64(*[F.col(c) for c in rows.columns]) + F.spark_partition_id()
     any_null = F.lit(False) if nulls_match else reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
@@ -190,7 +197,29 @@ def attach(
     return salted_join(rows, table, keys, how, residual, nulls_match)
 
 
-HASH_WORD_BYTES = 32  # of one 64-bit word in a broadcast hash table
+HASH_WORDS = 16  # 64-bit words in one row of a broadcast hash table
+HASH_ROW_BYTES = 8 + 8 * HASH_WORDS + 16
+FLOOR_BYTES = 32  # of one row of a broadcast table of least values
+
+
+def _hash_place(rows: DataFrame, keys: list[str]) -> tuple[Column, Column, Column]:
+    """Row, word and bit of a row's keys in a hash table of half the broadcast bound."""
+    size = 64 * HASH_WORDS
+    place = F.pmod(F.xxhash64(*keys), F.lit(size * max(64, broadcast_bound(rows.sparkSession) // (2 * HASH_ROW_BYTES))))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+    return F.floor(place / size), F.floor(place % size / 64).cast("int"), bit
+
+
+def _hash_bits(table: DataFrame, keys: list[str]) -> DataFrame:
+    row, word, bit = _hash_place(table, keys)
+    words = [F.bit_or(F.when(F.col("__word") == i, F.col("__bit"))).alias(f"__bits{i}") for i in range(HASH_WORDS)]
+    placed = table.select(*keys).dropna().select(row.alias("__row"), word.alias("__word"), bit.alias("__bit"))
+    return placed.groupBy("__row").agg(*words)
+
+
+def _has_bit(word: Column, bit: Column) -> Column:
+    words = F.array(*[F.col(f"__bits{i}") for i in range(HASH_WORDS)])
+    return F.coalesce(F.get(words, word).bitwiseAND(bit) != 0, F.lit(False))
 
 
 def with_possible_partner(rows: DataFrame, table: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -199,21 +228,41 @@ def with_possible_partner(rows: DataFrame, table: DataFrame, keys: list[str], na
     The hashes of the table's keys are kept as bits of as many words as half the broadcast bound holds, whatever the size of the
     table, and broadcast: rows without a partner are known without being moved. The keys must have the same types on both sides.
     """
-    words = max(1024, broadcast_bound(rows.sparkSession) // (2 * HASH_WORD_BYTES))
-    place = F.pmod(F.xxhash64(*keys), F.lit(64 * words))
-    word, bit = F.floor(place / 64), F.expr("shiftleft(1L, CAST(__place % 64 AS INT))")
-    own = table.select(*keys).dropna().select(place.alias("__place"))
-    bits = own.groupBy(F.floor(F.col("__place") / 64).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    marked = rows.withColumn("__place", place).withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
-    return marked.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).select(*rows.columns, name)
+    row, word, bit = _hash_place(rows, keys)
+    marked = rows.withColumn("__row", row).join(F.broadcast(_hash_bits(table, keys)), "__row", "left")
+    return marked.withColumn(name, _has_bit(word, bit)).select(*rows.columns, name)
 
 
 def near_partners(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows with a partner in a stored table, and beyond the broadcast bound a few others: for a join that decides."""
+    """The rows with a partner in a stored table, and beyond the broadcast bound a few others: for a join that decides.
+
+    It is a broadcast semi-join, which Spark moves below a grouping by the keys: what has no partner is not grouped either.
+    """
     bound = broadcast_bound(rows.sparkSession)
+    table = table.select(*keys)
     if 0 < bound and measured_bytes(table, bound) <= bound:
         return _join(rows, F.broadcast(table), keys, "left_semi", None)
-    return with_possible_partner(rows, table, keys, "__maybe").filter("__maybe").drop("__maybe")
+    row, word, bit = _hash_place(rows, keys)
+    bits = F.broadcast(_hash_bits(table, keys))
+    return rows.join(bits, (row == F.col("__row")) & _has_bit(word, bit), "left_semi")
+
+
+def above_floor(rows: DataFrame, table: DataFrame, keys: list[str], value: Column, floor: Column) -> DataFrame:
+    """The rows whose ``value`` reaches the ``floor`` of their keys in a stored table, and beyond the broadcast bound a few others.
+
+    Beyond the bound the least floor of all keys of one hash is broadcast, for as many hashes as the bound holds. NULL is a
+    key like any other; where value or floor is NULL the row is left out. For a comparison that a later join repeats.
+    """
+    bound = broadcast_bound(rows.sparkSession)
+    hashes = F.lit(max(1024, bound // FLOOR_BYTES))
+    place = F.pmod(F.xxhash64(*keys), hashes)
+    floors = table.select(*keys, floor.alias("__floor"))
+    if 0 < bound and measured_bytes(floors, bound) <= bound:
+        exact = _join(rows.withColumn("__value", value), F.broadcast(floors), keys, "inner", None, nulls_match=True)
+        return exact.filter(F.col("__value") >= F.col("__floor")).select(*rows.columns)
+    least = floors.groupBy(place.alias("__place")).agg(F.min("__floor").alias("__floor"))
+    marked = rows.withColumns({"__place": place, "__value": value}).join(F.broadcast(least), "__place")
+    return marked.filter(F.col("__value") >= F.col("__floor")).select(*rows.columns)
 
 
 def attach_few(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,7 +26,7 @@ from lociary.functions.stats import (
 from lociary.functions.text import before_first, recode
 from lociary.operators.density import density
 from lociary.operators.contingency import bootstrap_risk_ratio, fisher_exact, risk_ratio_columns
-from lociary.operators.keyed import attach, broadcast_bound, measured_bytes, settle, with_possible_partner
+from lociary.operators.keyed import above_floor, attach, broadcast_bound, measured_bytes, near_partners, settle, with_possible_partner
 from lociary.operators.ordered import exact_quantiles, rank_within
 from lociary.operators.sweep import calibration_sweep
 
@@ -34,15 +34,14 @@ LOCUS = ["trait", "region"]
 LBF_BIN = 256  # exp(256) is far from overflow, so sums inside a bin are safe
 
 
-def abf_pip(variants: DataFrame, prior: float = PRIOR_VARIANCE, keys: list[str] = LOCUS) -> DataFrame:
-    """Add ``lbf``, ``prob`` (posterior within the locus) and ``score`` (rounded lbf used to pick leads).
-
-    The log-sum-exp needs one pass: Bayes factors are summed relative to the floor of their bin, and
-    the few bins of a locus are then rescaled to its largest.
-    """
-    scored = variants.withColumn(
+def _with_score(variants: DataFrame, prior: float) -> DataFrame:
+    return variants.withColumn(
         "lbf", log_bayes_factor(F.try_divide("beta", "se"), F.col("se") * F.col("se"), prior)
     ).withColumn("score", F.round("lbf", 9))
+
+
+def _locus_totals(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Largest Bayes factor and score of each locus and the sum of the factors relative to the largest."""
     lbf_bin = F.floor(F.col("lbf") / LBF_BIN)
     bins = scored.groupBy(*keys, lbf_bin.alias("__bin")).agg(
         F.max("lbf").alias("__max"),
@@ -50,7 +49,7 @@ def abf_pip(variants: DataFrame, prior: float = PRIOR_VARIANCE, keys: list[str]
         F.sum(F.exp(F.col("lbf") - lbf_bin * LBF_BIN)).alias("__sum"),
     )
     top = F.max("__max").over(Window.partitionBy(*keys))  # over the bins of a locus, not its rows
-    stats = (
+    return (
         bins.withColumn("__top", top)
         .groupBy(*keys)
         .agg(
@@ -59,11 +58,21 @@ def abf_pip(variants: DataFrame, prior: float = PRIOR_VARIANCE, keys: list[str]
             F.sum(F.col("__sum") * F.exp(F.col("__bin") * LBF_BIN - F.col("__top"))).alias("__total"),
         )
     )
-    return (
-        attach(scored, stats, keys, "inner", nulls_match=True)
-        .withColumn("prob", F.exp(F.col("lbf") - F.col("__top")) / F.col("__total"))
-        .drop("__top", "__total")
-    )
+
+
+def _posterior() -> Column:
+    return F.exp(F.col("lbf") - F.col("__top")) / F.col("__total")
+
+
+def abf_pip(variants: DataFrame, prior: float = PRIOR_VARIANCE, keys: list[str] = LOCUS) -> DataFrame:
+    """Add ``lbf``, ``prob`` (posterior within the locus) and ``score`` (rounded lbf used to pick leads).
+
+    The log-sum-exp needs one pass: Bayes factors are summed relative to the floor of their bin, and
+    the few bins of a locus are then rescaled to its largest.
+    """
+    scored = _with_score(variants, prior)
+    totals = _locus_totals(scored, keys)
+    return attach(scored, totals, keys, "inner", nulls_match=True).withColumn("prob", _posterior()).drop("__top", "__total")
 
 
 def lead_rows(
@@ -90,6 +99,10 @@ def dentist_s(scored: DataFrame, keys: list[str] = LOCUS, signed: bool = True) -
     leads = settle(lead_rows(with_z, ["z"], "score", "max_score", keys))
     chosen = leads.select(*keys, "lead_z", F.col("lead_variant").alias("__lead"), F.col("lead_position").alias("__at"))
     rows = attach(with_z, chosen, keys, "left", stored=True, nulls_match=True)
+    return _with_outlier_statistic(rows, signed), leads
+
+
+def _with_outlier_statistic(rows: DataFrame, signed: bool) -> DataFrame:
     z, r, lead_z = F.col("z"), F.col("r"), F.col("lead_z")
     t = lead_consistency(z, r, lead_z) if signed else lead_consistency_unsigned(z * z, r * r, lead_z * lead_z)
     is_lead = F.coalesce((F.col("variant") == F.col("__lead")) & (F.col("position") == F.col("__at")), F.lit(False))
@@ -97,11 +110,54 @@ def dentist_s(scored: DataFrame, keys: list[str] = LOCUS, signed: bool = True) -
         rows.withColumn("t_dentist", t)
         .withColumn("nlog10p_dentist", nlog10p_chi2(F.col("t_dentist")))
         .withColumn("lead_variant", is_lead)
-        .drop("__lead", "__at"),
-        leads,
+        .drop("__lead", "__at")
     )
 
 
+# the same two steps with one join by locus, for tables of more loci than can be broadcast
+
+
+def locus_scores(variants: DataFrame, prior: float = PRIOR_VARIANCE, keys: list[str] = LOCUS) -> tuple[DataFrame, DataFrame]:
+    """What :func:`abf_pip` and :func:`dentist_s` need of each locus, and the leads, both stored.
+
+    Only variants whose score may be the largest of their locus are joined with it.
+    """
+    scored = _with_score(variants, prior).withColumn("z", F.try_divide("beta", "se"))
+    totals = settle(_locus_totals(scored, keys))
+    highest = above_floor(scored, totals, keys, F.col("score"), F.col("max_score"))
+    best = attach(highest, totals.select(*keys, "max_score"), keys, "inner", stored=True, nulls_match=True)
+    leads = settle(lead_rows(best, ["z"], "score", "max_score", keys))
+    chosen = leads.select(*keys, "lead_z", F.col("lead_variant").alias("__lead"), F.col("lead_position").alias("__at"))
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    return settle(totals.alias("t").join(chosen.alias("c"), same, "left").select("t.*", "c.lead_z", "c.__lead", "c.__at")), leads
+
+
+def with_scores(
+    variants: DataFrame, scores: DataFrame, prior: float = PRIOR_VARIANCE, keys: list[str] = LOCUS, signed: bool = True, above: float | None = None
+) -> DataFrame:
+    """The columns :func:`abf_pip` and :func:`dentist_s` add, from the loci's stored ``scores`` (:func:`locus_scores`) by one join.
+
+    ``variants`` are some or all of the variants the scores come from. With ``above`` only those whose posterior is greater are
+    returned, and most others do not move.
+    """
+    rows = _with_score(variants, prior)
+    if above is not None:
+        least = F.col("__top") + F.log(F.col("__total") * above) - 1e-6  # the posterior itself decides below
+        unordered = F.isnan("__top") | F.isnan("__total")
+        rows = above_floor(rows, scores, keys, F.col("lbf"), F.when(unordered, float("-inf")).otherwise(least))
+    rows = attach(rows, scores, keys, "inner", stored=True, nulls_match=True).withColumn("prob", _posterior())
+    if above is not None:
+        rows = rows.filter(F.col("prob") > above)
+    rows = _with_outlier_statistic(rows.withColumn("z", F.try_divide("beta", "se")), signed)
+    added = ["lbf", "score", "max_score", "prob", "z", "lead_z", "t_dentist", "nlog10p_dentist", "lead_variant"]
+    return rows.select(*variants.columns, *[c for c in added if c not in variants.columns])
+
+
+def external_pips_near(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The external posteriors that rows of the stored table ``wanted`` (``variant``) may meet, stored."""
+    return settle(near_partners(table, wanted, ["variant"]))
+
+
 def is_outlier(r2: Column, nlog10p: Column, r2_threshold: float = R2_THRESHOLD) -> Column:
     return (r2 > r2_threshold) & (nlog10p > OUTLIER_NLOG10P)
 

@@ -12,7 +12,7 @@ from lociary.functions.bins import PIP_BREAKS, right_closed_cut
 from lociary.functions.text import before_first, excluded_symbolic, map_values, recode, variant_parts, variant_text
 from lociary.operators.contingency import bootstrap_risk_ratio, risk_ratio_columns
 from lociary.operators.intervals import points_in_intervals
-from lociary.operators.keyed import attach, settle
+from lociary.operators.keyed import attach, near_partners, settle
 from lociary.operators.ordered import exact_quantiles, top_fractions
 
 # fixed values: extended MHC, both ends included; largest gap at which two methods are averaged
@@ -234,6 +234,21 @@ def pip_delta(
     )
 
 
+def credible_pairs(credible: DataFrame, cohorts: DataFrame, renames: dict[str, str]) -> DataFrame:
+    """Trait and variant of the meta-analysis' ``credible`` variants and of the cohorts' rows in a credible set, as
+    :func:`pip_delta` compares them."""
+    own = credible.select(before_first(F.col("trait"), "_").alias("trait"), "variant")
+    return own.unionByName(cohorts.filter(F.col("cs_id") > 0).select(recode(F.col("trait"), renames).alias("trait"), "variant"))
+
+
+def near_pairs(rows: DataFrame, pairs: DataFrame, renames: dict[str, str], short: bool = False) -> DataFrame:
+    """The rows whose renamed trait (``short``: its first part) and variant are in the stored table ``pairs``, and possibly
+    a few others."""
+    trait = before_first(F.col("trait"), "_") if short else recode(F.col("trait"), renames)
+    named = rows.withColumn("__trait", trait)
+    return near_partners(named, pairs.withColumnRenamed("trait", "__trait"), ["__trait", "variant"]).select(*rows.columns)
+
+
 def _known(delta: DataFrame) -> DataFrame:
     return delta.filter(F.col("prob").isNotNull() & F.col("max_pip").isNotNull())
 

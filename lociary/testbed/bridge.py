@@ -309,12 +309,13 @@ _STORED: dict[tuple[str, str, str], str] = {}
 ROW_BY_ROW = ("sumstats", "sim_abf", "true_effects", "posteriors")
 
 
-def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One domain table on Spark: the wide ones as a view, the others derived once per application and stored."""
+def domain(spark: SparkSession, sf_dir: str, name: str, stored: bool = True) -> DataFrame:
+    """One domain table on Spark: the wide ones as a view, the others derived once per application and stored, or read as a
+    view by a step that needs few of the rows."""
     text = SQL[name]
     used = tuple(t for t in TABLES if "{" + t + "}" in text)
     derive = lambda: spark.sql(text, **{t: spread(df) for t, df in tables(spark, sf_dir, used).items()})
-    if name in ROW_BY_ROW:
+    if name in ROW_BY_ROW or not stored:
         return derive()
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
