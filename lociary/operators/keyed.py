@@ -197,8 +197,34 @@ def attach(
     return salted_join(rows, table, keys, how, residual, nulls_match)
 
 
+HASH_WORD_BYTES = 32  # of one 64-bit word in a broadcast hash table
+
+
+def with_possible_partner(rows: DataFrame, table: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add ``name``: false where no row of ``table`` has the same keys, true wherever one has, and for some others.
+
+    The hashes of the table's keys are kept as bits of as many words as half the broadcast bound holds, whatever the size of the
+    table, and broadcast: rows without a partner are known without being moved. The keys must have the same types on both sides.
+    """
+    words = max(1024, broadcast_bound(rows.sparkSession) // (2 * HASH_WORD_BYTES))
+    place = F.pmod(F.xxhash64(*keys), F.lit(64 * words))
+    word, bit = F.floor(place / 64), F.expr("shiftleft(1L, CAST(__place % 64 AS INT))")
+    own = table.select(*keys).dropna().select(place.alias("__place"))
+    bits = own.groupBy(F.floor(F.col("__place") / 64).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    marked = rows.withColumn("__place", place).withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    return marked.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).select(*rows.columns, name)
+
+
+def near_partners(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with a partner in a stored table, and beyond the broadcast bound a few others: for a join that decides."""
+    bound = broadcast_bound(rows.sparkSession)
+    if 0 < bound and measured_bytes(table, bound) <= bound:
+        return _join(rows, F.broadcast(table), keys, "left_semi", None)
+    return with_possible_partner(rows, table, keys, "__maybe").filter("__maybe").drop("__maybe")
+
+
 HASH_WORDS = 16  # 64-bit words in one row of a broadcast hash table
-HASH_ROW_BYTES = 8 + 8 * HASH_WORDS + 16
+HASH_ROW_BYTES = 8 + 8 * HASH_WORDS + 40  # with the header of the array
 FLOOR_BYTES = 32  # of one row of a broadcast table of least values
 
 
@@ -212,29 +238,17 @@ def _hash_place(rows: DataFrame, keys: list[str]) -> tuple[Column, Column, Colum
 
 def _hash_bits(table: DataFrame, keys: list[str]) -> DataFrame:
     row, word, bit = _hash_place(table, keys)
-    words = [F.bit_or(F.when(F.col("__word") == i, F.col("__bit"))).alias(f"__bits{i}") for i in range(HASH_WORDS)]
+    words = [F.bit_or(F.when(F.col("__word") == i, F.col("__bit"))) for i in range(HASH_WORDS)]
     placed = table.select(*keys).dropna().select(row.alias("__row"), word.alias("__word"), bit.alias("__bit"))
-    return placed.groupBy("__row").agg(*words)
+    return placed.groupBy("__row").agg(F.array(*words).alias("__bits"))
 
 
 def _has_bit(word: Column, bit: Column) -> Column:
-    words = F.array(*[F.col(f"__bits{i}") for i in range(HASH_WORDS)])
-    return F.coalesce(F.get(words, word).bitwiseAND(bit) != 0, F.lit(False))
+    return F.coalesce(F.get(F.col("__bits"), word).bitwiseAND(bit) != 0, F.lit(False))
 
 
-def with_possible_partner(rows: DataFrame, table: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Add ``name``: false where no row of ``table`` has the same keys, true wherever one has, and for some others.
-
-    The hashes of the table's keys are kept as bits of as many words as half the broadcast bound holds, whatever the size of the
-    table, and broadcast: rows without a partner are known without being moved. The keys must have the same types on both sides.
-    """
-    row, word, bit = _hash_place(rows, keys)
-    marked = rows.withColumn("__row", row).join(F.broadcast(_hash_bits(table, keys)), "__row", "left")
-    return marked.withColumn(name, _has_bit(word, bit)).select(*rows.columns, name)
-
-
-def near_partners(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows with a partner in a stored table, and beyond the broadcast bound a few others: for a join that decides.
+def near_keys(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`near_partners` for rows not stored yet, by a hash table of half the broadcast bound: a few others pass as well.
 
     It is a broadcast semi-join, which Spark moves below a grouping by the keys: what has no partner is not grouped either.
     """

@@ -26,7 +26,7 @@ from lociary.functions.stats import (
 from lociary.functions.text import before_first, recode
 from lociary.operators.density import density
 from lociary.operators.contingency import bootstrap_risk_ratio, fisher_exact, risk_ratio_columns
-from lociary.operators.keyed import above_floor, attach, broadcast_bound, measured_bytes, near_partners, settle, with_possible_partner
+from lociary.operators.keyed import above_floor, attach, broadcast_bound, measured_bytes, near_keys, settle, with_possible_partner
 from lociary.operators.ordered import exact_quantiles, rank_within
 from lociary.operators.sweep import calibration_sweep
 
@@ -155,7 +155,7 @@ def with_scores(
 
 def external_pips_near(table: DataFrame, wanted: DataFrame) -> DataFrame:
     """The external posteriors that rows of the stored table ``wanted`` (``variant``) may meet, stored."""
-    return settle(near_partners(table, wanted, ["variant"]))
+    return settle(near_keys(table, wanted, ["variant"]))
 
 
 def is_outlier(r2: Column, nlog10p: Column, r2_threshold: float = R2_THRESHOLD) -> Column:

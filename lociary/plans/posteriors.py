@@ -12,7 +12,7 @@ from lociary.functions.bins import PIP_BREAKS, right_closed_cut
 from lociary.functions.text import before_first, excluded_symbolic, map_values, recode, variant_parts, variant_text
 from lociary.operators.contingency import bootstrap_risk_ratio, risk_ratio_columns
 from lociary.operators.intervals import points_in_intervals
-from lociary.operators.keyed import attach, near_partners, settle
+from lociary.operators.keyed import attach, near_keys, settle
 from lociary.operators.ordered import exact_quantiles, top_fractions
 
 # fixed values: extended MHC, both ends included; largest gap at which two methods are averaged
@@ -246,7 +246,7 @@ def near_pairs(rows: DataFrame, pairs: DataFrame, renames: dict[str, str], short
     a few others."""
     trait = before_first(F.col("trait"), "_") if short else recode(F.col("trait"), renames)
     named = rows.withColumn("__trait", trait)
-    return near_partners(named, pairs.withColumnRenamed("trait", "__trait"), ["__trait", "variant"]).select(*rows.columns)
+    return near_keys(named, pairs.withColumnRenamed("trait", "__trait"), ["__trait", "variant"]).select(*rows.columns)
 
 
 def _known(delta: DataFrame) -> DataFrame:

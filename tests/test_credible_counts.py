@@ -42,10 +42,10 @@ def test_few_variants_meet_the_loci(spark, join_path, monkeypatch):
     assert found <= met[0] < variants.count() / 4
 
 
-def test_near_partners_are_found_before_the_grouping(spark, join_path):
+def test_near_keys_are_found_before_the_grouping(spark, join_path):
     table = keyed.settle(spark.range(20).selectExpr("concat('k', id) AS k"))
     given = spark.range(4000).selectExpr("concat('k', id % 1000) AS k", "id AS x").unionByName(spark.createDataFrame([(None, 1)], "k string, x long"))
-    near = keyed.near_partners(given.groupBy("k").agg(F.max("x").alias("x")), table, ["k"])
+    near = keyed.near_keys(given.groupBy("k").agg(F.max("x").alias("x")), table, ["k"])
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("Join LeftSemi")
     assert {r["k"]: r["x"] for r in near.collect() if int(r["k"][1:]) < 20} == {f"k{i}": 3000 + i for i in range(20)}
