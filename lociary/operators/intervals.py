@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lociary.operators.keyed import attach, settle
 from lociary.operators.ordered import running_totals
 
 
-def explode_bins(intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """One row per bin an interval touches; a genome has at most length / width bins."""
+def explode_bins(intervals: DataFrame, start: str, end: str, width: int | Column) -> DataFrame:
+    """One row per bin a half-open interval touches; a genome has at most length / width bins."""
     first = F.floor(F.col(start) / width)
-    return intervals.withColumn("__bin", F.explode(F.sequence(first, F.floor(F.col(end) / width))))
+    last = F.floor((F.col(end) - 1) / width)
+    return intervals.withColumn("__bin", F.explode(F.sequence(first, F.greatest(first, last))))
+
+
+LEVEL = 4  # ratio of the widths of two levels of bins
+
+
+def _level_width(width: int) -> Column:
+    return width * F.pow(F.lit(float(LEVEL)), F.col("__level"))
 
 
 def points_in_intervals(
@@ -19,12 +27,18 @@ def points_in_intervals(
 ) -> DataFrame:
     """Inner join: start <= position < end, for every interval with equal ``keys``.
 
-    Points carry ``position``; intervals carry ``start`` and ``end`` (end excluded).
+    Points carry ``position``; intervals carry ``start`` and ``end`` (end excluded). An interval wider than ``width`` is
+    listed by the narrowest bins, ``width`` times a power of ``LEVEL``, that are as wide as it: in two of them at most. A
+    point is listed once per width in use, so neither side grows with the length of the intervals.
     """
-    binned = explode_bins(intervals, "start", "end", width)
-    rows = points.withColumn("__bin", F.floor(F.col("position") / width))
+    wide = F.log(float(LEVEL), (F.col("end") - F.col("start")) / width)
+    levelled = intervals.withColumn("__level", F.greatest(F.lit(0), F.ceil(wide)).cast("int"))
+    binned = settle(explode_bins(levelled, "start", "end", _level_width(width)))
+    levels = sorted(r["__level"] for r in binned.select("__level").distinct().collect())  # about thirty at most
+    rows = points.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in levels or [0]])))
+    rows = rows.withColumn("__bin", F.floor(F.col("position") / _level_width(width)))
     inside = (F.col("r.start") <= F.col("l.position")) & (F.col("l.position") < F.col("r.end"))
-    return attach(rows, binned, keys + ["__bin"], "inner", residual=inside).drop("__bin")
+    return attach(rows, binned, [*keys, "__level", "__bin"], "inner", stored=True, residual=inside).drop("__bin", "__level")
 
 
 def coverage_segments(intervals: DataFrame, files: list[str]) -> DataFrame:
