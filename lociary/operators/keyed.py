@@ -123,15 +123,23 @@ def hot_keys(rows: DataFrame, keys: list[str], partitions: int, nulls_match: boo
     return settle(counts.filter(F.col("__n") * partitions > total).select(*keys, slices.alias("__slices")))
 
 
-def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str, residual=None, nulls_match: bool = False) -> DataFrame:
+def shuffle_partitions(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def salted_join(
+    rows: DataFrame, table: DataFrame, keys: list[str], how: str, residual=None, nulls_match: bool = False, like: DataFrame | None = None
+) -> DataFrame:
     """Shuffle join in which the hot keys of ``rows`` are cut into slices and their table rows repeated.
 
     Without hot keys it is a plain join by the keys, which later steps by the same keys need not shuffle again. Keys of NULL that
-    match nothing but stay are spread in any case.
+    match nothing but stay are spread if there are many. ``like`` has keys distributed as those of ``rows``, for rows that
+    come from joins: the hot keys are counted there, so that these joins do not run twice.
     """
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = hot_keys(rows, keys, partitions, nulls_match)
-    if (nulls_match or how in ("inner", "left_semi")) and found.isEmpty():
+    partitions = shuffle_partitions(rows)
+    stay = not nulls_match and how not in ("inner", "left_semi")
+    found = hot_keys(rows if like is None else like, keys, partitions, nulls_match or stay)
+    if found.isEmpty():
         return _join(rows, table, keys, how, residual, nulls_match)
     hot = F.broadcast(found)
     # the task number keeps exact copies of a row apart; both parts repeat identically on a retry
@@ -180,12 +188,13 @@ def attach(
     stored: bool = False,
     residual=None,
     nulls_match: bool = False,
+    like: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``table`` onto ``rows`` by ``keys`` (inner, left, left_semi or left_anti).
 
     ``stored`` says the table is already a file or a settled result, so measuring it repeats no work.
     ``residual`` is a further condition over columns named ``l.x`` and ``r.y``. ``nulls_match`` makes a NULL
-    key a key like any other, as in a grouping.
+    key a key like any other, as in a grouping. ``like``: see :func:`salted_join`.
     """
     bound = broadcast_bound(rows.sparkSession)
     if stored:
@@ -194,7 +203,7 @@ def attach(
         table, size = _settle_measured(table)
     if bound > 0 and size <= bound:
         return _join(rows, F.broadcast(table), keys, how, residual, nulls_match)
-    return salted_join(rows, table, keys, how, residual, nulls_match)
+    return salted_join(rows, table, keys, how, residual, nulls_match, like)
 
 
 HASH_WORD_BYTES = 32  # of one 64-bit word in a broadcast hash table
@@ -288,3 +297,21 @@ def attach_few(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     marked = with_possible_partner(rows, table, keys, "__maybe")
     met = salted_join(marked.filter("__maybe").drop("__maybe"), table, keys, "left")
     return met.unionByName(marked.filter("NOT __maybe").drop("__maybe"), allowMissingColumns=True)
+
+
+def complete_few(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Full outer join with a stored table that few rows meet: beyond the bound only rows that may have a partner are shuffled,
+    once, and the rows are read twice."""
+    bound = broadcast_bound(rows.sparkSession)
+    if 0 < bound and measured_bytes(table, bound) <= bound:
+        met, rest = _join(rows, F.broadcast(table), keys, "left", None), None
+        near = _join(rows.select(*keys), F.broadcast(table.select(*keys)), keys, "left_semi", None)
+    else:
+        marked = with_possible_partner(rows, table, keys, "__maybe")
+        near, rest = marked.filter("__maybe").drop("__maybe"), marked.filter("NOT __maybe").drop("__maybe")
+        if hot_keys(rows, keys, shuffle_partitions(rows), nulls_match=True).isEmpty():
+            return near.join(table, keys, "full_outer").unionByName(rest, allowMissingColumns=True)
+        met = salted_join(near, table, keys, "left")
+    alone = table.join(near.select(*keys).distinct(), keys, "left_anti")
+    both = met.unionByName(alone, allowMissingColumns=True)
+    return both if rest is None else both.unionByName(rest, allowMissingColumns=True)

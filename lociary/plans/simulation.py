@@ -13,7 +13,7 @@ from lociary.functions.stats import OUTLIER_NLOG10P, R2_THRESHOLD, binomial_inte
 from lociary.functions.text import recode, region_parts, token, variant_parts
 from lociary.operators.reshape import arrays_to_rows
 from lociary.operators.intervals import points_in_intervals
-from lociary.operators.keyed import attach, attach_few, near_partners, settle
+from lociary.operators.keyed import attach, complete_few, settle
 from lociary.operators.ordered import exact_quantiles, rank_within
 from lociary.operators.roc import confusion_at, roc_auc, roc_curve, score_counts
 from lociary.operators.sweep import add_fdr, calibration_sweep
@@ -106,15 +106,10 @@ def true_causal_in_region(effects: DataFrame, regions: DataFrame) -> DataFrame:
 def variants_complete(variants: DataFrame, causal: DataFrame) -> DataFrame:
     """Variants plus the causal ones that were never tested, with study groups and their id.
 
-    A full outer join written as (variants left join causal) + (causal without a variant): the large
-    side then keeps its place when the causal table is small; when it is not, only the variants that may be causal move.
+    A full outer join in which the variants keep their place when the causal table is small; when it is not, only the
+    variants that may be causal move.
     """
-    causal = settle(causal)
-    marked = attach_few(variants, causal, STUDY_VARIANT)
-    near = near_partners(variants.select(*STUDY_VARIANT), causal, STUDY_VARIANT).distinct()
-    untested = causal.join(near, STUDY_VARIANT, "left_anti")
-    both = marked.unionByName(untested, allowMissingColumns=True)
-    return both.withColumns(
+    return complete_few(variants, settle(causal), STUDY_VARIANT).withColumns(
         {
             "pheno_group": (F.floor((F.col("pheno") - 1) / 100) + 1).cast("int"),
             "config_group": labels.config_group(F.col("config")).cast("int"),
@@ -182,31 +177,33 @@ def arrays_as_bins(arrays: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("bigint") for c in ("prob_bins", "prob_true_bins", "q_true_bins")})
 
 
-def _in_causal_regions(ranked: DataFrame, regions: DataFrame) -> DataFrame:
+def _in_causal_regions(ranked: DataFrame, regions: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """``like`` (:func:`attach`): the variants before they were completed, for regions with much of the data."""
     truth = regions.filter("gamma").select(*REGION, "max_prob", "lead_z", *TRUTHS)
-    return attach(ranked, truth, REGION, "inner")
+    return attach(ranked, truth, REGION, "inner", like=like)
 
 
-def lead_samples(ranked: DataFrame, regions: DataFrame) -> DataFrame:
+def lead_samples(ranked: DataFrame, regions: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """Sample size and heterogeneity of lead and causal variants in regions with a causal variant."""
     return (
-        _in_causal_regions(ranked, regions)
+        _in_causal_regions(ranked, regions, like)
         .filter(F.col("lead_variant") | F.col("gamma"))
         .select(*REGION, "variant", "n_samples", "lead_variant", "gamma", "prob", "p_het")
     )
 
 
-def prob001(ranked: DataFrame, regions: DataFrame, cut: float = 0.01) -> DataFrame:
-    columns = [
-        "variant", "gamma", "gamma_from_region", "prob", "cs", "cs_99", "lead_variant", "t_dentist", "nlog10p_dentist",
-    ]
-    return _in_causal_regions(ranked.filter(F.col("prob") > cut), regions).select(*REGION, *columns)
+CANDIDATE = ["variant", "gamma", "gamma_from_region", "prob", "cs", "cs_99", "lead_variant", "t_dentist", "nlog10p_dentist"]
 
 
-def dentist_bins(ranked: DataFrame, regions: DataFrame) -> DataFrame:
+def prob001(ranked: DataFrame, regions: DataFrame, cut: float = 0.01, columns: list[str] = CANDIDATE, like: DataFrame | None = None) -> DataFrame:
+    """Variants above the posterior cut in regions with a causal variant, with all columns or those a later step reads."""
+    return _in_causal_regions(ranked.filter(F.col("prob") > cut), regions, like).select(*REGION, *columns)
+
+
+def dentist_bins(ranked: DataFrame, regions: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """Non-lead variants per region and r2 / largest posterior / outlier-statistic bin."""
     expected = F.col("r") * F.col("lead_z") - F.try_divide("beta", "se")
-    rows = _in_causal_regions(ranked.filter(~F.col("lead_variant")), regions).withColumns(
+    rows = _in_causal_regions(ranked.filter(~F.col("lead_variant")), regions, like).withColumns(
         {
             "r2_bin": uniform_bin(F.col("r") * F.col("r"), 0.0, 1.0, 10, R2_BIN),
             "max_prob_bin": uniform_bin(F.col("max_prob"), 0.0, 1.0, 10, PIP_BIN),

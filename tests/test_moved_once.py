@@ -22,6 +22,21 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_completing_equals_a_full_outer_join(spark, join_path, hot):
+    data = [("hot", 1, i) for i in range(600 * hot)] + [(f"k{i}", i % 3, i) for i in range(900)] * 2 + [(None, 1, 1), ("k5", None, 5), (None, None, 2)]
+    left = spark.createDataFrame(data, "k string, j int, v int").repartition(4)
+    right = spark.createDataFrame([("hot", 1, 9), ("k90", 0, 1), ("k90", 0, 2), ("k3", 2, 3), ("new", 1, 4), (None, 1, 5), ("k5", None, 6)], "k string, j int, w int")
+    got = keyed.complete_few(left, keyed.settle(right), ["k", "j"])
+    want = left.join(right, ["k", "j"], "full_outer")
+    assert rows(got, want.columns) == rows(want, want.columns)
+    assert keyed.complete_few(left, keyed.settle(right.limit(0)), ["k", "j"]).count() == len(data)
+
+
+def test_completed_variants_are_read_twice(spark, folder, beyond_bound):  # noqa: F811
+    assert plan(registry.sim_complete(spark, folder, "prob")).count("Relation [l_orderkey") == 2
+
+
 def test_wide_intervals_are_listed_twice_at_most(spark, join_path, monkeypatch):
     spans = spark.createDataFrame(
         [("a", 10**k + 7, 10**k + 7 + 3 * 10**j) for k in range(2, 9) for j in range(0, 9)] + [("a", 5, 5), ("a", 9, 3), ("a", None, 4), ("b", 0, 4000), (None, 0, 9)], "k string, start long, end long"
