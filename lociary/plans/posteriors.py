@@ -171,8 +171,9 @@ def cs_size(posteriors: DataFrame) -> DataFrame:
 
 
 def lead_cs_size(posteriors: DataFrame, leads: DataFrame) -> DataFrame:
-    """Set sizes in every cohort at the lead variants (``trait, variant_b37``)."""
-    at_leads = attach(posteriors, leads, ["variant_b37", "trait"], "inner")
+    """Set sizes in every cohort at the lead variants (``trait, variant_b37``); rows of other variants do not move."""
+    keys, leads = ["variant_b37", "trait"], settle(leads)
+    at_leads = attach(settle(near_keys(posteriors, leads, keys)), leads, keys, "inner", stored=True)
     sized = attach(at_leads, cs_size(posteriors), ["trait", "cohort", "region", "cs_id"], "left")
     return sized.select("trait", "cohort", "variant", "cs_size")
 

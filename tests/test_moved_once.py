@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociary.operators import intervals, keyed
+from lociary.plans import posteriors
 from lociary.testbed import registry
 from test_column_use import folder, rows  # noqa: F401
 
@@ -56,3 +57,16 @@ def test_labels_do_not_store_the_scored_variants(spark, folder):  # noqa: F811
     registry._STAGED.clear()
     registry.QUERIES["cs_merge_labels"](spark, folder)
     assert {key[2] for key in registry._STAGED} == {"locus_scores"}
+
+
+def test_cohort_rows_of_other_variants_do_not_meet_the_leads(spark, folder, join_path, monkeypatch):  # noqa: F811
+    given = registry.named_posteriors(spark, folder)
+    leads = given.select("trait", "variant_b37").distinct().orderBy("variant_b37").limit(6)
+    sizes = posteriors.cs_size(given)
+    want = given.join(leads, ["variant_b37", "trait"]).join(sizes, ["trait", "cohort", "region", "cs_id"], "left")
+    met = []
+    attach = posteriors.attach
+    monkeypatch.setattr(posteriors, "attach", lambda r, *more, **named: met.append(r.count()) or attach(r, *more, **named))
+    got = posteriors.lead_cs_size(given, leads)
+    assert rows(got, got.columns) == rows(want, got.columns) and got.count()
+    assert met[0] < given.count() / 4
