@@ -26,7 +26,9 @@ from lociary.functions.stats import (
 from lociary.functions.text import before_first, recode
 from lociary.operators.density import density
 from lociary.operators.contingency import bootstrap_risk_ratio, fisher_exact, risk_ratio_columns
-from lociary.operators.keyed import above_floor, attach, broadcast_bound, measured_bytes, near_keys, settle, with_possible_partner
+from lociary.operators.keyed import (
+    above_floor, attach, broadcast_bound, hot_keys, measured_bytes, near_keys, settle, shuffle_partitions, with_possible_partner
+)
 from lociary.operators.ordered import exact_quantiles, rank_within
 from lociary.operators.sweep import calibration_sweep
 
@@ -138,7 +140,7 @@ def with_scores(
     """The columns :func:`abf_pip` and :func:`dentist_s` add, from the loci's stored ``scores`` (:func:`locus_scores`) by one join.
 
     ``variants`` are some or all of the variants the scores come from. With ``above`` only those whose posterior is greater are
-    returned, and most others do not move.
+    returned, and most others do not move. If ``scores`` holds ``prediction`` (:func:`with_prediction`), it comes with them.
     """
     rows = _with_score(variants, prior)
     if above is not None:
@@ -150,9 +152,15 @@ def with_scores(
         rows = rows.filter(F.col("prob") > above)
     rows = _with_outlier_statistic(rows.withColumn("z", F.try_divide("beta", "se")), signed)
     added = ["lbf", "score", "max_score", "prob", "z", "lead_z", "t_dentist", "nlog10p_dentist", "lead_variant"]
+    added += [c for c in ("prediction",) if c in scores.columns]
     return rows.select(*variants.columns, *[c for c in added if c not in variants.columns])
 
 
+def with_prediction(scores: DataFrame, predicted: DataFrame, keys: list[str] = LOCUS) -> DataFrame:
+    """The loci's scores with their class (:func:`locus_prediction`), stored: one join then brings both to the variants."""
+    return settle(scores.join(predicted.select(*keys, "prediction"), keys, "left"))
+
+
 def external_pips_near(table: DataFrame, wanted: DataFrame) -> DataFrame:
     """The external posteriors that rows of the stored table ``wanted`` (``variant``) may meet, stored."""
     return settle(near_keys(table, wanted, ["variant"]))
@@ -171,14 +179,16 @@ def with_external_pips(variants: DataFrame, gwas: DataFrame, eqtl: DataFrame, st
     return variants
 
 
-def with_external_pips_at_once(variants: DataFrame, gwas: DataFrame, eqtl: DataFrame) -> DataFrame:
-    """The same for wide rows and stored tables: the narrow tables are joined to each other first if they cannot be
-    broadcast, so the variants move at most once."""
+def with_external_pips_at_once(variants: DataFrame, gwas: DataFrame, eqtl: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """The same for wide rows and stored tables: the variants move at most once. Without hot variants, counted in ``like``
+    (:func:`attach`), both tables meet them where that shuffle puts them; else the tables are joined to each other first."""
     named = [t.select("variant", F.col("max_pip").alias(n)) for n, t in (("max_pip_gwas", gwas), ("max_pip_eqtl", eqtl))]
     bound = broadcast_bound(variants.sparkSession)
     if all(measured_bytes(t, bound) <= bound for t in named):
         return with_external_pips(variants, gwas, eqtl, stored=True)
-    return attach(variants, named[0].join(named[1], ["variant"], "full_outer"), ["variant"], "left")
+    if hot_keys(variants if like is None else like, ["variant"], shuffle_partitions(variants), nulls_match=True).isEmpty():
+        return variants.join(named[0], ["variant"], "left").join(named[1], ["variant"], "left")
+    return attach(variants, named[0].join(named[1], ["variant"], "full_outer"), ["variant"], "left", like=like)
 
 
 def locus_external_pips(variants: DataFrame, leads: DataFrame, gwas: DataFrame, eqtl: DataFrame, keys: list[str] = LOCUS) -> DataFrame:

@@ -209,14 +209,16 @@ def max_pip_per_variant(max_pips: DataFrame, build_map: DataFrame) -> DataFrame:
 
 
 def pip_delta(
-    variants: DataFrame, predicted: DataFrame, cohorts: DataFrame, renames: dict[str, str], *, stored: bool = False
+    variants: DataFrame, predicted: DataFrame | None, cohorts: DataFrame, renames: dict[str, str], *,
+    stored: bool = False, like: DataFrame | None = None,
 ) -> DataFrame:
     """Meta-analysis posterior against the cohorts' largest one, per (trait, variant) both have.
 
     ``variants`` or ``cohorts`` already carry the external posteriors; ``renames`` maps the cohorts' trait names.
-    ``stored`` says that ``cohorts`` is a file, so that it is not stored again.
+    ``predicted`` is None if the variants carry ``prediction`` too (:func:`loci.with_prediction`). ``stored`` says that
+    ``cohorts`` is a file, so that it is not stored again; ``like`` holds trait and variant of the variants before any join.
     """
-    classed = attach(variants, predicted.select("trait", "region", "prediction"), ["trait", "region"], "left")
+    classed = variants if predicted is None else attach(variants, predicted.select("trait", "region", "prediction"), ["trait", "region"], "left")
     named = cohorts.withColumn("trait", recode(F.col("trait"), renames))
     both = attach(
         classed.withColumn("trait", before_first(F.col("trait"), "_")),
@@ -224,6 +226,7 @@ def pip_delta(
         ["trait", "variant"],
         "inner",
         stored=stored,
+        like=None if like is None else like.select(before_first(F.col("trait"), "_").alias("trait"), "variant"),
     )
     return both.withColumns(
         {
@@ -265,11 +268,9 @@ def rank_enrichment_tables(delta: DataFrame) -> DataFrame:
     population = F.array_compact(
         F.array(F.lit("All loci"), F.when(F.col("prediction").isin("SL", "NSL"), recode(F.col("prediction"), labels.PREDICTION_NAMES)))
     )
-    slim = settle(
-        _known(delta)
-        .withColumn("annotation", labels.coarse_annotation(F.col("consequence")))
-        .select(F.explode(population).alias("population"), "annotation", "prob", "max_pip", "trait", "region", "variant")
-    )
+    of_variant = ["annotation", "prob", "max_pip", "trait", "region", "variant"]
+    known = settle(_known(delta).withColumn("annotation", labels.coarse_annotation(F.col("consequence"))).select("prediction", *of_variant))
+    slim = known.select(F.explode(population).alias("population"), *of_variant)
     tie = [F.col(c) for c in ("trait", "region", "variant")]
     tops = [
         top_fractions(slim, ["population"], score, tie, TOP_FRACTIONS)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociary.operators import intervals, keyed
-from lociary.plans import posteriors
+from lociary.plans import loci, posteriors
 from lociary.testbed import registry
 from test_column_use import folder, rows  # noqa: F401
 
@@ -34,10 +34,33 @@ def test_completing_equals_a_full_outer_join(spark, join_path, hot):
     assert keyed.complete_few(left, keyed.settle(right.limit(0)), ["k", "j"]).count() == len(data)
 
 
+@pytest.mark.parametrize("step", ["sim_frac", "sim_candidates", "sim_leads", "delta"])
+def test_hot_keys_are_found_before_the_joins(spark, folder, beyond_bound, monkeypatch, step):  # noqa: F811
+    for earlier in (registry.sim_regions, registry.sim_causal, registry.predicted, registry.locus_scores):
+        earlier(spark, folder)
+    counted = []
+    hot_keys = keyed.hot_keys
+    found = lambda r, *more, **named: counted.append(plan(r)) or hot_keys(r, *more, **named)
+    monkeypatch.setattr(keyed, "hot_keys", found)
+    monkeypatch.setattr(loci, "hot_keys", found)
+    getattr(registry, step).compute(spark, folder)
+    assert counted and not any("Join" in p for p in counted)
+
+
 def test_completed_variants_are_read_twice(spark, folder, beyond_bound):  # noqa: F811
     assert plan(registry.sim_complete(spark, folder, "prob")).count("Relation [l_orderkey") == 2
 
 
+def test_class_and_scores_come_from_one_join(spark, folder, join_path):  # noqa: F811
+    predicted = registry.predicted(spark, folder)
+    scored, _ = registry.scored_variants(spark, folder)
+    want = keyed.attach(scored, predicted.select("trait", "region", "prediction"), ["trait", "region"], "left")
+    scores = loci.with_prediction(registry.locus_scores(spark, folder)[0], predicted)
+    got = registry.with_credible(loci.with_scores(registry.sum_stats(spark, folder), scores))
+    columns = ["trait", "region", "variant", "position", "prediction", "cs", "lead_variant"]
+    assert rows(got, columns) == rows(want, columns)
+
+
 def test_wide_intervals_are_listed_twice_at_most(spark, join_path, monkeypatch):
     spans = spark.createDataFrame(
         [("a", 10**k + 7, 10**k + 7 + 3 * 10**j) for k in range(2, 9) for j in range(0, 9)] + [("a", 5, 5), ("a", 9, 3), ("a", None, 4), ("b", 0, 4000), (None, 0, 9)], "k string, start long, end long"
