@@ -55,13 +55,13 @@ def _binomial_draws(sides: DataFrame, keys: list[str], uniforms: DataFrame) -> D
     first, last = [F.floor(k / DRAW_BLOCK) for k in _support(n, p)]
     blocks = sides.withColumn("block", F.explode(F.sequence(first, last))).repartition(*keys, "side", "block")
     places = F.sequence(F.col("block") * DRAW_BLOCK, F.least(n, (F.col("block") + 1) * DRAW_BLOCK - 1))
-    i = F.col("k")
+    i = F.col("__count")
     pmf = F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) + i * F.ln(p) + (n - i) * F.ln(1 - p))
     on = keys + ["side"]
     # one row per k, summed and packed again where its block lies
-    inside = Window.partitionBy(*on, "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    sums_inside = blocks.withColumn("k", F.explode(places)).withColumn("upto", F.sum(pmf).over(inside))
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("k", "upto"))), lambda x: x["upto"])
+    inside = Window.partitionBy(*on, "block").orderBy("__count").rowsBetween(Window.unboundedPreceding, 0)
+    sums_inside = blocks.withColumn("__count", F.explode(places)).withColumn("upto", F.sum(pmf).over(inside))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("__count", "upto"))), lambda x: x["upto"])
     blocks = settle(sums_inside.groupBy(*on, "block").agg(packed.alias("cdf"), F.max("upto").alias("mass")))
     sums = running_totals(blocks.select(*on, "block", "mass"), on, [F.col("block")], {"upto": "mass"})
     totals = blocks.groupBy(*on).agg(F.sum("mass").alias("total"))
